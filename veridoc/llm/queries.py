@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, site_lines, warc
+from . import fingerprints, packing, repair, site_lines, warc
 from .common import table
 
 
+def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    shards = repair.write_ids(table(spark, sf_dir, "documents"), path, keeps_space=False, end_id=2, base=49408)
+    return repair.read_ids(shards)
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_pages(table(spark, sf_dir, "pages"), min_bytes=0))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -19,13 +26,19 @@ def op6_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_all").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), "text")
 
 
+def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_repair_token_ids": op1_repair_token_ids,
     "op4_warc_zstd": op4_warc_zstd,
     "op6_site_line_frequency": op6_site_line_frequency,
+    "op9_nnls_packing": op9_nnls_packing,
     "op10_bottom_k": op10_bottom_k,
 }
 
