@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, repair, site_lines, warc
+from . import chosen_path, fingerprints, packing, repair, site_lines, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(shards)
 
 
+def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_pages(table(spark, sf_dir, "pages"), min_bytes=0))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -36,6 +40,7 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repair_token_ids": op1_repair_token_ids,
+    "op3_chosen_path_join": op3_chosen_path_join,
     "op4_warc_zstd": op4_warc_zstd,
     "op6_site_line_frequency": op6_site_line_frequency,
     "op9_nnls_packing": op9_nnls_packing,
