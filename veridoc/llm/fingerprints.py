@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_to, words_of
+from .common import bound_to, words_of, written
 
 K, WORDS = 64, 5
+#: Block starts (two longs each) up to which they are broadcast to the scan that copies their rows.
+BROADCAST_STARTS = 500_000
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -100,6 +102,9 @@ def with_next(docs: DataFrame, key: str, carry: list[str], block: int = 1024) ->
         .join(ends, "_group")
         .select(F.col("_first").alias(key), F.coalesce("_prior", "_before").alias("_block"))
     )
+    starts = written(starts, "block-starts")
+    if starts.count() <= BROADCAST_STARTS:
+        starts = F.broadcast(starts)
     copies = docs.join(starts, key).withColumn("_copy", F.lit(True))
     rows = dealt.withColumn("_copy", F.lit(False)).unionByName(copies)
     order = Window.partitionBy("_block").orderBy("_copy", key)
