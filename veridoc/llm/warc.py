@@ -122,7 +122,9 @@ def write_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.join(shared, ["digest", "salt"], "left")
     refers = F.when((F.octet_length("payload") >= min_bytes) & (F.col("page_id") != F.col("keeper")), F.col("keeper"))
     rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
-    taken = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("s"), F.xxhash64("page_id").alias("h")).orderBy("h", "s").limit(SAMPLE_ROWS)
+    hashed = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("s"), F.xxhash64("page_id").alias("h"))
+    least = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS)
+    taken = hashed.join(F.broadcast(least.distinct()), "h").orderBy("h", "s").limit(SAMPLE_ROWS)
     dictionary = fit_dictionary([r["s"].encode() for r in taken.collect() if r["s"]])
 
     def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
