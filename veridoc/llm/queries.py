@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, fingerprints, packing, repair, site_lines, warc
+from . import chosen_path, fingerprints, language_crf, packing, repair, site_lines, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,13 @@ def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(shards)
 
 
+def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_crf.fit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return language_crf.label_documents(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_words", "switches")
+
+
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -30,6 +37,14 @@ def op6_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_all").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), "text")
 
 
+def op7_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    predicted = (F.col("_score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), predicted)
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
@@ -40,9 +55,11 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repair_token_ids": op1_repair_token_ids,
+    "op2_crf_language_id": op2_crf_language_id,
     "op3_chosen_path_join": op3_chosen_path_join,
     "op4_warc_zstd": op4_warc_zstd,
     "op6_site_line_frequency": op6_site_line_frequency,
+    "op7_zstd_toxicity": op7_zstd_toxicity,
     "op9_nnls_packing": op9_nnls_packing,
     "op10_bottom_k": op10_bottom_k,
 }
