@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, fingerprints, language_crf, packing, repair, site_lines, toxicity, warc
+from . import chosen_path, decontaminate, fingerprints, language_crf, packing, repair, site_lines, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = site_lines.drop_site_lines(table(spark, sf_dir, "documents"), "source", "text")
     return out.select("doc_id", F.col("_all").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), "text")
@@ -45,6 +49,10 @@ def op7_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), predicted)
 
 
+def op8_log_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
@@ -58,13 +66,16 @@ QUERIES = {
     "op2_crf_language_id": op2_crf_language_id,
     "op3_chosen_path_join": op3_chosen_path_join,
     "op4_warc_zstd": op4_warc_zstd,
+    "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_site_line_frequency": op6_site_line_frequency,
     "op7_zstd_toxicity": op7_zstd_toxicity,
+    "op8_log_suffix_dedup": op8_log_suffix_dedup,
     "op9_nnls_packing": op9_nnls_packing,
     "op10_bottom_k": op10_bottom_k,
 }
 
 ORACLE = {
+    "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_site_line_frequency": f"""
 WITH pages AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),

@@ -29,7 +29,11 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words of `text`, with A-Z lower-cased."""
     data = np.frombuffer((text or "").encode(), np.uint8)
-    starts, ends = word_bounds(data)
+    return word_hashes_at(data, *word_bounds(data))
+
+
+def word_hashes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As `word_hashes`, for the words of `data` (bytes) with these bounds."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
@@ -56,3 +60,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of `text`."""
     return np.unique(shingle_hashes(word_hashes(text), k))
+
+
+def words_of_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in turn, the index of each word's text, and its length in bytes."""
+    raw = [(t or "").encode() for t in texts]
+    joined = b"\n".join(raw)
+    data = np.frombuffer(joined, np.uint8)
+    starts, ends = word_bounds(data)
+    lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    return word_hashes_at(data, starts, ends), np.searchsorted(np.cumsum(lens), starts, "right"), ends - starts
