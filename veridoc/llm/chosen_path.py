@@ -9,7 +9,7 @@ signatures; what these can't rule out is confirmed on full shingle sets.
 Documents with equal sets are one class from the start, and only its smallest doc_id enters
 the trees, so copies cost nothing. Within a node, pairs that the signatures put far above
 the threshold are confirmed along a spanning forest alone: the pairs it leaves out could not
-change a component.
+change a component. A pair that meets in several trees counts in the first one only.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ from .components import connected_components
 from .shingles import mix, shingle_set
 
 #: Signature positions; standard deviations below the threshold at which a pair is ruled out, and above it at which it is sure.
-POSITIONS, BELOW, ABOVE = 192, 3.7, 4.5
+POSITIONS, BELOW, ABOVE = 192, 3.5, 4.5
 RECALL, BRANCHES = 0.999999, 2
-#: Documents of a node that are compared exhaustively, that one task recurses on, and levels of branching.
-SMALL, LOCAL, DEPTH = 192, 2048, 24
-SALTS, CHUNK = 16, 256
+#: Documents of a node that is compared exhaustively, and levels of branching above that.
+SMALL, DEPTH = 4096, 24
+#: Groups over which copies are spread; documents of a node whose sets travel together.
+SALTS, BLOCK = 16, 64
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 32, POSITIONS, np.uint64) | 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, POSITIONS, np.uint64).astype(np.uint32)
@@ -66,50 +67,48 @@ def signature(shingles: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]
         return (mix(low.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16), mix(first * np.uint64(2) + mix(np.arange(trees, dtype=np.uint64)))
 
 
-def _children(node: int, sigs: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of each child of a node, for the positions that its name selects."""
-    for p in np.random.default_rng(node).choice(POSITIONS, BRANCHES, replace=False):
-        order = np.argsort(sigs[:, p], kind="stable")
-        values = sigs[order, p]
-        yield from (x for x in np.split(order, np.flatnonzero(values[1:] != values[:-1]) + 1) if len(x) > 1)
+def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a node's rows worth confirming: those that may reach `limit`, thinned to a forest among the sure ones.
 
-
-def _compare(ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, limit: float, low: int, high: int) -> list[tuple[int, int]]:
-    """Pairs of a node worth confirming: those that may reach `limit`, thinned to a forest among the sure ones."""
-    n = len(ids)
-    same = np.zeros((n, n), np.int16)
-    for p in range(POSITIONS):
-        same += sigs[:, p][:, None] == sigs[:, p][None, :]
-    may = (same >= low) & (np.minimum.outer(sizes, sizes) >= limit * np.maximum.outer(sizes, sizes) - 1e-9)
+    Left out are pairs that an earlier tree compares: those with the same first node there, if it was small.
+    """
+    n, tree = len(g), g["tree"].iat[0]
+    sigs = np.ascontiguousarray(np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(n, -1).T)
+    nodes, small = np.stack(g["nodes"].to_list()).T[:tree], g["small"].to_numpy()
+    sizes = g["n_shingles"].to_numpy(np.float32)
+    may, sure = np.zeros((n, n), bool), np.zeros((n, n), bool)
+    for at in range(0, n, 256):
+        part = slice(at, at + 256)
+        same = np.zeros((len(sizes[part]), n), np.int16)
+        for row in sigs:
+            same += row[part, None] == row[None, :]
+        here = (same >= low) & (np.minimum(sizes[part, None], sizes[None, :]) >= limit * np.maximum(sizes[part, None], sizes[None, :]) - 1e-3)
+        if here.any():
+            for t, row in enumerate(nodes):
+                here &= (row[part, None] != row[None, :]) | ((small[part] >> t) & 1 == 0)[:, None]
+            may[part], sure[part] = here, here & (same >= high)
     np.fill_diagonal(may, False)
-    if not may.any():
-        return []
-    sure, part = may & (same >= high), np.full(n, -1)
-    pairs = []
-    for root in range(n):
-        if part[root] >= 0:
+    np.fill_diagonal(sure, False)
+    label, left, right = np.full(n, -1), [], []
+    for root in np.flatnonzero(sure.any(1)).tolist():
+        if label[root] >= 0:
             continue
-        part[root], line = root, [root]
+        label[root], line = root, [root]
         while line:
             u = line.pop()
-            new = np.flatnonzero(sure[u] & (part < 0))
-            part[new] = root
+            new = np.flatnonzero(sure[u] & (label < 0))
+            label[new] = root
             line += new.tolist()
-            pairs += [(u, v) for v in new.tolist()]
-    a, b = np.nonzero(np.triu(may & (part[:, None] != part[None, :])))
-    pairs += zip(a.tolist(), b.tolist())
-    return [(min(x, y), max(x, y)) for x, y in ((int(ids[i]), int(ids[j])) for i, j in pairs)]
-
-
-def _candidates(node: int, ids, sizes, sigs, bounds: tuple, depth: int = 0) -> set[tuple[int, int]]:
-    if len(ids) <= SMALL or depth >= DEPTH:
-        return set(_compare(ids, sizes, sigs, *bounds))
-    found: set[tuple[int, int]] = set()
-    for i, rows in enumerate(_children(node, sigs)):
-        if len(rows) > 0.95 * len(ids):  # branching no longer parts these
-            return set(_compare(ids, sizes, sigs, *bounds))
-        found |= _candidates((node * 31 + i + 1) % (1 << 62), ids[rows], sizes[rows], sigs[rows], bounds, depth + 1)
-    return found
+            left.append(np.full(len(new), u))
+            right.append(new)
+    alone = label < 0
+    label[alone] = np.flatnonzero(alone)
+    for at in range(0, n, 256):
+        a, b = np.nonzero(may[at : at + 256] & (label[at : at + 256, None] != label[None, :]))
+        up = a + at < b
+        left.append(a[up] + at)
+        right.append(b[up])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -149,8 +148,12 @@ def shingled(docs: DataFrame, words: int, trees: int) -> DataFrame:
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, sig binary, nodes array<long>")
 
 
+_ROW = "rep long, n_shingles long, sig binary, nodes array<long>, small int, tree int, node long"
+_NAMES = [f.split()[0] for f in _ROW.split(", ")]
+
+
 def _large_nodes(rows: DataFrame) -> DataFrame:
-    """Branches the nodes of more than LOCAL documents, and returns the rows of all the smaller ones that this makes.
+    """Branches the nodes of more than SMALL documents, and returns the rows of all the smaller ones that this makes.
 
     What DEPTH levels have not parted is cut into blocks that are compared two by two.
     """
@@ -165,55 +168,62 @@ def _large_nodes(rows: DataFrame) -> DataFrame:
                     child = mix(node * np.uint64(7) + at.astype(np.uint64)) ^ mix(sigs[np.arange(len(b)), at].astype(np.uint64) + np.uint64(1))
                 yield b.assign(node=mix(child).view(np.int64))
 
-    counted = lambda x: x.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    done, schema = [], "rep long, n_shingles long, sig binary, node long"
+    done = []
     for _ in range(DEPTH):
-        rows = written(rows.select("rep", "n_shingles", "sig", "node").mapInPandas(branched, schema), "branches")
-        rows = written(rows.join(counted(rows), "node"), "nodes")
-        done.append(rows.filter(f"n <= {LOCAL}").drop("n"))
-        rows = rows.filter(f"n > {LOCAL}")
+        rows = written(rows.select(_NAMES).mapInPandas(branched, _ROW), "branches")
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = written(rows.join(counts, "node"), "nodes")
+        done.append(rows.filter(f"n <= {SMALL}"))
+        rows = rows.filter(f"n > {SMALL}")
         if rows.isEmpty():
             break
     else:
-        blocks = F.ceil(F.col("n") / (LOCAL // 2)).cast("int")
+        blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
         mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
         with_all = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         pair = F.xxhash64("node", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
-        done.append(with_all.select("rep", "n_shingles", "sig", pair.alias("node")))
-    out = done[0].select("rep", "n_shingles", "sig", "node")
+        done.append(with_all.withColumn("node", pair))
+    out = done[0].select(_NAMES)
     for d in done[1:]:
-        out = out.unionByName(d.select("rep", "n_shingles", "sig", "node"))
+        out = out.unionByName(d.select(_NAMES))
     return out
 
 
 def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, that some tree brought together and whose signatures don't rule the threshold out."""
+    """(a, b, block) of pairs that some tree brought together and whose signatures don't rule the threshold out.
+
+    A block is a part of one node with at most 2 * BLOCK documents.
+    """
     spread = math.sqrt(threshold * (1 - threshold) / POSITIONS)
-    bounds = (threshold, math.floor((threshold - BELOW * spread) * POSITIONS), math.ceil(min(1.0, threshold + ABOVE * spread) * POSITIONS))
-    nodes = reps.select("rep", F.explode("nodes").alias("node"))
+    low, high = math.floor((threshold - BELOW * spread) * POSITIONS), math.ceil(min(1.0, threshold + ABOVE * spread) * POSITIONS)
+    nodes = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(nodes.join(counts, "node"), "met")
-    rows = met.join(reps.select("rep", "n_shingles", "sig"), "rep")
-    small = rows.filter(f"n <= {LOCAL}").select("rep", "n_shingles", "sig", "node")
-    if not met.filter(f"n > {LOCAL}").isEmpty():
-        small = small.unionByName(_large_nodes(rows.filter(f"n > {LOCAL}")))
+    met = written(nodes.join(counts, "node").groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "n")).alias("at")), "met")
+    small = F.aggregate("at", F.lit(0), lambda acc, x: acc + F.when(x["n"] <= SMALL, F.call_function("shiftleft", F.lit(1), x["tree"])).otherwise(0))
+    rows = reps.join(met, "rep").withColumn("small", small).select("rep", "n_shingles", "sig", "nodes", "small", F.explode("at").alias("x"))
+    rows = rows.select("rep", "n_shingles", "sig", "nodes", "small", "x.tree", "x.node", "x.n")
+    dealt = rows.filter(f"n <= {SMALL}").select(_NAMES)
+    if not met.filter(F.exists("at", lambda x: x["n"] > SMALL)).isEmpty():
+        dealt = dealt.unionByName(_large_nodes(rows.filter(f"n > {SMALL}")))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "node"):
             g = g.drop_duplicates("rep")
-            sigs = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
-            found = _candidates(int(g["node"].iat[0]) & ((1 << 62) - 1), g["rep"].to_numpy(), g["n_shingles"].to_numpy(), sigs, bounds)
-            if found:
-                yield pd.DataFrame(sorted(found), columns=["a", "b"])
+            left, right = _compare(g, threshold, low, high)
+            if len(left):
+                ids, wide = g["rep"].to_numpy(), len(g) // BLOCK + 1
+                block = np.minimum(left, right) // BLOCK * wide + np.maximum(left, right) // BLOCK
+                with np.errstate(over="ignore"):
+                    key = mix(np.uint64(g["node"].iat[0] & ((1 << 63) - 1)) + block.astype(np.uint64))
+                yield pd.DataFrame({"a": ids[left], "b": ids[right], "block": key.view(np.int64)})
 
-    dealt = small.repartition("node").sortWithinPartitions("node")
-    return dealt.mapInPandas(compared, "a long, b long").distinct()
+    return dealt.repartition("node").sortWithinPartitions("node").mapInPandas(compared, "a long, b long, block long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union.
+    """The pairs (a, b, block) whose full shingle sets have 100 * intersection >= percent * union.
 
-    A pair's first set is sent once for CHUNK partners, not once for each.
+    A block's sets travel to its pairs once, however many pairs share them.
     """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,33 +231,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             made = [(shingle_set(t, words) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in b["text"].tolist()]
             yield pd.DataFrame({"id": b["doc_id"], "shingles": made})
 
+    def opened(raw: bytes) -> np.ndarray:
+        wide = np.zeros((len(raw) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        return wide.reshape(-1).view("<u8")
+
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left, of = np.zeros(0, np.uint64), None
-        for b in batches:
+        for g in groups(batches, "block"):
+            full = {i: opened(raw) for i, raw in zip(g["a"].tolist(), g["shingles"]) if raw is not None}
             out = []
-            for a, partner, salt, raw in zip(b["a"].tolist(), b["b"].to_numpy(), b["salt"].tolist(), b["shingles"]):
-                wide = np.zeros((len(raw) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-                s = wide.reshape(-1).view("<u8")
-                if partner < 0:
-                    left, of = s, (a, salt)
-                elif of == (a, salt):
-                    at = np.searchsorted(left, s)
-                    at[at == len(left)] = 0
-                    both = int((left[at] == s).sum())
-                    if 100 * both >= percent * (len(left) + len(s) - both):
-                        out.append((a, int(partner)))
+            for a, b, raw in zip(g["a"].tolist(), g["b"].tolist(), g["shingles"]):
+                if raw is not None:
+                    continue
+                x, y = full[a], full[b]
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                both = int((x[at] == y).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a, b))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    members = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
     full = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "id long, shingles binary")
-    full = written(full, "sets")
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
-    firsts = chunks.join(full, F.col("a") == F.col("id")).select("a", F.lit(-1).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), "shingles")
-    seconds = pairs.join(chunks, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("n")).cast("int")).join(full, F.col("b") == F.col("id")).select("a", "b", "salt", "shingles")
-    rows = firsts.unionByName(seconds).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return rows.mapInPandas(checked, "a long, b long")
+    rows = members.join(full, "id").select("block", F.col("id").alias("a"), F.col("id").alias("b"), "shingles")
+    rows = rows.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    return rows.repartition("block").sortWithinPartitions("block").mapInPandas(checked, "a long, b long")
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
