@@ -30,7 +30,9 @@ MAGIC, VERSION = b"RPID", 1
 #: Ids from which a shard is closed; a document is never cut.
 SHARD_IDS = 1_000_000
 #: A pair becomes a rule from so many occurrences in its shard; a round takes pairs down to a share of the top count.
-MIN_COUNT, ROUND_SHARE = 16, 8
+MIN_COUNT, ROUND_SHARE = 16, 16
+#: Ids and nonterminals of a shard are below this.
+MOST_SYMBOLS = 1 << 16
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -40,37 +42,47 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray,
     A round replaces all the pairs it takes at once; where two of them overlap, the left one
     wins, and every second one in a run.
     """
-    s = ids.astype(np.int64)
-    doc = np.repeat(np.arange(len(lens)), lens)
+    s = ids.astype(np.uint32)
+    last = np.zeros(len(s), bool)  # where a document ends
+    last[np.cumsum(lens)[lens > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = base
     while len(s) > 1:
-        inside = doc[1:] == doc[:-1]
-        keys = np.where(inside, (s[:-1] << 32) | s[1:], -1)
-        ordered = np.sort(keys)
+        keys = (s[:-1] << np.uint32(16)) | s[1:]
+        ordered = np.sort(keys[~last[:-1]])
+        if not len(ordered):
+            break
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(first, len(ordered)))
-        pairs = ordered[first]
-        counts[pairs < 0] = 0
         most = int(counts.max())
         if most < MIN_COUNT:
             break
-        taken = pairs[counts >= max(MIN_COUNT, most // ROUND_SHARE)]  # in order, as `pairs` is
-        at = np.searchsorted(taken, keys)
+        taken = ordered[first[counts >= max(MIN_COUNT, most // ROUND_SHARE)]][: MOST_SYMBOLS - top]
+        if not len(taken):
+            break
+        lefts, rights = np.zeros(MOST_SYMBOLS, bool), np.zeros(MOST_SYMBOLS, bool)
+        lefts[taken >> np.uint32(16)], rights[taken & np.uint32(0xFFFF)] = True, True
+        maybe = np.flatnonzero(lefts[s[:-1]] & rights[s[1:]] & ~last[:-1])
+        at = np.searchsorted(taken, keys[maybe])
         at[at == len(taken)] = 0
-        here = taken[at] == keys
-        pos = np.arange(len(keys))
-        run_start = np.maximum.accumulate(np.where(here & ~np.concatenate([[False], here[:-1]]), pos, 0))
-        here &= (pos - run_start) % 2 == 0
-        hits = np.flatnonzero(here)
-        s[hits] = top + at[hits]
+        real = taken[at] == keys[maybe]
+        hits, at = maybe[real], at[real]
+        # in a run of overlapping hits every second one is taken
+        new_run = np.concatenate([[True], hits[1:] != hits[:-1] + 1]) if len(hits) else np.zeros(0, bool)
+        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hits)), 0))
+        chosen = (np.arange(len(hits)) - run_start) % 2 == 0
+        hits, at = hits[chosen], at[chosen]
+        s[hits] = (top + at).astype(np.uint32)
+        last[hits] = last[hits + 1]
         keep = np.ones(len(s), bool)
         keep[hits + 1] = False
-        s, doc = s[keep], doc[keep]
-        rules.append(np.stack([taken >> 32, taken & 0xFFFFFFFF], 1))
+        s, last = s[keep], last[keep]
+        rules.append(np.stack([taken >> np.uint32(16), taken & np.uint32(0xFFFF)], 1))
         top += len(taken)
-    rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return s.astype(np.uint32), np.bincount(doc, minlength=len(lens)).astype(np.uint32), rule.astype(np.uint32)
+    rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    counts = np.zeros(len(lens), np.int64)
+    counts[lens > 0] = np.diff(np.flatnonzero(last), prepend=-1)
+    return s, counts.astype(np.uint32), rule
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:

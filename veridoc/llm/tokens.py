@@ -8,6 +8,7 @@ import re
 import numpy as np
 
 _CACHE: dict[tuple, "ChunkEncoder"] = {}
+_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 #: A word of Latin-1 letters and the ASCII signs after it: one piece each in either vocabulary.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*&%$#|()]*)")
 #: The byte alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
@@ -19,14 +20,14 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk, where a chunk is a run between single spaces.
 
     Neither vocabulary's pre-tokenizer lets a piece span a space that stands between two
-    other characters, so the ids of a text are those of its chunks in turn. A text in which a
-    space stands next to other white space or at an end is encoded in one call instead.
-    `keeps_space` says whether a chunk is encoded with the space in front of it and in its
-    own case, or without and in lower case. The table of known chunks starts anew at
-    `max_chunks`.
+    other characters, so the ids of a text are those of its chunks in turn. `keeps_space`
+    says whether a chunk is encoded with the space in front of it and in its own case, or
+    without and in lower case. With spaces kept, a text in which a space stands next to other
+    white space or at an end is encoded in one call instead; without, chunks end at any white
+    space. The table of known chunks starts anew at `max_chunks`.
     """
 
-    def __init__(self, path: str, keeps_space: bool, max_chunks: int = 800_000):
+    def __init__(self, path: str, keeps_space: bool, max_chunks: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -34,7 +35,6 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         self.keeps_space = keeps_space
         self.lead = " " if keeps_space else ""
-        self.mark = chr(_ALPHABET[32]) if keeps_space else ""
         self.max_chunks = max_chunks
         self._clear()
 
@@ -50,27 +50,30 @@ class ChunkEncoder:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> list[int]:
+        """Ids of one pre-tokenized piece, which the file's model takes in its byte alphabet."""
         ids = self.pieces.get(piece)
         if ids is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET)
+            shown = piece.encode().decode("latin-1").translate(_ALPHABET)
             ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(shown)]
         return ids
 
+    def _word(self, found: re.Match, lead: str, lower: bool) -> list[int]:
+        word, tail = found.groups()
+        ids = self._piece(lead + (word.lower() if lower else word))
+        return ids + self._piece(tail) if tail else ids
+
     def _learn(self, chunks: list[str]) -> None:
         found: list[list[int] | None] = [None] * len(chunks)
-        other, mark, lower = [], self.mark, not self.keeps_space
+        other, mark, lower = [], self.lead, not self.keeps_space
         for i, c in enumerate(chunks):
             if m := _SIMPLE.fullmatch(c):
-                word, tail = m.groups()
-                word = word.lower() if lower else word
-                if mark:
-                    word = " " + word
-                ids = self.pieces.get(word)
-                if ids is None:
-                    shown = mark + word.lstrip(" ") if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
-                    ids = self.pieces[word] = [t.id for t in self.tok.model.tokenize(shown)]
-                found[i] = ids + self._piece(tail) if tail else ids
-            else:
+                found[i] = self._word(m, mark, lower)
+            elif mark and c.count("\n") == 1:
+                head, tail = c.split("\n")
+                m, k = _SIMPLE.fullmatch(head), _SIMPLE.fullmatch(tail)
+                if m and k:
+                    found[i] = self._word(m, mark, lower) + self._piece("\n") + self._word(k, "", lower)
+            if found[i] is None:
                 other.append(i)
         for i, ids in zip(other, self._ids([self.lead + chunks[i] for i in other])):
             found[i] = ids
@@ -94,7 +97,10 @@ class ChunkEncoder:
         """An int32 array of ids for each text; a null text counts as empty."""
         if len(self.known) > self.max_chunks:
             self._clear()
-        split = [t.split(" ") if t else [] for t in texts]
+        if self.keeps_space:
+            split = [t.split(" ") if t else [] for t in texts]
+        else:  # of what str.split() takes for white space, the vocabulary's patterns don't know these four
+            split = [(t.split() if _SEPARATORS.isdisjoint(t) else [""]) if t else [] for t in texts]
         firsts = [s.pop(0) if s else "" for s in split] if self.keeps_space else None
         new = set().union(*split).difference(self.known)
         if new:
