@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 _CACHE: dict[tuple, "ChunkEncoder"] = {}
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A word of Latin-1 letters and the ASCII signs after it: one piece each in either vocabulary.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*&%$#|()]*)")
 #: The byte alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
@@ -100,7 +100,7 @@ class ChunkEncoder:
         if self.keeps_space:
             split = [t.split(" ") if t else [] for t in texts]
         else:  # of what str.split() takes for white space, the vocabulary's patterns don't know these four
-            split = [(t.split() if _SEPARATORS.isdisjoint(t) else [""]) if t else [] for t in texts]
+            split = [([""] if any(c in t for c in _SEPARATORS) else t.split()) if t else [] for t in texts]
         firsts = [s.pop(0) if s else "" for s in split] if self.keeps_space else None
         new = set().union(*split).difference(self.known)
         if new:
