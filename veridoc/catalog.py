@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import relational, retrieval, text
+from .plans import relational, retrieval, review, text
 
-MODULES = (relational, retrieval, text)
+MODULES = (relational, retrieval, review, text)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
