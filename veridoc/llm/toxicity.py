@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Fit bounds: labelled documents of either kind, words of either kind, and bytes of either text.
-SAMPLE_ROWS, TOXIC_WORDS, ORDINARY_WORDS = 6000, 4000, 120_000
-TOXIC_BYTES, ORDINARY_BYTES = 65_536, 1_000_000
+SAMPLE_ROWS, TOXIC_WORDS, ORDINARY_WORDS = 2500, 4000, 120_000
+TOXIC_BYTES, ORDINARY_BYTES = 65_536, 400_000
 #: A word is toxic from so many documents (and this share of the toxic ones), at this log ratio of the two shares.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 3.0
 #: Of each CALIBRATION_OF labelled documents one is kept from the dictionaries, for the calibration.
@@ -35,12 +36,13 @@ SHORTEST_MATCH, TOP = 5, 9
 CACHED_WORDS = 600_000
 WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
+_OPENED: dict[tuple[int, int], Distances] = {}
 
 
 def _press(text: bytes) -> zstandard.ZstdCompressor:
     loaded = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters.from_level(
-        13, window_log=21, hash_log=18, chain_log=20, search_log=10, min_match=SHORTEST_MATCH, target_length=64,
+        13, window_log=20, hash_log=17, chain_log=19, search_log=10, min_match=SHORTEST_MATCH, target_length=64,
         strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     loaded.precompute_compress(compression_params=params)
@@ -66,8 +68,13 @@ class Model:
         return cls(text(ordinary, ORDINARY_BYTES), text(toxic, TOXIC_BYTES), before, after)
 
     def opened(self) -> Distances:
-        frame = self.after + self.before
-        return Distances(self, _press(self.ordinary + frame), _press(self.ordinary + self.toxic + frame))
+        """The model's distances in this worker, kept from task to task."""
+        key = zlib.crc32(self.ordinary), zlib.crc32(self.toxic)
+        if key not in _OPENED:
+            frame = self.after + self.before
+            _OPENED.clear()
+            _OPENED[key] = Distances(self, _press(self.ordinary + frame), _press(self.ordinary + self.toxic + frame))
+        return _OPENED[key]
 
 
 class Distances:
@@ -75,12 +82,23 @@ class Distances:
 
     def __init__(self, model: Model, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor):
         self.model, self.ordinary, self.toxic, self.known = model, ordinary, toxic, {}
+        text = model.toxic
+        self.matchable = {text[i : i + SHORTEST_MATCH] for i in range(len(text) - SHORTEST_MATCH + 1)}
 
     def of(self, words: set[str]) -> list[int]:
-        """How many bytes fewer the toxic dictionary needs for each word's window."""
-        known, m = self.known, self.model
+        """How many bytes fewer the toxic dictionary needs for each word's window.
+
+        Where the word and the spaces around it share no shortest match with toxic text, the
+        two have the same text to offer, and the difference is 0.
+        """
+        known, m, matchable = self.known, self.model, self.matchable
         for w in words - known.keys():
-            window = m.before + w.encode() + m.after
+            raw = w.encode()
+            inner = b" " + raw + b" "
+            if matchable.isdisjoint([inner[i : i + SHORTEST_MATCH] for i in range(len(inner) - SHORTEST_MATCH + 1)]):
+                known[w] = 0
+                continue
+            window = m.before + raw + m.after
             known[w] = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
         return [known[w] for w in words]
 
@@ -122,19 +140,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     own = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION_OF)) == 0
     sample = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id")
     sample = written(sample.dropDuplicates(["text"]).select("text", "_toxic", own.alias("_own")), "toxic-sample")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")
+    fit_only = F.when(F.col("_own"), 0).otherwise(1)
+    # documents of either label with a word: among those that the calibration leaves, and among all
+    sums = {"t_fit": F.col("_toxic") * fit_only, "o_fit": (1 - F.col("_toxic")) * fit_only, "t_all": F.col("_toxic"), "o_all": 1 - F.col("_toxic")}
+    totals = sample.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in sums.items())).first()
+    counts = sample.select("_toxic", "_own", words).groupBy("word").agg(*(F.sum(x).alias(k) for k, x in sums.items()))
+    counts = written(counts.filter("t_all + o_all > 1"), "toxic-words")
     models = []
-    for part in ("fit", "all"):  # the dictionaries that the calibration sees, and those that are used
-        used = sample.filter("not _own") if part == "fit" else sample
-        sizes = {r["_toxic"]: r["n"] for r in used.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
-        words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")
-        counts = used.select("_toxic", words).groupBy("word").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("o"))
-        odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("o") + 0.5) / (n_ordinary + 1))
-        counts = written(counts.withColumn("odds", odds), "toxic-words")
-        least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n_toxic))
-        toxic = counts.filter((F.col("t") >= least) & (F.col("odds") > LEAST_ODDS)).orderBy(F.desc("t"), "word").limit(TOXIC_WORDS)
-        plain = counts.filter((F.col("o") > 0) & (F.col("odds") < 1)).orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS)
-        models.append(Model.of(*([r["word"] for r in part.select("word").collect()] for part in (plain, toxic))))
+    for part in ("fit", "all"):
+        t, o, n = F.col(f"t_{part}"), F.col(f"o_{part}"), totals[f"t_{part}"]
+        odds = F.log((t + 0.5) / (n + 1)) - F.log((o + 0.5) / (totals[f"o_{part}"] + 1))
+        least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n))
+        toxic = counts.filter((t >= least) & (odds > LEAST_ODDS)).orderBy(t.desc(), "word").limit(TOXIC_WORDS)
+        plain = counts.filter((o > 0) & (odds < 1)).orderBy(o.desc(), "word").limit(ORDINARY_WORDS)
+        models.append(Model.of(*([r["word"] for r in found.select("word").collect()] for found in (plain, toxic))))
     model = models[0]
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
