@@ -33,6 +33,8 @@ RECALL, BRANCHES = 0.999999, 2
 SMALL, DEPTH = 4096, 24
 #: Groups over which copies are spread; documents of a node whose sets travel together.
 SALTS, BLOCK = 16, 64
+#: Candidates' ids (a long each) up to which they are broadcast, so that the texts are not shuffled to them.
+BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 32, POSITIONS, np.uint64) | 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, POSITIONS, np.uint64).astype(np.uint32)
@@ -253,7 +255,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     members = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     full = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "id long, shingles binary")
     rows = members.join(full, "id").select("block", F.col("id").alias("a"), F.col("id").alias("b"), "shingles")
     rows = rows.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("binary").alias("shingles")))
