@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
             yield pd.DataFrame({"x": [opened.features(t).tolist() for t in b["text"]], "y": b["_toxic"].astype("float64")})
 
     rows = sample.filter("_own").mapInPandas(features, "x array<double>, y double").collect()
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows])
+    x, y = np.array([r["x"] for r in rows]).reshape(-1, len(model.weights)), np.array([r["y"] for r in rows])
     if len(rows) and y.any():
         models[1].weights = _logistic(x, y)
     else:
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = model.opened()
         for b in batches:
-            x = np.array([opened.features(t) for t in b["text"]]).reshape(len(b), -1)
+            x = np.array([opened.features(t) for t in b["text"]]).reshape(-1, len(model.weights))
             yield b.assign(_score=1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
