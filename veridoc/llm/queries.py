@@ -75,7 +75,6 @@ QUERIES = {
 }
 
 ORACLE = {
-    "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_site_line_frequency": f"""
 WITH pages AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
