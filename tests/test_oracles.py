@@ -24,3 +24,7 @@ def test_every_sql_has_a_query():
 
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_sql_is_text():
+    assert all(isinstance(sql, str) for sql in SQL.values())
