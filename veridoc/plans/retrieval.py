@@ -160,18 +160,18 @@ def coverage_incidence(spark, sf):
 
 
 @query(f"""WITH {_DOCS}, v AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM t) WHERE regexp_full_match(term, '[a-z]{{5,7}}') GROUP BY term HAVING count(*) >= 5),
-q AS (SELECT DISTINCT unnest({TOKS}) AS asked FROM benchmark WHERE item_id % 10 = 0), m AS (SELECT asked FROM q WHERE regexp_full_match(asked, '[a-z]{{6}}') AND asked NOT IN (SELECT unnest(toks) FROM t)),
+q AS (SELECT DISTINCT unnest({TOKS}) AS asked FROM benchmark), m AS (SELECT asked FROM q WHERE regexp_full_match(asked, '[a-z]{{6}}') AND asked NOT IN (SELECT unnest(toks) FROM t)),
 c AS (SELECT asked, term, levenshtein(asked, term) AS d, df FROM m JOIN v ON abs(length(term) - 6) <= 1 AND levenshtein(asked, term) <= 1)
 SELECT asked, arg_min(term, (d, -df, term)) AS corrected FROM c GROUP BY asked""")
 def spelling_correction(spark, sf):
-    """Words of some questions that no document has, with the vocabulary word one edit away.
+    """Words of the questions that no document has, with the vocabulary word one edit away.
 
     A word and each of its forms with one letter left out meet on that form, so no pair of
     the two vocabularies is tried that is not near.
     """
     docs = read(spark, sf, "documents")
     vocab = ret.document_frequency(docs)
-    asked = read(spark, sf, "benchmark").filter("item_id % 10 = 0").select(F.explode(fx.tokens(F.col("text"))).alias("asked")).filter(F.col("asked").rlike("^[a-z]{6}$")).distinct()
+    asked = read(spark, sf, "benchmark").select(F.explode(fx.tokens(F.col("text"))).alias("asked")).filter(F.col("asked").rlike("^[a-z]{6}$")).distinct()
     asked = asked.join(vocab, F.col("asked") == F.col("term"), "left_anti")
     forms = lambda c: F.array_union(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.lit(100)))))
     known = vocab.filter(F.col("term").rlike("^[a-z]{5,7}$") & (F.col("df") >= 5)).withColumn("form", F.explode(forms("term")))
@@ -197,10 +197,10 @@ def intent_labels(spark, sf):
     return c.select("conv_id", "turn", label.alias("intent"))
 
 
-@query("""SELECT conv_id, turn, coalesce(array_to_string(list(CASE WHEN role = 'user' THEN left(text, 40) END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(array_to_string(list(CASE WHEN role = 'user' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM conversations""")
 def followup_context(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
-    said = F.collect_list(F.when(F.col("role") == "user", F.substring("text", 1, 40))).over(w)
+    said = F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w)
     return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(said, " | ").alias("context"))
 
 
