@@ -92,7 +92,7 @@ class Distances:
         two have the same text to offer, and the difference is 0.
         """
         known, m, matchable = self.known, self.model, self.matchable
-        for w in words - known.keys():
+        for w in [w for w in words if w not in known]:
             raw = w.encode()
             inner = b" " + raw + b" "
             if matchable.isdisjoint([inner[i : i + SHORTEST_MATCH] for i in range(len(inner) - SHORTEST_MATCH + 1)]):
