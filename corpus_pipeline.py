@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that are boilerplate of its source."""
-    out = site_lines.drop_site_lines(docs, "source", "text").select(*docs.columns)
+    """Every document, without the lines that are boilerplate of its source; exact copies count as one page there."""
+    out = site_lines.drop_site_lines(docs, "source", "text", copies_once=True).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -46,3 +46,17 @@ def test_a_stage_takes_empty_tables_and_edge_rows(spark, sf_dir, number):
     assert stage(spark, docs.filter("false"), sf_dir).count() == 0
     got = stage(spark, docs, sf_dir).collect()
     assert {r["doc_id"] for r in got} == {1, 2, None, 4, 5} and np.isin([r["doc_id"] for r in got if r["doc_id"]], [1, 2, 4, 5]).all()
+
+
+def test_one_full_copy_of_a_large_group_is_left(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    line = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+    clean = "\n".join(line(12) for _ in range(6))
+    texts = [clean] * 40 + ["menu of the site\n" + line(40) for _ in range(80)]
+    rows = [(i, t, "en", "host", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = written(stage(spark, docs, sf_dir), "copies-test")
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert [i for i, t in left.items() if t == clean] == [0] and set(left) == {0, *range(40, 120)}
+    assert all(t == texts[i].split("\n", 1)[1] for i, t in left.items() if i)

@@ -21,16 +21,22 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """One row per host with boilerplate: _host, and _lines, the hashes of its lines on more than `ratio` of its pages.
 
     A line must also be on `min_pages` pages, so that a host of a few pages keeps its text.
-    A host has at most (mean lines per page / ratio) such lines, which bounds _lines.
+    A host has at most (mean lines per page / ratio) such lines, which bounds _lines. With
+    `copies_once`, pages of a host with the same text (by its hash) are one page throughout.
     """
     seen = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
-    totals = pages.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
+    rows = pages.select(F.col(host).alias("_host"), seen.alias("_seen"), F.xxhash64(F.col(text)).alias("_text"))
+    if copies_once:
+        rows = rows.groupBy("_host", "_text").agg(F.first("_seen").alias("_seen"))
+    totals = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     counts = (
-        pages.select(F.col(host).alias("_host"), F.explode(seen).alias("_line"))
+        rows.select("_host", F.explode("_seen").alias("_line"))
         .groupBy("_host", "_line")
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= min_pages)
@@ -40,7 +46,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
 
 
 def drop_site_lines(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
 ) -> DataFrame:
     """`pages` with boilerplate lines taken out of `text`, and _kept, _all: counts of lines.
 
@@ -48,7 +54,7 @@ def drop_site_lines(
     one host. The hosts' line tables are broadcast up to BROADCAST_LINES entries; beyond,
     the join is by host and a salt, so that a large host is spread over SALTS groups.
     """
-    found = written(boilerplate(pages, host, text, ratio, min_pages), "site-lines")
+    found = written(boilerplate(pages, host, text, ratio, min_pages, copies_once), "site-lines")
     size = found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)).alias("n")).first()["n"]
     on = F.expr(f"p.`{host}` <=> b._host")
     if size <= BROADCAST_LINES:
