@@ -320,6 +320,24 @@ def test_op8_against_brute_force(spark):
     assert suffix_dedup.remove_repeats(frame(spark, rows).filter("false")).count() == 0
 
 
+def test_op8_repeats_over_the_cuts_of_a_long_text(spark):
+    rng, cut = np.random.default_rng(9), suffix_dedup.PORTION - suffix_dedup.LENGTH
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    long = letters(2 * cut + 3000)
+    rows = [(1, long), (2, letters(700) + long[cut - 1500 : cut + 1500]), (3, long[2 * cut - 900 : 2 * cut + 700] + letters(90)), (4, letters(50) + long[cut - 450 : cut + 300])]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect())
+    raws = [t.encode() for _, t in rows]
+    seen = Counter(hash(r[i : i + 400]) for r in raws for i in range(len(r) - 399))
+    for (d, _), raw, row in zip(rows, raws, got):
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 399):
+            if seen[hash(raw[i : i + 400])] > 1:
+                gone[i : i + 400] = True
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+        assert row == (d, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+
+
 def test_anchor_runs_cut_long_texts_without_losing_a_window(monkeypatch):
     data = RNG.integers(0, 4, 5000).astype(np.uint8).tobytes()
     for raw in (data, b"x" * 3000, data[:400], data[:399]):

@@ -183,7 +183,7 @@ def settle(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     cores = segs.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone"))
     known = written(segs.join(cores, "core").filter("n > 1 or kinds > 1"), label)
     joined = written(entries.join(known, ["core", "seg"]), label)
-    columns = ["core", "rid", "anchor", "lo", "hi"]
+    columns = [c for c in entries.columns if c != "seg"]
     apart = joined.filter("kinds > 1 and lone > 0 and (n = 1 or (rid = first.rid and lo = first.lo))")
     return joined.filter("n > 1").select(columns), apart.select(columns)
 
@@ -201,7 +201,8 @@ def _parts(segments: DataFrame, single: bool) -> DataFrame:
     """Entries for parts of PART windows, or for single windows, of segments (rid, core, anchor, lo, hi, bytes).
 
     Parts are laid out from the anchor, so that equal windows fall into the same part; a
-    part's core is what all its windows have in common.
+    part's core is what all its windows have in common. `from` is the lo of a part's segment,
+    which with rid and anchor names it: a long text's portions may part the windows of one anchor.
     """
     step = 1 if single else PART
 
@@ -227,9 +228,9 @@ def _parts(segments: DataFrame, single: bool) -> DataFrame:
                     under = mix(g["core"].to_numpy().view(np.uint64)[row] + q.astype(np.uint64))
                     core = mix(under ^ hashes.of(top + at, top - step + 1 + LENGTH + at))
                     seg = mix(core + np.uint64(7) * hashes.of(first + at, last + LENGTH + at) + (top - first).astype(np.uint64))
-                yield pd.DataFrame({"rid": g["rid"].to_numpy()[row], "core": core.view(np.int64), "seg": seg.view(np.int64), "anchor": a[row], "lo": first, "hi": last})
+                yield pd.DataFrame({"rid": g["rid"].to_numpy()[row], "core": core.view(np.int64), "seg": seg.view(np.int64), "anchor": a[row], "lo": first, "hi": last, "from": lo[row]})
 
-    return segments.mapInPandas(cut, "rid long, core long, seg long, anchor long, lo long, hi long")
+    return segments.mapInPandas(cut, "rid long, core long, seg long, anchor long, lo long, hi long, from long")
 
 
 def _cut_out(packed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -255,14 +256,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     done, apart = settle(found.drop("batch").join(shared, "core", "left_semi"), "runs-settled")
     segments = written(_cut_out(_pack(docs), apart), "segments")
     done_parts, loose = settle(_parts(segments, single=False), "parts-settled")
-    bounds = loose.groupBy("rid", "anchor").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("parts"))
-    again = segments.join(bounds, ["rid", "anchor"]).dropDuplicates(["rid", "anchor"])
-    smaller = again.select("rid", "anchor", F.explode("parts").alias("p"), F.col("lo").alias("from"), "bytes").select(
-        "rid", "p.core", "anchor", "p.lo", "p.hi", F.expr(f"substring(bytes, cast(p.lo - from + 1 as int), cast(p.hi - p.lo + {LENGTH} as int))").alias("bytes")
+    bounds = loose.groupBy("rid", "anchor", "from").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("parts"))
+    again = segments.withColumnRenamed("lo", "from").join(bounds, ["rid", "anchor", "from"]).dropDuplicates(["rid", "anchor", "from"])
+    smaller = again.select("rid", "anchor", F.explode("parts").alias("p"), "from", "bytes").select(
+        "rid", "p.core", "anchor", "p.lo", "p.hi", F.expr(f"substring(bytes, cast(p.lo - `from` + 1 as int), cast(p.hi - p.lo + {LENGTH} as int))").alias("bytes")
     )
     done_windows, _ = settle(_parts(smaller, single=True), "windows-settled")
-    out = done.unionByName(done_parts).unionByName(done_windows)
-    return out.select("rid", "lo", "hi")
+    spans = [found.select("rid", "lo", "hi") for found in (done, done_parts, done_windows)]
+    return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
