@@ -194,6 +194,19 @@ def test_warc_reader_rejects_damage():
             warc.parse_record(bad)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_a_pair_at_the_threshold_is_missed_no_more_than_the_recall_allows(spark, threshold):
+    from math import comb
+
+    n, cut = chosen_path.POSITIONS, chosen_path.least_agreeing(threshold, 1e-6 / 2)
+    miss = lambda c: sum(comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(c))
+    assert miss(cut) <= 1e-6 / 2 < miss(cut + 1)
+    sigs = np.zeros((2, n), np.uint16)
+    sigs[1, cut:] = 1
+    reps = spark.createDataFrame([(i, 100, s.tobytes(), [5, 6]) for i, s in enumerate(sigs)], "rep long, n_shingles long, sig binary, nodes array<long>")
+    assert chosen_path.candidate_pairs(reps, threshold).select("a", "b").collect() == [(0, 1)]
+
+
 # ---------------------------------------------------------------- decontamination
 def brute_leaks(docs, items, k=5, threshold=0.8):
     def weighed(w, n):

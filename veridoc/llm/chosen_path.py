@@ -26,8 +26,9 @@ from .common import written
 from .components import connected_components
 from .shingles import mix, shingle_set
 
-#: Signature positions; standard deviations below the threshold at which a pair is ruled out, and above it at which it is sure.
-POSITIONS, BELOW, ABOVE = 192, 3.5, 4.5
+#: Signature positions, and standard deviations above the threshold at which a pair is sure.
+POSITIONS, ABOVE = 192, 4.5
+#: Of a pair at the threshold; trees and signatures may each miss half of the rest.
 RECALL, BRANCHES = 0.999999, 2
 #: Documents of a node that is compared exhaustively, and levels of branching above that.
 SMALL, DEPTH = 4096, 24
@@ -52,6 +53,16 @@ def trees_for(threshold: float, recall: float = RECALL) -> int:
     return min(POSITIONS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold * s))))
 
 
+def least_agreeing(threshold: float, miss: float) -> int:
+    """The most positions to ask for so that a pair at the threshold agrees in fewer with a probability of at most `miss`."""
+    below = 0.0
+    for k in range(POSITIONS + 1):
+        below += math.comb(POSITIONS, k) * threshold**k * (1 - threshold) ** (POSITIONS - k)
+        if below > miss:
+            return k
+    return POSITIONS
+
+
 def signature(shingles: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
     """16-bit minwise values at each position, and the first node of each tree."""
     low = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
@@ -197,7 +208,7 @@ def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     A block is a part of one node with at most 2 * BLOCK documents.
     """
     spread = math.sqrt(threshold * (1 - threshold) / POSITIONS)
-    low, high = math.floor((threshold - BELOW * spread) * POSITIONS), math.ceil(min(1.0, threshold + ABOVE * spread) * POSITIONS)
+    low, high = least_agreeing(threshold, (1 - RECALL) / 2), math.ceil(min(1.0, threshold + ABOVE * spread) * POSITIONS)
     nodes = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(nodes.join(counts, "node").groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "n")).alias("at")), "met")
@@ -273,7 +284,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nothing. Rows without doc_id are left out; rows that repeat a doc_id are one document,
     whose first text counts. doc_ids are expected from 0 up.
     """
-    trees = trees_for(percent / 100)
+    trees = trees_for(percent / 100, (1 + RECALL) / 2)
     sets = written(shingled(docs, words, trees), "shingled")
     classes = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     classes = classes.select("set_key", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
