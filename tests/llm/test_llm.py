@@ -122,6 +122,18 @@ def brute_components(rows, words, percent):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+def test_op2_reads_the_whole_of_a_long_run(spark):
+    model = language_crf.train(["aa", "bb"], {0: [["foo", "fob", "fox"] * 30], 1: [["zip", "zap", "zim"] * 30]})
+    rows = [(1, "foofob" * 4 + "zipzap" * 330), (2, "fox " * 3 + "zipzap" * 100), (3, "fob " * 8)]
+    got = {r["doc_id"]: (r["lang_pred"], r["n_words"], r["switches"]) for r in language_crf.label_documents(frame(spark, rows), model).collect()}
+    assert got == {1: ("bb", 1, 1), 2: ("bb", 4, 1), 3: ("aa", 8, 0)}
+    for n in (1, 24, 40, 41, 64, 2000):
+        run = "".join(RNG.choice(list("abcdefé"), n))
+        pieces = language_crf.pieces_of([run])
+        assert "".join(p.strip("+")[2 * (p[0] == "+") :] for p in pieces) == run and max(map(len, pieces)) <= 40 and (n > 40 or pieces == [run])
+    assert len(language_crf.features("x" * 40)) == len(language_crf.features("x" * 30)) + 20
+
+
                 label[find(i)] = find(j)
     low = defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(rows):

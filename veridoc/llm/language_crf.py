@@ -2,6 +2,7 @@
 
 Features of a word are itself (its lexicon entry), prefixes, suffixes and character n-grams,
 hashed to BUCKETS rows of weights; transitions between languages are learned with them.
+A run of letters too long for a word of such languages is a chain of pieces, each with its label.
 Forward-backward gives each word's language within its text; a document's language is that
 with the largest mean share over its words.
 """
@@ -25,14 +26,22 @@ SAMPLE_DOCS, SAMPLE_WORDS = 300, 30_000
 SEQUENCE, STRETCH = 48, 16
 STEPS, RATE, DECAY = 40, 0.08, 1e-6
 CACHED_WORDS = 600_000
+#: Letters of the longest run that is one word, and of a piece of a longer one; letters that a piece repeats of the one before.
+LONGEST, PIECE, SHARED = 40, 24, 2
+#: Stands where a piece's run goes on.
+ON = "+"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word's features."""
-    w = word[:24].encode("utf-8")
+    """Buckets of the features of a word or piece, which has prefixes and suffixes only where its run has an end."""
+    w = word.encode("utf-8")
     marked = b"^" + w + b"$"
-    parts = [b"w" + w, *(b"p" + w[:k] for k in (2, 3, 4)), *(b"s" + w[-k:] for k in (2, 3, 4))]
+    if ON in word:
+        marked = marked.replace(b"^+", b"").replace(b"+$", b"")
+        parts = [b"w" + w.strip(b"+"), *(b"p" + w[:k] for k in (2, 3, 4) if w[:1] != b"+"), *(b"s" + w[-k:] for k in (2, 3, 4) if w[-1:] != b"+")]
+    else:
+        parts = [b"w" + w, *(b"p" + w[:k] for k in (2, 3, 4)), *(b"s" + w[-k:] for k in (2, 3, 4))]
     parts += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
     crc = zlib.crc32
     return [crc(p) & (BUCKETS - 1) for p in parts]
@@ -42,6 +51,20 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def pieces_of(words: list[str]) -> list[str]:
+    """`words` with those of more than LONGEST letters as consecutive pieces of PIECE, marked by ON where the run goes on."""
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST:
+            out.append(w)
+            continue
+        for at in range(0, len(w), PIECE):
+            out.append((ON if at else "") + w[max(0, at - SHARED) : at + PIECE] + (ON if at + PIECE < len(w) else ""))
+    return out
+
+
 class Emissions:
     """Scores of words under each label, computed once a word."""
 
@@ -181,14 +204,15 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
     for r in rows.filter(drawn).select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id", "text")).toLocalIterator():
         held = by_label[labels.index(r["lang"])]
         if sum(map(len, held)) < SAMPLE_WORDS:
-            held.append(words_of(r["text"]))
+            held.append(pieces_of(words_of(r["text"])))
     return train(labels, by_label)
 
 
 def label_documents(docs: DataFrame, model: Model | None, batch_words: int = 1_000_000) -> DataFrame:
     """Per row: doc_id, lang_pred, score, n_words, and switches, the changes of language from word to word.
 
-    The score is the mean probability of lang_pred over the words. A text that is null or has
+    The score is the mean probability of lang_pred over the words. A run of more than LONGEST
+    letters counts as one word in n_words, and is scored and switches by its pieces. A text that is null or has
     no letter is "und" with score 0. Every row of the input has one row.
     """
     schema = "doc_id long, lang_pred string, score double, n_words long, switches long"
@@ -198,6 +222,7 @@ def label_documents(docs: DataFrame, model: Model | None, batch_words: int = 1_0
 
         def flush(ids, texts):
             out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "lang_pred": "und", "score": 0.0, "n_words": [len(t) for t in texts], "switches": 0})
+            texts = [pieces_of(t) for t in texts]
             some = [i for i, t in enumerate(texts) if t]
             if model and some:
                 at, table = emissions.rows([texts[i] for i in some])
