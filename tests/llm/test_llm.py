@@ -60,6 +60,13 @@ def test_repair_round_trip():
         repair.Shard(b"RPID" + b"\0" * 21)
 
 
+def test_repair_takes_the_most_frequent_pairs_where_the_cap_binds(monkeypatch):
+    monkeypatch.setattr(repair, "MOST_SYMBOLS", 101)
+    ids = np.array([1, 2, 3] * 20 + [8, 9, 5] * 50, np.int32)
+    symbols, _, rules = repair.compress(ids, np.array([len(ids)]), base=100)
+    assert len(rules) == 1 and len(symbols) == 160 and repair.expand(symbols, rules, 100).tolist() == ids.tolist()
+
+
 def test_op1_against_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = frame(spark, EDGES + [(9, sentence(300)), (9, "again")])
@@ -70,6 +77,13 @@ def test_op1_against_the_library(spark):
     at = 0
     for r in sorted(rows, key=lambda r: r["start"]):
         assert r["start"] == at
+def test_repair_takes_the_most_frequent_pairs_where_the_cap_binds(monkeypatch):
+    monkeypatch.setattr(repair, "MOST_SYMBOLS", 101)
+    ids = np.array([1, 2] * 10 + [8, 9] * 50, np.int32)
+    symbols, _, rules = repair.compress(ids, np.array([len(ids)]), base=100)
+    assert rules.tolist() == [[8, 9]] and len(symbols) == 70 and repair.expand(symbols, rules, 100).tolist() == ids.tolist()
+
+
         at += r["n_tokens"]
         if r["doc_id"] != 9:
             ids = np.array(tok.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids + [2], "<u4")

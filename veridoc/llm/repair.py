@@ -57,7 +57,10 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray,
         most = int(counts.max())
         if most < MIN_COUNT:
             break
-        taken = ordered[first[counts >= max(MIN_COUNT, most // ROUND_SHARE)]][: MOST_SYMBOLS - top]
+        often = np.flatnonzero(counts >= max(MIN_COUNT, most // ROUND_SHARE))
+        if len(often) > MOST_SYMBOLS - top:  # the most frequent ones, in the order of the pairs
+            often = np.sort(often[np.argsort(-counts[often], kind="stable")[: MOST_SYMBOLS - top]])
+        taken = ordered[first[often]]
         if not len(taken):
             break
         lefts, rights = np.zeros(MOST_SYMBOLS, bool), np.zeros(MOST_SYMBOLS, bool)
