@@ -45,6 +45,16 @@ def test_chunk_encoder_equals_the_library(name, keeps):
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name,keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_operators_encode_special_tokens_as_the_library_does(name, keeps):
+    path = public_tokenizers.path(name)
+    tok = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "x <|startoftext|>  y", "<|ENDOFTEXT|> is not one", "plain text", None, "  <|endoftext|>\n<|endoftext|> tail", "|> <| end", "a <|endoftext|> b"]
+    got = tokens.encoder(path, keeps).encode(texts)
+    for t, ids in zip(texts, got):
+        assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def test_repair_round_trip():
     docs = [RNG.integers(0, 30, n) for n in (0, 1, 2, 500, 3000, 0, 40)] + [np.zeros(100, int), np.tile([1, 2, 3], 200)]
     docs = [d.astype(np.int32) for d in docs]

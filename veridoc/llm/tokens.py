@@ -25,14 +25,18 @@ class ChunkEncoder:
     without and in lower case. With spaces kept, a text in which a space stands next to other
     white space or at an end is encoded in one call instead; without, chunks end at any white
     space. The table of known chunks starts anew at `max_chunks`.
+
+    Added tokens that stand in a text are text, or, with `takes_added`, themselves, as is the
+    library's default; a text that may hold one is encoded in one call then.
     """
 
-    def __init__(self, path: str, keeps_space: bool, max_chunks: int = 600_000):
+    def __init__(self, path: str, keeps_space: bool, max_chunks: int = 600_000, takes_added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not takes_added
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if takes_added else []
         self.keeps_space = keeps_space
         self.lead = " " if keeps_space else ""
         self.max_chunks = max_chunks
@@ -97,6 +101,8 @@ class ChunkEncoder:
         """An int32 array of ids for each text; a null text counts as empty."""
         if len(self.known) > self.max_chunks:
             self._clear()
+        added = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        given, texts = texts, ["" if i in added else t for i, t in enumerate(texts)] if added else texts
         if self.keeps_space:
             split = [t.split(" ") if t else [] for t in texts]
         else:  # of what str.split() takes for white space, the vocabulary's patterns don't know these four
@@ -110,7 +116,7 @@ class ChunkEncoder:
         for i, chunks in enumerate(split):
             at = np.fromiter(map(get, chunks), np.int64, len(chunks))
             lens = self.lens[at]
-            if (len(lens) and lens.min() < 0) or (firsts and chunks and (not firsts[i] or firsts[i][-1].isspace())):
+            if i in added or (len(lens) and lens.min() < 0) or (firsts and chunks and (not firsts[i] or firsts[i][-1].isspace())):
                 whole.append(i)
                 out.append(None)
                 continue
@@ -118,7 +124,7 @@ class ChunkEncoder:
             total = int(ends[-1]) if len(ends) else 0
             ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
             out.append(np.concatenate([np.array(heads[i], np.int32), ids]) if heads else ids)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+        for i, ids in zip(whole, self._ids([given[i] for i in whole])):
             out[i] = np.array(ids, np.int32)
         return out
 
@@ -127,7 +133,7 @@ def encoder(path: str, keeps_space: bool) -> ChunkEncoder:
     """This worker's encoder of a file, kept from task to task."""
     key = (path, keeps_space)
     if key not in _CACHE:
-        _CACHE[key] = ChunkEncoder(path, keeps_space)
+        _CACHE[key] = ChunkEncoder(path, keeps_space, takes_added=True)
     return _CACHE[key]
 
 
