@@ -87,13 +87,6 @@ def test_op1_against_the_library(spark):
     at = 0
     for r in sorted(rows, key=lambda r: r["start"]):
         assert r["start"] == at
-def test_repair_takes_the_most_frequent_pairs_where_the_cap_binds(monkeypatch):
-    monkeypatch.setattr(repair, "MOST_SYMBOLS", 101)
-    ids = np.array([1, 2] * 10 + [8, 9] * 50, np.int32)
-    symbols, _, rules = repair.compress(ids, np.array([len(ids)]), base=100)
-    assert rules.tolist() == [[8, 9]] and len(symbols) == 70 and repair.expand(symbols, rules, 100).tolist() == ids.tolist()
-
-
         at += r["n_tokens"]
         if r["doc_id"] != 9:
             ids = np.array(tok.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids + [2], "<u4")
@@ -129,6 +122,18 @@ def test_op2_held_out_accuracy_and_edges(spark, sf_dir):
     assert {r["lang_pred"] for r in language_crf.label_documents(frame(spark, EDGES), None).collect()} == {"und"}
 
 
+def test_op2_reads_the_whole_of_a_long_run(spark):
+    model = language_crf.train(["aa", "bb"], {0: [["foo", "fob", "fox"] * 30], 1: [["zip", "zap", "zim"] * 30]})
+    rows = [(1, "foofob" * 4 + "zipzap" * 330), (2, "fox " * 3 + "zipzap" * 100), (3, "fob " * 8)]
+    got = {r["doc_id"]: (r["lang_pred"], r["n_words"], r["switches"]) for r in language_crf.label_documents(frame(spark, rows), model).collect()}
+    assert got == {1: ("bb", 1, 1), 2: ("bb", 4, 1), 3: ("aa", 8, 0)}
+    for n in (1, 24, 40, 41, 64, 2000):
+        run = "".join(RNG.choice(list("abcdefé"), n))
+        pieces = language_crf.pieces_of([run])
+        assert "".join(p.strip("+")[2 * (p[0] == "+") :] for p in pieces) == run and max(map(len, pieces)) <= 40 and (n > 40 or pieces == [run])
+    assert len(language_crf.features("x" * 40)) == len(language_crf.features("x" * 30)) + 20
+
+
 # ---------------------------------------------------------------- near copies
 def brute_components(rows, words, percent):
     sets = []
@@ -146,18 +151,6 @@ def brute_components(rows, words, percent):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-def test_op2_reads_the_whole_of_a_long_run(spark):
-    model = language_crf.train(["aa", "bb"], {0: [["foo", "fob", "fox"] * 30], 1: [["zip", "zap", "zim"] * 30]})
-    rows = [(1, "foofob" * 4 + "zipzap" * 330), (2, "fox " * 3 + "zipzap" * 100), (3, "fob " * 8)]
-    got = {r["doc_id"]: (r["lang_pred"], r["n_words"], r["switches"]) for r in language_crf.label_documents(frame(spark, rows), model).collect()}
-    assert got == {1: ("bb", 1, 1), 2: ("bb", 4, 1), 3: ("aa", 8, 0)}
-    for n in (1, 24, 40, 41, 64, 2000):
-        run = "".join(RNG.choice(list("abcdefé"), n))
-        pieces = language_crf.pieces_of([run])
-        assert "".join(p.strip("+")[2 * (p[0] == "+") :] for p in pieces) == run and max(map(len, pieces)) <= 40 and (n > 40 or pieces == [run])
-    assert len(language_crf.features("x" * 40)) == len(language_crf.features("x" * 30)) + 20
-
-
                 label[find(i)] = find(j)
     low = defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(rows):
@@ -201,6 +194,19 @@ def test_trees_reach_the_recall():
     assert chosen_path.trees_for(0.99) <= chosen_path.trees_for(0.85) <= chosen_path.trees_for(0.8)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_a_pair_at_the_threshold_is_missed_no_more_than_the_recall_allows(spark, threshold):
+    from math import comb
+
+    n, cut = chosen_path.POSITIONS, chosen_path.least_agreeing(threshold, 1e-6 / 2)
+    miss = lambda c: sum(comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(c))
+    assert miss(cut) <= 1e-6 / 2 < miss(cut + 1)
+    sigs = np.zeros((2, n), np.uint16)
+    sigs[1, cut:] = 1
+    reps = spark.createDataFrame([(i, 100, s.tobytes(), [5, 6]) for i, s in enumerate(sigs)], "rep long, n_shingles long, sig binary, nodes array<long>")
+    assert chosen_path.candidate_pairs(reps, threshold).select("a", "b").collect() == [(0, 1)]
+
+
 # ---------------------------------------------------------------- warc
 def test_op4_round_trip(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u\r\nv", None), (4, "", ""), (0, "b", "<p>x</p>"), (None, "c", "<p>x</p>"), (5, "d", "é" * 5000), (6, "e", "<p>x</p> ")]
@@ -230,19 +236,6 @@ def test_warc_reader_rejects_damage():
             warc.parse_record(bad)
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.85])
-def test_a_pair_at_the_threshold_is_missed_no_more_than_the_recall_allows(spark, threshold):
-    from math import comb
-
-    n, cut = chosen_path.POSITIONS, chosen_path.least_agreeing(threshold, 1e-6 / 2)
-    miss = lambda c: sum(comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(c))
-    assert miss(cut) <= 1e-6 / 2 < miss(cut + 1)
-    sigs = np.zeros((2, n), np.uint16)
-    sigs[1, cut:] = 1
-    reps = spark.createDataFrame([(i, 100, s.tobytes(), [5, 6]) for i, s in enumerate(sigs)], "rep long, n_shingles long, sig binary, nodes array<long>")
-    assert chosen_path.candidate_pairs(reps, threshold).select("a", "b").collect() == [(0, 1)]
-
-
 # ---------------------------------------------------------------- decontamination
 def brute_leaks(docs, items, k=5, threshold=0.8):
     def weighed(w, n):
@@ -343,6 +336,23 @@ def test_op7_separates_and_scores_everything(spark):
     assert toxicity.score(docs.filter("false"), model).count() == 0
 
 
+def test_op7_finds_phrases_of_ordinary_words(spark):
+    rng = np.random.default_rng(17)
+    phrases = [list(rng.choice(VOCAB, 12, replace=False)) for _ in range(3)]
+    rows, labels = [], []
+    for i in range(450):
+        words, phrase = list(rng.choice(VOCAB, 60)), phrases[i % 3]
+        at = int(rng.integers(0, 49))
+        words[at : at + 12] = phrase if i % 2 else list(rng.permutation(phrase))  # the same words, in another order
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, i % 2))
+    docs, held = frame(spark, rows), toxicity.held_out(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), held)
+    got = [(d % 2, r["_score"] >= 0.5) for r in toxicity.score(docs, model).collect() if zlib.crc32(str(d := r["doc_id"]).encode()) % 5 == 0]
+    assert len(got) > 50 and sum(a == b for a, b in got) >= 0.9 * len(got)
+    assert [w.decode().split() for w in toxicity.windows(VOCAB[:30])] == [VOCAB[:16], VOCAB[8:24], VOCAB[16:30]]
+
+
 # ---------------------------------------------------------------- repeats
 def brute_repeats(rows, length):
     raws = [(t or "").encode() for _, t in rows]

@@ -3,9 +3,13 @@
 The ordinary dictionary is made of ordinary words; the toxic one is the same text with words
 of toxic documents after it, so that their difference in compressing a window shows only what
 toxic text explains. A window is one word in a fixed frame of common words, which the
-compressor needs to be able to code a match at all. A document's largest two differences and
-its number of distinct words give, by a logistic model fitted on labelled documents that the
-dictionaries have not seen, its score.
+compressor needs to be able to code a match at all.
+
+A second pair of dictionaries, of equal size, holds passages of toxic and of ordinary
+documents, words in their order. The whole text is compressed by both in windows of
+WINDOW words, of which neighbours share some. The largest two differences of either pair, the
+mean over windows and the number of distinct words give, by a logistic model fitted on
+labelled documents that the dictionaries have not seen, a document's score.
 """
 
 from __future__ import annotations
@@ -33,10 +37,15 @@ LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 3.0
 #: Of each CALIBRATION_OF labelled documents one is kept from the dictionaries, for the calibration.
 CALIBRATION_OF = 3
 SHORTEST_MATCH, TOP = 5, 9
+#: Bytes of each dictionary of passages, characters of a document in it at least, words of a window and from one to the next.
+PASSAGE_BYTES, PASSAGE_CHARS, WINDOW, WINDOW_STEP = 524_288, 400, 16, 8
+#: Differences of windows beyond so many bytes count as that.
+FAR = 60
+SIZE = 2 * (TOP + 2) + 5
 CACHED_WORDS = 600_000
 WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
-_OPENED: dict[tuple[int, int], Distances] = {}
+_OPENED: dict[tuple[int, ...], Distances] = {}
 
 
 def _press(text: bytes) -> zstandard.ZstdCompressor:
@@ -49,27 +58,46 @@ def _press(text: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=loaded, compression_params=params)
 
 
+def _press_passages(text: bytes) -> zstandard.ZstdCompressor:
+    loaded = zstandard.ZstdCompressionDict(b" the words " + text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    params = zstandard.ZstdCompressionParameters.from_level(
+        3, window_log=20, hash_log=19, chain_log=18, search_log=3, min_match=SHORTEST_MATCH, target_length=64,
+        strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    loaded.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=loaded, compression_params=params)
+
+
+def windows(words: list[str]) -> list[bytes]:
+    """Windows of WINDOW words that cover all of `words`."""
+    return [" ".join(words[i : i + WINDOW]).encode() for i in range(0, max(1, len(words) - WINDOW + WINDOW_STEP), WINDOW_STEP)] if words else []
+
+
 @dataclass
 class Model:
-    """Texts of the two dictionaries, the frame around a word, and the logistic weights."""
+    """Texts of the two dictionaries of words and the two of passages, the frame around a word, and the logistic weights."""
 
     ordinary: bytes
     toxic: bytes
     before: bytes
     after: bytes
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * (TOP + 2) + 2))
+    ordinary_passages: bytes = b""
+    toxic_passages: bytes = b""
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(SIZE))
 
     @classmethod
-    def of(cls, ordinary: list[str], toxic: list[str]) -> Model:
-        """From words, the most frequent first. Later text is nearer to a window, so it comes last."""
+    def of(cls, ordinary: list[str], toxic: list[str], passages: tuple[list[str], list[str]]) -> Model:
+        """From words, the most frequent first, and ordinary and toxic passages. Later text is nearer to a window, so it comes last."""
         common = (ordinary * 12)[:12] if ordinary else ["the"] * 12
         before, after = " ".join(common[:8]).encode() + b" ", b" " + " ".join(common[8:]).encode() + b" "
         text = lambda ws, size: (" " + " ".join(reversed(ws)) + " ").encode()[-size:]
-        return cls(text(ordinary, ORDINARY_BYTES), text(toxic, TOXIC_BYTES), before, after)
+        both = [" ".join(p).encode() for p in passages]
+        size = min(PASSAGE_BYTES, *map(len, both))  # equal, so that neither has more to offer by chance
+        return cls(text(ordinary, ORDINARY_BYTES), text(toxic, TOXIC_BYTES), before, after, *(b[:size] for b in both))
 
     def opened(self) -> Distances:
         """The model's distances in this worker, kept from task to task."""
-        key = zlib.crc32(self.ordinary), zlib.crc32(self.toxic)
+        key = tuple(map(zlib.crc32, (self.ordinary, self.toxic, self.ordinary_passages, self.toxic_passages)))
         if key not in _OPENED:
             frame = self.after + self.before
             _OPENED.clear()
@@ -83,6 +111,7 @@ class Distances:
     def __init__(self, model: Model, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor):
         self.model, self.ordinary, self.toxic, self.known = model, ordinary, toxic, {}
         text = model.toxic
+        self.passages = _press_passages(model.ordinary_passages), _press_passages(model.toxic_passages)
         self.matchable = {text[i : i + SHORTEST_MATCH] for i in range(len(text) - SHORTEST_MATCH + 1)}
 
     def of(self, words: set[str]) -> list[int]:
@@ -103,15 +132,21 @@ class Distances:
         return [known[w] for w in words]
 
     def features(self, text: str | None) -> np.ndarray:
-        """One-hot largest and second largest distance, log of distinct words, and 1."""
+        """One-hot largest and second largest distance, those of windows and their mean, log of distinct words, and 1."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        words = set(_WORD.findall((text or "").lower()))
+        found = _WORD.findall((text or "").lower())
+        words = set(found)
         best = heapq.nlargest(2, self.of(words))
-        out = np.zeros(2 * (TOP + 2) + 2)
+        out = np.zeros(SIZE)
         for i in range(2):
             d = best[i] if i < len(best) else -1
             out[i * (TOP + 2) + 1 + max(-1, min(TOP, d))] = 1
+        if found and self.model.toxic_passages:
+            plain, toxic = (p.compress for p in self.passages)
+            far = [max(-FAR, min(FAR, len(plain(w)) - len(toxic(w)))) for w in windows(found)]
+            largest = heapq.nlargest(2, far)
+            out[-5], out[-4], out[-3] = largest[0] / 10, largest[-1] / 10, sum(far) / len(far) / 10
         out[-2], out[-1] = math.log1p(len(words)) / 10, 1
         return out
 
@@ -147,14 +182,22 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     totals = sample.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in sums.items())).first()
     counts = sample.select("_toxic", "_own", words).groupBy("word").agg(*(F.sum(x).alias(k) for k, x in sums.items()))
     counts = written(counts.filter("t_all + o_all > 1"), "toxic-words")
+    # of each document a passage, the longer the fewer there are
+    text = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), " ")
+    share = F.when(F.col("_toxic") == 1, max(PASSAGE_CHARS, PASSAGE_BYTES // max(1, totals["t_fit"])))
+    share = share.otherwise(max(PASSAGE_CHARS, PASSAGE_BYTES // max(1, totals["o_fit"])))
+    sized = sample.select("_toxic", "_own", F.xxhash64("text").alias("_hash"), text.alias("text"), share.alias("_share"))
+    start = F.pmod(F.col("_hash"), F.greatest(F.lit(1), F.length("text") - F.col("_share") + 1)).cast("int")
+    passages = sized.withColumn("text", F.substring(F.col("text"), start + 1, F.col("_share"))).orderBy("_hash").select("text", "_toxic", "_own").collect()
     models = []
     for part in ("fit", "all"):
+        of_part = [[r["text"] for r in passages if r["_toxic"] == k and not (part == "fit" and r["_own"])] for k in (0, 1)]
         t, o, n = F.col(f"t_{part}"), F.col(f"o_{part}"), totals[f"t_{part}"]
         odds = F.log((t + 0.5) / (n + 1)) - F.log((o + 0.5) / (totals[f"o_{part}"] + 1))
         least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n))
         toxic = counts.filter((t >= least) & (odds > LEAST_ODDS)).orderBy(t.desc(), "word").limit(TOXIC_WORDS)
         plain = counts.filter((o > 0) & (odds < 1)).orderBy(o.desc(), "word").limit(ORDINARY_WORDS)
-        models.append(Model.of(*([r["word"] for r in found.select("word").collect()] for found in (plain, toxic))))
+        models.append(Model.of(*([r["word"] for r in found.select("word").collect()] for found in (plain, toxic)), of_part))
     model = models[0]
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
