@@ -4,19 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+_HELD: dict[Hashable, Any] = {}
+_OWN: list[str] = []
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What `make` makes, kept in this Python worker until another key is asked for, so that stages don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share, of spark.checkpoint.dir, which has to be set on a cluster.
+
+    A local master, where driver and executors are one process, gets a temporary folder where it is unset.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="veridoc-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="veridoc-"))
+    return _OWN[0]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -32,7 +32,7 @@ SHARD_IDS = 1_000_000
 #: A pair becomes a rule from so many occurrences in its shard; a round takes pairs down to a share of the top count.
 MIN_COUNT, ROUND_SHARE = 16, 16
 #: Ids and nonterminals of a shard are below this.
-MOST_SYMBOLS = 1 << 16
+MOST_SYMBOLS, BUCKET_BITS = 1 << 16, 18
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -40,16 +40,21 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray,
     """Symbols, symbols of each document, and rules (n x 2) of documents of `lens` ids each, all below `base`.
 
     A round replaces all the pairs it takes at once; where two of them overlap, the left one
-    wins, and every second one in a run.
+    wins, and every second one in a run. An old pair never becomes more frequent, so a round
+    counts what the one before could have taken, and the places next to what it replaced.
     """
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)  # where a document ends
     last[np.cumsum(lens)[lens > 0] - 1] = True
     rules: list[np.ndarray] = []
-    top = base
-    while len(s) > 1:
-        keys = (s[:-1] << np.uint32(16)) | s[1:]
-        ordered = np.sort(keys[~last[:-1]])
+    top, maybe = base, np.flatnonzero(~last)
+    while len(maybe):
+        keys = (s[maybe] << np.uint32(16)) | s[maybe + 1]
+        # a pair is at most as frequent as its bucket, so the others need no counting
+        bucket = ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+        often = (np.bincount(bucket, minlength=1 << BUCKET_BITS) >= MIN_COUNT)[bucket]
+        maybe, keys, bucket = maybe[often], keys[often], bucket[often]
+        ordered = np.sort(keys)
         if not len(ordered):
             break
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -63,15 +68,19 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray,
         taken = ordered[first[often]]
         if not len(taken):
             break
-        lefts, rights = np.zeros(MOST_SYMBOLS, bool), np.zeros(MOST_SYMBOLS, bool)
-        lefts[taken >> np.uint32(16)], rights[taken & np.uint32(0xFFFF)] = True, True
-        maybe = np.flatnonzero(lefts[s[:-1]] & rights[s[1:]] & ~last[:-1])
-        at = np.searchsorted(taken, keys[maybe])
-        at[at == len(taken)] = 0
-        real = taken[at] == keys[maybe]
-        hits, at = maybe[real], at[real]
+        place = np.full(1 << BUCKET_BITS, -1, np.int32)  # of a pair among those taken, by bucket
+        of_taken = (taken * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+        place[of_taken] = np.arange(len(taken))
+        some = np.flatnonzero(place[bucket] >= 0)
+        at = place[bucket[some]].astype(np.int64)
+        crowded = np.bincount(of_taken, minlength=1 << BUCKET_BITS) > 1
+        if crowded.any():
+            other = np.flatnonzero(crowded[bucket[some]])
+            at[other] = np.minimum(np.searchsorted(taken, keys[some[other]]), len(taken) - 1)
+        real = taken[at] == keys[some]
+        hits, at = maybe[some[real]], at[real]
         # in a run of overlapping hits every second one is taken
-        new_run = np.concatenate([[True], hits[1:] != hits[:-1] + 1]) if len(hits) else np.zeros(0, bool)
+        new_run = np.concatenate([[True], hits[1:] != hits[:-1] + 1])
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hits)), 0))
         chosen = (np.arange(len(hits)) - run_start) % 2 == 0
         hits, at = hits[chosen], at[chosen]
@@ -79,7 +88,13 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray,
         last[hits] = last[hits + 1]
         keep = np.ones(len(s), bool)
         keep[hits + 1] = False
+        place = np.cumsum(keep, dtype=np.int64) - 1
+        again = np.zeros(int(place[-1]) + 1, bool)
+        again[place[maybe[keep[maybe]]]] = True
+        again[place[hits]] = True
+        again[np.maximum(place[hits] - 1, 0)] = True
         s, last = s[keep], last[keep]
+        maybe = np.flatnonzero(again & ~last)
         rules.append(np.stack([taken >> np.uint32(16), taken & np.uint32(0xFFFF)], 1))
         top += len(taken)
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
@@ -88,21 +103,39 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray,
     return s, counts.astype(np.uint32), rule
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that `symbols` stand for."""
-    s = symbols.astype(np.int64)
+def spelled(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What every symbol stands for: its start and length in an array of ids. A rule names only symbols before its own."""
+    s = np.arange(base, base + len(rules), dtype=np.int64)
+    rule = np.arange(len(rules))
     while len(s) and (big := s >= base).any():
-        out = np.repeat(s, np.where(big, 2, 1))
-        at = np.cumsum(np.where(big, 2, 1)) - 2
+        wide = np.where(big, 2, 1)
+        out, at = np.repeat(s, wide), np.cumsum(wide) - wide
         out[at[big]] = rules[s[big] - base, 0]
         out[at[big] + 1] = rules[s[big] - base, 1]
-        s = out
-    return s.astype(np.uint32)
+        s, rule = out, np.repeat(rule, wide)
+    lens = np.concatenate([np.ones(base, np.int64), np.bincount(rule, minlength=len(rules)).astype(np.int64)])
+    return np.concatenate([np.arange(base), s]).astype(np.uint32), np.cumsum(lens) - lens, lens
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids that `symbols` stand for."""
+    return looked_up(symbols, spelled(rules, base))
+
+
+def looked_up(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """As `expand`, by a table of `spelled`."""
+    ids, starts, lens = table
+    n = lens[symbols]
+    ends = np.cumsum(n)
+    return ids[np.repeat(starts[symbols] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def write_shard(doc_ids: np.ndarray, docs: list[np.ndarray], base: int) -> bytes:
+    """A shard's bytes, of documents' ids below `base`; symbols have 16 bits, so ids that have not are refused."""
     lens = np.fromiter(map(len, docs), np.int64, len(docs))
     ids = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    if not 0 < base <= MOST_SYMBOLS or (len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < base):
+        raise ValueError(f"ids have to be below base, and base up to {MOST_SYMBOLS}")
     symbols, counts, rules = compress(ids, lens, base)
     sizes = np.ones(len(rules), np.uint32)
     for i, (a, b) in enumerate(rules.tolist()):
@@ -127,9 +160,10 @@ class Shard:
             at += part.nbytes
         self.rules = self.rules.reshape(-1, 2)
         self.ends = np.cumsum(self.counts, dtype=np.int64)
+        self.table = spelled(self.rules, self.base)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        return looked_up(self.symbols, self.table)
 
     def ids(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids `start` to `stop` of the i-th document; only symbols that overlap the range are expanded."""
@@ -141,7 +175,7 @@ class Shard:
         ends = np.cumsum(size)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         before = int(ends[a - 1]) if a else 0
-        return expand(part[a:b], self.rules, self.base)[start - before : max(start, stop) - before]
+        return looked_up(part[a:b], self.table)[start - before : max(start, stop) - before]
 
 
 def write_ids(docs: DataFrame, path: str, keeps_space: bool, end_id: int, base: int) -> DataFrame:

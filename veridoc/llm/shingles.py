@@ -6,10 +6,10 @@ import numpy as np
 
 _BYTES = np.arange(256)
 _SPACE = np.isin(_BYTES, [0x20, *range(0x09, 0x0E)])
-_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint64) + np.uint64(1)
-_LOWER[_SPACE] = 0
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+#: What each byte counts as in a word's hash: A-Z as a-z, white space, which parts words, as nothing.
+LOWER_VALUES = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint64) + np.uint64(1)
+LOWER_VALUES[_SPACE] = 0
+_PLACES = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,6 +20,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: An odd factor for every place in a word; places beyond get one more, by which turn of the table they are in.
+_FACTORS = mix(np.arange(1, _PLACES + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words, the runs of bytes other than ASCII white space."""
     edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8))
@@ -34,13 +38,21 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def word_hashes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """As `word_hashes`, for the words of `data` (bytes) with these bounds."""
+    return span_hashes(data, starts, ends, LOWER_VALUES)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of `data` in order; `values` says what a byte counts as, 0 for the bytes between spans."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
     spans = np.diff(np.append(starts, len(data)))
     at = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_LOWER[data[starts[0] :]] * _POWERS[at & 0xFFFF], starts - starts[0])
+        factors = _FACTORS[at & (_PLACES - 1)]
+        if lens.max() > _PLACES:
+            factors = factors * (mix((at // _PLACES).astype(np.uint64)) | np.uint64(1))
+        sums = np.add.reduceat(values[data[starts[0] :]] * factors, starts - starts[0])
         return mix(sums + lens.astype(np.uint64))
 
 
