@@ -241,7 +241,7 @@ def brute_leaks(docs, items, k=5, threshold=0.8):
     def weighed(w, n):
         c = Counter()
         for i in range(len(w) - n + 1):
-            c[tuple(w[i : i + n])] += min(255, sum(len(x) + 1 for x in w[i : i + n]))
+            c[tuple(w[i : i + n])] += sum(len(x) + 1 for x in w[i : i + n])
         return c
 
     out = {}

@@ -7,7 +7,7 @@ fingerprints within 41 bits of each other can't all but two differ by three bits
 (14 x 3 > 41), so three bytes at least are within two bits, which tables by byte value tell.
 A candidate is confirmed by the exact weighted similarity of the shingles of the item and of
 the best window of the item's own size near by. A shingle weighs as many units as it has
-characters, times its occurrences.
+bytes, times its occurrences.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .shingles import mix, shingle_hashes, word_hashes, words_of_all
 
 BITS, RADIUS, NEAR_BITS, NEAR_BYTES = 128, 41, 2, 3
 #: Items in a class differ by this ratio in size; windows step by 1/STEPS of theirs.
 RATIO, STEPS = 1.15, 8
 #: Items that one pass over the documents looks for, items of one lookup, and words that are worked on at once.
-BLOCK_ITEMS, LOOKUP_ITEMS, BATCH_WORDS = 4096, 64, 120_000
-MOST_WEIGHT = 255
+BLOCK_ITEMS, LOOKUP_ITEMS, BATCH_WORDS = 4096, 64, 60_000
 
 
 @dataclass
@@ -50,9 +50,26 @@ def signs(hashes: np.ndarray) -> np.ndarray:
 
 
 def _weights(lens: np.ndarray, k: int) -> np.ndarray:
-    """Characters of each shingle: its words and a space after each, MOST_WEIGHT at most."""
+    """Bytes of each shingle: its words and a space after each."""
     sums = np.concatenate([[0], np.cumsum(lens + 1)])
-    return np.minimum(sums[k:] - sums[:-k], MOST_WEIGHT)
+    return sums[k:] - sums[:-k]
+
+
+class Shingles:
+    """A set of hashes; a table of bits by their high part tells most of the others from them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        bits = min(24, max(12, len(self.sorted).bit_length() + 4))
+        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.table[(self.sorted >> self.shift).astype(np.int64)] = True
+
+    def members(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of `hashes` that are in the set."""
+        maybe = np.flatnonzero(self.table[(hashes >> self.shift).astype(np.int64)])
+        at = np.searchsorted(self.sorted, hashes[maybe])
+        at[at == len(self.sorted)] = 0
+        return maybe[self.sorted[at] == hashes[maybe]]
 
 
 class Lookup:
@@ -96,13 +113,13 @@ class Index:
             weight = _weights(lens, k)
             known, at = np.unique(h, return_inverse=True)
             total = np.bincount(at, weight).astype(np.int64)
-            print_ = simhashes((signs(h).astype(np.int32) * weight[:, None].astype(np.int32)).sum(0, keepdims=True))
+            print_ = simhashes((signs(h) * weight[:, None]).sum(0, keepdims=True))
             by_k.setdefault(k, []).append((Item(item_id, known, total, len(h)), print_))
         self.classes: dict[int, list[tuple[int, list[Lookup]]]] = {}
-        self.shingles: dict[int, np.ndarray] = {}
+        self.shingles: dict[int, Shingles] = {}
         for k, found in by_k.items():
             found.sort(key=lambda x: x[0].size)
-            self.shingles[k] = np.unique(np.concatenate([i.hashes for i, _ in found]))
+            self.shingles[k] = Shingles(np.concatenate([i.hashes for i, _ in found]))
             while found:
                 n = sum(i.size <= found[0][0].size * RATIO for i, _ in found)
                 part, found = found[:n], found[n:]
@@ -122,53 +139,89 @@ def _similarity(item: Item, hashes: np.ndarray, weights: np.ndarray) -> float:
     return float(shared / (item.weights.sum() + total.sum() - shared))
 
 
+def _best(item: Item, starts: np.ndarray, high: int, hashes: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[float, int] | None:
+    """(similarity, start) of the item's best window among those that start at `starts` and end by `high`, the first of equals.
+
+    A window shares at most the weight of those of its shingles that the item has too; windows
+    are compared exactly in the order of the similarity that this allows, as long as it can win.
+    """
+    low = int(starts[0])
+    part, weight = hashes[low:high], weights[low:high]
+    where = np.searchsorted(item.hashes, part)
+    where[where == len(item.hashes)] = 0
+    sums = np.concatenate([[0], np.cumsum(weight)])
+    owned = np.concatenate([[0], np.cumsum(weight * (item.hashes[where] == part))])
+    begin, end = starts - low, np.minimum(starts + item.size, high) - low
+    mine, total = int(item.weights.sum()), sums[end] - sums[begin]
+    most = np.minimum(owned[end] - owned[begin], np.minimum(mine, total))
+    bound = most / (mine + total - most)
+    found = None
+    for j in np.lexsort((starts, -bound)).tolist():
+        if bound[j] < (found[0] if found else threshold) - 1e-9:
+            break
+        s = _similarity(item, part[begin[j] : end[j]], weight[begin[j] : end[j]])
+        if s >= threshold and (found is None or (s, -starts[j]) > (found[0], -found[1])):
+            found = (s, int(starts[j]))
+    return found
+
+
 def search(index: Index, words: np.ndarray, doc: np.ndarray, lens: np.ndarray, threshold: float) -> list[tuple[int, int, float, int]]:
-    """(document's number, item_id, similarity, first word's place in `words`) of each pair's best window, of words of documents in turn."""
+    """(document's number, item_id, similarity, first word's place in `words`) of each pair's best window, of words of documents in turn.
+
+    A window that shares no shingle with any item has no similarity with one, so fingerprints
+    are made only of windows that hold a shingle of the items'.
+    """
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for k, classes in index.classes.items():
         n = len(words) - k + 1
         if n < 1:
             continue
-        h, weight = shingle_hashes(words, k)[:n], _weights(lens, k)
-        whole = doc[:n] == doc[k - 1 :]
-        at = np.flatnonzero(whole)  # shingles within a document
-        if not len(at):
+        at = np.flatnonzero(doc[:n] == doc[k - 1 :])  # shingles within a document
+        h = shingle_hashes(words, k)[:n][at]
+        hits = index.shingles[k].members(h)
+        if not len(hits):
             continue
-        h, weight, of = h[at], weight[at], doc[at]
-        ends = np.searchsorted(of, of, "right")
-        first = np.searchsorted(of, of, "left")
-        kind = np.int16 if max(size for size, _ in classes) * MOST_WEIGHT < 32_000 else np.int32
-        sums = np.zeros((len(h) + 1, BITS), kind)
-        np.cumsum(signs(h).astype(kind) * weight[:, None].astype(kind), axis=0, dtype=kind, out=sums[1:])
-        table = index.shingles[k]
-        where = np.searchsorted(table, h)
-        where[where == len(table)] = 0
-        shared = np.concatenate([[0], np.cumsum(table[where] == h)])
+        weight, of = _weights(lens, k)[at], doc[at]
+        ends, first = np.searchsorted(of, of, "right"), np.searchsorted(of, of, "left")
+        shared = np.zeros(len(h) + 1, np.int64)
+        shared[hits + 1] = 1
+        np.cumsum(shared, out=shared)
+        reach = max(size for size, _ in classes)
+        edge = np.zeros(len(h) + 1, np.int64)
+        np.add.at(edge, np.maximum(first[hits], hits - reach), 1)
+        np.add.at(edge, np.minimum(ends[hits], hits + reach + 1), -1)
+        near = np.cumsum(edge[:-1]) > 0
+        kind = np.int32 if int(weight.sum()) < 1 << 31 else np.int64
+        sums = np.zeros((int(near.sum()) + 1, BITS), kind)
+        np.cumsum(signs(h[near]) * weight[near, None].astype(kind), axis=0, out=sums[1:])
+        row = np.concatenate([[0], np.cumsum(near)])  # of a shingle's place among `sums`
         place = np.arange(len(h))
         for size, lookups in classes:
             step = max(1, size // STEPS)
             start = place[(place - first) % step == 0]
             stop = np.minimum(start + size, ends[start])
             # a window cut by the document's end must still be able to reach the threshold
-            fits = (stop - start) * RATIO * RATIO >= threshold * size
+            fits = ((stop - start) * RATIO * RATIO >= threshold * size) & (shared[stop] > shared[start])
             start, stop = start[fits], stop[fits]
-            prints = simhashes(sums[stop] - sums[start])
+            prints = simhashes(sums[row[stop]] - sums[row[start]])
             for lookup in lookups:
                 for j, rows in lookup.within(prints):
-                    item = lookup.items[j]
-                    reach = step + abs(size - item.size)
-                    for i in start[rows].tolist():
-                        low, high = max(first[i], i - reach), min(ends[i], i + reach + item.size)
-                        if shared[high] == shared[low]:
+                    item, mark = lookup.items[j], np.zeros(len(h) + 1, np.int64)
+                    from_ = start[rows]
+                    span = step + abs(size - item.size)
+                    low = np.maximum(first[from_], from_ - span)
+                    top = np.maximum(low, np.minimum(from_ + span, ends[from_] - item.size))
+                    np.add.at(mark, low, 1)
+                    np.add.at(mark, top + 1, -1)
+                    starts = np.flatnonzero(np.cumsum(mark[:-1]))
+                    for part in np.split(starts, np.flatnonzero(np.diff(of[starts])) + 1):
+                        high = int(min(ends[part[0]], part[-1] + item.size))
+                        if shared[high] == shared[part[0]]:
                             continue
-                        for a in range(low, max(low, min(i + reach, high - item.size)) + 1):
-                            b = min(a + item.size, high)
-                            if shared[b] == shared[a]:
-                                continue
-                            s = _similarity(item, h[a:b], weight[a:b])
-                            key = (int(of[i]), item.item_id)
-                            if s >= threshold and (s, -int(at[a])) > best.get(key, (0.0, 0)):
-                                best[key] = (s, -int(at[a]))
+                        found = _best(item, part, high, h, weight, threshold)
+                        key = (int(of[part[0]]), item.item_id)
+                        if found and (found[0], -int(at[found[1]])) > best.get(key, (0.0, 0)):
+                            best[key] = (found[0], -int(at[found[1]]))
     return [(d, item, s, -p) for (d, item), (s, p) in best.items()]
 
 
@@ -178,10 +231,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold:
     The similarity is that of the best window, start_word the number of words before it. Items
     of fewer than `words` words are one shingle; items and texts that are null or without
     words match nothing, and neither do rows without item_id or doc_id. Items are taken in
-    blocks of BLOCK_ITEMS, each of which is one pass over the documents. Rows that share a
-    doc_id are searched each for itself.
+    blocks of about BLOCK_ITEMS, one after another, each of which is one pass over the
+    documents. Rows that share a doc_id are searched each for itself, and the best window
+    counts; so it is with rows that share an item_id. Tables without rows give none.
     """
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator()]
+    spark = docs.sparkSession
+    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     schema = "doc_id long, item_id long, similarity double, start_word long"
 
     def searched(block: list[tuple[int, str]]):
@@ -195,16 +252,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold:
                     for n, item, s, p in search(index, w, d, lens, threshold):
                         found.append((ids[part[n]], item, s, int(p - begin[n] + offsets[n])))
                 if found:
-                    out = pd.DataFrame(found, columns=["doc_id", "item_id", "similarity", "start_word"])
-                    yield out
+                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "similarity", "start_word"])
 
         return run
 
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    passes = [rows.mapInPandas(searched(items[i : i + BLOCK_ITEMS]), schema) for i in range(0, max(1, len(items)), BLOCK_ITEMS)]
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
+    out = spark.createDataFrame([], schema)
+    for i in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
+        found = rows.mapInPandas(searched([tuple(r) for r in block.collect()]), schema)
+        out = found if blocks == 1 else out.unionByName(written(found, "leaks"))
     top = F.max(F.struct("similarity", (-F.col("start_word")).alias("at"))).alias("top")
     return out.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "top.similarity", (-F.col("top.at")).alias("start_word"))
 
@@ -216,7 +272,7 @@ def _portions(texts: list[str], margin: int) -> Iterator[tuple[list[int], list[i
     """
     held, size = [], 0
     for i, t in enumerate(texts):
-        if len(t) > BATCH_WORDS * 4:
+        if len(t) > BATCH_WORDS * 6:
             w, _, lens = words_of_all([t])
             for at in range(0, max(1, len(w) - margin), BATCH_WORDS):
                 part = slice(at, at + BATCH_WORDS + margin)
