@@ -183,6 +183,37 @@ def test_op3_against_brute_force(spark, monkeypatch, words, percent, small):
     assert chosen_path.near_components(frame(spark, rows).filter("false"), words, percent).count() == 0
 
 
+def linked_pairs(rows, words, percent):
+    sets = {d: shingles.shingle_set(t, words).tolist() for d, t in rows}
+    sets = {d: frozenset(s) for d, s in sets.items()}
+    ids = sorted(sets)
+    return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
+def test_op3_keeps_the_links_of_a_group_larger_than_a_small_node(spark, monkeypatch, words, percent):
+    monkeypatch.setattr(chosen_path, "SMALL", 64)
+    monkeypatch.setattr(chosen_path, "BLOCK", 40)
+    rows = near_copies_of(sentence(150), 300, 9, 1000) + [(2000 + i, sentence(80)) for i in range(40)]
+    docs = frame(spark, rows)
+    want = linked_pairs(rows, words, percent)
+    sets = chosen_path.shingled(docs, words, chosen_path.trees_for(percent / 100)).withColumnRenamed("doc_id", "rep")
+    met = {tuple(sorted(r)) for r in chosen_path.candidate_pairs(sets, percent / 100).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_components(docs, words, percent).collect()}
+    assert len(want) > 3000
+    # a forest stands for the pairs that the signatures are sure of, so links count as kept where a component does
+    assert sum(got[a] == got[b] for a, b in want) >= 0.999 * len(want)
+    assert got == {d: c for d, (_, c) in brute_components(rows, words, percent).items()}
+    assert len(met) < 300 * 299 / 2 + 100
+
+
+def test_op3_takes_one_text_for_a_repeated_doc_id(spark):
+    rows = [(1, sentence(50, 1)), (1, sentence(50, 2)), (2, sentence(50, 1)), (3, sentence(50, 2)), (1, None)]
+    got = [sorted(tuple(r) for r in chosen_path.near_components(frame(spark, rows[:n]), 3, 85).collect()) for n in (4, 5)]
+    assert [r[0] for r in got[0]] == [1, 2, 3] and got[1] == [(1, 0, 1, True), (2, 48, 2, True), (3, 48, 3, True)]
+    assert sum(r[2] == 1 for r in got[0]) == 2
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 50), (100, 101), (7, 7), (102, 101)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

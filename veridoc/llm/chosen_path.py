@@ -6,10 +6,15 @@ the node's own name selects; a small node is compared exhaustively. Enough trees
 for a pair at the threshold to meet with the probability RECALL. Documents meet as minwise
 signatures; what these can't rule out is confirmed on full shingle sets.
 
+A large node whose rows mostly stay together when it branches is a group of near copies, which
+more branching would only multiply; it is compared block by block instead.
+
 Documents with equal sets are one class from the start, and only its smallest doc_id enters
 the trees, so copies cost nothing. Within a node, pairs that the signatures put far above
 the threshold are confirmed along a spanning forest alone: the pairs it leaves out could not
-change a component. A pair that meets in several trees counts in the first one only.
+change a component. Candidates leave a node as one row per block of its documents, the likeliest
+first, and pairs that are connected already are not confirmed. A pair that meets in several trees
+counts in the first one only.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, let_go, written
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -30,10 +35,10 @@ from .shingles import mix, shingle_set
 POSITIONS, ABOVE = 192, 4.5
 #: Of a pair at the threshold; trees and signatures may each miss half of the rest.
 RECALL, BRANCHES = 0.999999, 2
-#: Documents of a node that is compared exhaustively, and levels of branching above that.
-SMALL, DEPTH = 4096, 24
-#: Groups over which copies are spread; documents of a node whose sets travel together.
-SALTS, BLOCK = 16, 64
+#: Documents of a node that is compared exhaustively, levels of branching above that, and the share of a node in one child that makes it tight.
+SMALL, DEPTH, TIGHT = 4096, 24, 0.5
+#: Groups over which copies are spread; documents of a node whose sets travel together, and shingles of those.
+SALTS, BLOCK, BLOCK_SHINGLES = 16, 512, 1_000_000
 #: Candidates' ids (a long each) up to which they are broadcast, so that the texts are not shuffled to them.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(20240229)
@@ -84,11 +89,12 @@ def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.nda
     """Pairs of a node's rows worth confirming: those that may reach `limit`, thinned to a forest among the sure ones.
 
     Left out are pairs that an earlier tree compares: those with the same first node there, if it was small.
+    Rows of the sides 0 and 1 are compared across alone.
     """
     n, tree = len(g), g["tree"].iat[0]
     sigs = np.ascontiguousarray(np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(n, -1).T)
     nodes, small = np.stack(g["nodes"].to_list()).T[:tree], g["small"].to_numpy()
-    sizes = g["n_shingles"].to_numpy(np.float32)
+    sizes, side = g["n_shingles"].to_numpy(np.float32), g["side"].to_numpy()
     may, sure = np.zeros((n, n), bool), np.zeros((n, n), bool)
     for at in range(0, n, 256):
         part = slice(at, at + 256)
@@ -96,6 +102,8 @@ def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.nda
         for row in sigs:
             same += row[part, None] == row[None, :]
         here = (same >= low) & (np.minimum(sizes[part, None], sizes[None, :]) >= limit * np.maximum(sizes[part, None], sizes[None, :]) - 1e-3)
+        if (side < 2).any():
+            here &= side[part, None] != side[None, :]
         if here.any():
             for t, row in enumerate(nodes):
                 here &= (row[part, None] != row[None, :]) | ((small[part] >> t) & 1 == 0)[:, None]
@@ -121,7 +129,23 @@ def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.nda
         up = a + at < b
         left.append(a[up] + at)
         right.append(b[up])
-    return np.concatenate(left), np.concatenate(right)
+    left, right = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+    agree = np.concatenate([(sigs[:, left[i : i + 4096]] == sigs[:, right[i : i + 4096]]).sum(0) for i in range(0, len(left), 4096)] or [left])
+    likely = np.argsort(-agree, kind="stable")
+    return left[likely], right[likely]
+
+
+def _blocks(g: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, list[int], bytes]]:
+    """(block, ids, pairs) of a node's candidates: at most two blocks' documents, and places among them, two an int32 pair."""
+    ids, sizes = g["rep"].to_numpy(), g["n_shingles"].to_numpy(np.int64)
+    block = np.maximum.accumulate(np.maximum(np.arange(len(g)) // BLOCK, np.cumsum(sizes) // BLOCK_SHINGLES))
+    both = np.minimum(block[left], block[right]) * (int(block[-1]) + 1) + np.maximum(block[left], block[right])
+    with np.errstate(over="ignore"):
+        keys = mix(np.uint64(int(g["node"].iat[0]) & ((1 << 63) - 1)) + both.astype(np.uint64)).view(np.int64)
+    for b in np.unique(both).tolist():
+        at = np.flatnonzero(both == b)
+        members, where = np.unique(np.concatenate([left[at], right[at]]), return_inverse=True)
+        yield int(keys[at[0]]), ids[members].tolist(), where.reshape(2, -1).T.astype("<i4").tobytes()
 
 
 def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -141,10 +165,17 @@ def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    """128 bits and the size of a shingle set: equal for equal sets."""
+    with np.errstate(over="ignore"):
+        return np.array([shingles.sum(dtype=np.uint64), mix(shingles).sum(dtype=np.uint64), len(shingles)], np.uint64).tobytes()
+
+
 def shingled(docs: DataFrame, words: int, trees: int) -> DataFrame:
     """doc_id, n_shingles, set_key, sig and nodes of every document with an id."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
@@ -152,23 +183,23 @@ def shingled(docs: DataFrame, words: int, trees: int) -> DataFrame:
                 if not len(s):
                     out.append((doc_id, 0, None, None, None))
                     continue
-                with np.errstate(over="ignore"):
-                    key = np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64), len(s)], np.uint64).tobytes()
+                key = set_key(s)
                 sig, nodes = signature(s, trees)
                 out.append((doc_id, len(s), key, sig.tobytes(), nodes.view(np.int64).tolist()))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "sig", "nodes"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, sig binary, nodes array<long>")
+    return in_batches(docs.filter("doc_id is not null").select("doc_id", "text"), rows, "doc_id long, n_shingles long, set_key binary, sig binary, nodes array<long>")
 
 
-_ROW = "rep long, n_shingles long, sig binary, nodes array<long>, small int, tree int, node long"
+_ROW = "rep long, n_shingles long, sig binary, nodes array<long>, small int, tree int, side int, node long"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
 
 
 def _large_nodes(rows: DataFrame) -> DataFrame:
     """Branches the nodes of more than SMALL documents, and returns the rows of all the smaller ones that this makes.
 
-    What DEPTH levels have not parted is cut into blocks that are compared two by two.
+    A node that keeps more than TIGHT of its rows in one child, or is left after DEPTH levels,
+    is cut into blocks that are compared two by two; so a level at most keeps the rows there were.
     """
 
     def branched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,36 +207,47 @@ def _large_nodes(rows: DataFrame) -> DataFrame:
             sigs = np.frombuffer(b"".join(b["sig"]), np.uint16).reshape(len(b), -1)
             node = b["node"].to_numpy(np.int64).view(np.uint64)
             for k in range(BRANCHES):
-                with np.errstate(over="ignore"):
-                    at = (mix(node * np.uint64(5) + np.uint64(k)) % np.uint64(POSITIONS)).astype(np.int64)
+                with np.errstate(over="ignore"):  # another position for each branch
+                    step = mix(node * np.uint64(5) + np.uint64(1)) % np.uint64(POSITIONS - 1) + np.uint64(1)
+                    at = ((mix(node * np.uint64(5)) % np.uint64(POSITIONS) + np.uint64(k) * step) % np.uint64(POSITIONS)).astype(np.int64)
                     child = mix(node * np.uint64(7) + at.astype(np.uint64)) ^ mix(sigs[np.arange(len(b)), at].astype(np.uint64) + np.uint64(1))
-                yield b.assign(node=mix(child).view(np.int64))
+                yield b.assign(parent=b["node"], node=mix(child).view(np.int64))
 
-    done = []
-    for _ in range(DEPTH):
-        rows = written(rows.select(_NAMES).mapInPandas(branched, _ROW), "branches")
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = written(rows.join(counts, "node"), "nodes")
-        done.append(rows.filter(f"n <= {SMALL}"))
-        rows = rows.filter(f"n > {SMALL}")
-        if rows.isEmpty():
-            break
-    else:
+    def in_blocks(large: DataFrame) -> DataFrame:
         blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
         mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        with_all = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        with_all = large.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         pair = F.xxhash64("node", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
-        done.append(with_all.withColumn("node", pair))
-    out = done[0].select(_NAMES)
+        side = F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") < F.col("_other"), 0).otherwise(1)
+        return with_all.withColumn("side", side.cast("int")).withColumn("node", pair).select(_NAMES)
+
+    done = []
+    rows = rows.select(*_NAMES, "n")
+    for level in range(DEPTH + 1):
+        if level == DEPTH:
+            done.append(in_blocks(rows))
+            break
+        children = written(in_batches(rows.select(_NAMES), branched, _ROW + ", parent long"), "branches")
+        counts = written(children.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("n")), "branch-counts")
+        tight = counts.groupBy("parent").agg(F.max("n").alias("most"), F.sum("n").alias("all")).filter(F.col("most") > TIGHT / BRANCHES * F.col("all"))
+        tight = written(tight.select("parent"), "tight")
+        done.append(in_blocks(rows.join(tight, rows["node"] == tight["parent"], "left_semi")))
+        loose = counts.filter("n > 1").join(tight, "parent", "left_anti").select("node", "n")
+        rows = written(children.drop("parent").join(loose, "node"), "nodes")
+        done.append(rows.filter(f"n <= {SMALL}").select(_NAMES))
+        rows = rows.filter(f"n > {SMALL}").select(*_NAMES, "n")
+        if rows.isEmpty():
+            break
+    out = done[0]
     for d in done[1:]:
-        out = out.unionByName(d.select(_NAMES))
+        out = out.unionByName(d)
     return out
 
 
-def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, block) of pairs that some tree brought together and whose signatures don't rule the threshold out.
+def candidate_blocks(reps: DataFrame, threshold: float) -> DataFrame:
+    """(block, ids, pairs) of what some tree brought together and the signatures don't put below the threshold.
 
-    A block is a part of one node with at most 2 * BLOCK documents.
+    A block is a part of one node with at most 2 * BLOCK documents, `ids`; `pairs` are places among them.
     """
     spread = math.sqrt(threshold * (1 - threshold) / POSITIONS)
     low, high = least_agreeing(threshold, (1 - RECALL) / 2), math.ceil(min(1.0, threshold + ABOVE * spread) * POSITIONS)
@@ -214,35 +256,45 @@ def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     met = written(nodes.join(counts, "node").groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "n")).alias("at")), "met")
     small = F.aggregate("at", F.lit(0), lambda acc, x: acc + F.when(x["n"] <= SMALL, F.call_function("shiftleft", F.lit(1), x["tree"])).otherwise(0))
     rows = reps.join(met, "rep").withColumn("small", small).select("rep", "n_shingles", "sig", "nodes", "small", F.explode("at").alias("x"))
-    rows = rows.select("rep", "n_shingles", "sig", "nodes", "small", "x.tree", "x.node", "x.n")
+    rows = rows.select("rep", "n_shingles", "sig", "nodes", "small", "x.tree", F.lit(2).alias("side"), "x.node", "x.n")
     dealt = rows.filter(f"n <= {SMALL}").select(_NAMES)
     if not met.filter(F.exists("at", lambda x: x["n"] > SMALL)).isEmpty():
         dealt = dealt.unionByName(_large_nodes(rows.filter(f"n > {SMALL}")))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for g in groups(batches, "node"):
-            g = g.drop_duplicates("rep")
             left, right = _compare(g, threshold, low, high)
             if len(left):
-                ids, wide = g["rep"].to_numpy(), len(g) // BLOCK + 1
-                block = np.minimum(left, right) // BLOCK * wide + np.maximum(left, right) // BLOCK
-                with np.errstate(over="ignore"):
-                    key = mix(np.uint64(g["node"].iat[0] & ((1 << 63) - 1)) + block.astype(np.uint64))
-                yield pd.DataFrame({"a": ids[left], "b": ids[right], "block": key.view(np.int64)})
+                yield pd.DataFrame(list(_blocks(g, left, right)), columns=["block", "ids", "pairs"])
 
-    return dealt.repartition("node").sortWithinPartitions("node").mapInPandas(compared, "a long, b long, block long")
+    return in_batches(dealt.repartition("node").sortWithinPartitions("node"), compared, "block long, ids array<long>, pairs binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b, block) whose full shingle sets have 100 * intersection >= percent * union.
+def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of every pair of `candidate_blocks`."""
 
-    A block's sets travel to its pairs once, however many pairs share them.
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, raw in zip(b["ids"], b["pairs"]):
+                yield pd.DataFrame(ids[np.frombuffer(raw, "<i4").reshape(-1, 2)], columns=["a", "b"])
+
+    return in_batches(candidate_blocks(reps, threshold), pairs, "a long, b long")
+
+
+def confirmed(blocks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among the blocks' pairs, 100 * intersection >= percent * union of full shingle sets, enough to connect all that are linked.
+
+    A block's sets travel to its pairs once, however many pairs share them. Of the texts of
+    one doc_id that with the least set counts.
     """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for b in batches:
-            made = [(shingle_set(t, words) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in b["text"].tolist()]
-            yield pd.DataFrame({"id": b["doc_id"], "shingles": made})
+            made = [shingle_set(t, words) for t in b["text"].tolist()]
+            short = [(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in made]
+            yield pd.DataFrame({"id": b["doc_id"], "set_key": list(map(set_key, made)), "shingles": short})
 
     def opened(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(raw) // 6, 8), np.uint8)
@@ -251,49 +303,66 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "block"):
-            full = {i: opened(raw) for i, raw in zip(g["a"].tolist(), g["shingles"]) if raw is not None}
-            out = []
-            for a, b, raw in zip(g["a"].tolist(), g["b"].tolist(), g["shingles"]):
-                if raw is not None:
+            ids = g["id"].tolist()
+            full = {i: opened(raw) for i, raw in zip(ids, g["shingles"]) if raw is not None}
+            found = []
+            for names, pairs in zip(g["ids"], g["pairs"]):
+                if names is None:
                     continue
-                x, y = full[a], full[b]
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-    members = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
+                own, root = [full[i] for i in names.tolist()], list(range(len(names)))
+                for i, j in np.frombuffer(pairs, "<i4").reshape(-1, 2).tolist():
+                    a, b = i, j
+                    while root[a] != a:
+                        root[a] = a = root[root[a]]
+                    while root[b] != b:
+                        root[b] = b = root[root[b]]
+                    if a == b:
+                        continue
+                    x, y = own[i], own[j]
+                    at = np.searchsorted(x, y)
+                    at[at == len(x)] = 0
+                    both = int(np.count_nonzero(x[at] == y))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        root[b] = a
+                        found.append((names[i], names[j]))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    members = blocks.select("block", F.explode("ids").alias("id"))
     ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    full = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "id long, shingles binary")
-    rows = members.join(full, "id").select("block", F.col("id").alias("a"), F.col("id").alias("b"), "shingles")
-    rows = rows.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    return rows.repartition("block").sortWithinPartitions("block").mapInPandas(checked, "a long, b long")
+    full = in_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), sets, "id long, set_key binary, shingles binary")
+    full = full.groupBy("id").agg(F.min_by("shingles", "set_key").alias("shingles"))
+    none = F.lit(None)
+    rows = members.join(full, "id").select("block", "id", "shingles", none.cast("array<bigint>").alias("ids"), none.cast("binary").alias("pairs"))
+    rows = rows.unionByName(blocks.select("block", none.cast("long").alias("id"), none.cast("binary").alias("shingles"), "ids", "pairs"))
+    return in_batches(rows.repartition("block").sortWithinPartitions("block"), checked, "a long, b long")
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row with a doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id is that).
+    """Per doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id is that).
 
     Documents are linked when 100 * intersection >= percent * union of their sets of
     `words`-word shingles (words: runs of other than ASCII white space, A-Z lower-cased; a
     shorter document is one shingle). A null text, or one without words, is linked with
     nothing. Rows without doc_id are left out; rows that repeat a doc_id are one document,
-    whose first text counts. doc_ids are expected from 0 up.
+    with the text of the least set key (a text without words comes first). doc_ids are expected
+    from 0 up. A table without rows gives none; other columns are not read.
     """
     trees = trees_for(percent / 100, (1 + RECALL) / 2)
     sets = written(shingled(docs, words, trees), "shingled")
+    if not sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        one = F.min_by(F.struct("n_shingles", "set_key", "sig", "nodes"), F.coalesce("set_key", F.lit(b""))).alias("x")
+        sets = written(sets.groupBy("doc_id").agg(one).select("doc_id", "x.*"), "shingled")
     classes = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     classes = classes.select("set_key", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     classed = salted.join(classes, ["set_key", "salt"], "left").withColumn("rep", F.coalesce("low", "doc_id"))
     classed = written(classed.select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"), F.when(F.col("doc_id") == F.col("rep"), F.col("nodes")).alias("nodes")), "classed")
     reps = classed.filter("sig is not null").select("rep", "n_shingles", "sig", "nodes")
-    pairs = written(candidate_pairs(reps, percent / 100), "pairs")
-    links = written(confirmed(pairs, docs, words, percent), "links")
+    blocks = written(candidate_blocks(reps, percent / 100), "blocks")
+    links = written(confirmed(blocks, docs, words, percent), "links")
     found = connected_components(links)
     out = classed.join(found, classed["rep"] == found["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 2000
 _HELD: dict[Hashable, Any] = {}
 _OWN: list[str] = []
 
@@ -22,6 +25,11 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Frees what other operators' tasks keep in this Python worker."""
+    _HELD.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, of spark.checkpoint.dir, which has to be set on a cluster.
 
@@ -50,6 +58,23 @@ def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def in_batches(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInPandas with batches of at most `rows` rows, so that a worker and its JVM hold little of the texts at once.
+
+    The session's batch size is set, and stays so.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInPandas(work, schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many _ after it as it takes to differ from every column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a table of `written_at` that no later step reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, let_go, written
 from .shingles import mix, shingle_hashes, word_hashes, words_of_all
 
 BITS, RADIUS, NEAR_BITS, NEAR_BYTES = 128, 41, 2, 3
@@ -243,6 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold:
 
     def searched(block: list[tuple[int, str]]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            let_go()
             index = Index(block, words)
             margin = words + max((size for c in index.classes.values() for size, _ in c), default=0) * 2
             for b in batches:
@@ -259,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold:
     out = spark.createDataFrame([], schema)
     for i in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
-        found = rows.mapInPandas(searched([tuple(r) for r in block.collect()]), schema)
+        found = in_batches(rows, searched([tuple(r) for r in block.collect()]), schema)
         out = found if blocks == 1 else out.unionByName(written(found, "leaks"))
     top = F.max(F.struct("similarity", (-F.col("start_word")).alias("at"))).alias("top")
     return out.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "top.similarity", (-F.col("top.at")).alias("start_word"))

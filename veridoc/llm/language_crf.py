@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 BUCKETS = 1 << 17
 #: Fit bounds: about so many documents a language, and so many words of them a language.
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 30_000
@@ -250,4 +252,4 @@ def label_documents(docs: DataFrame, model: Model | None, batch_words: int = 1_0
             if ids:
                 yield flush(ids, texts)
 
-    return docs.select("doc_id", "text").mapInPandas(labelled, schema)
+    return in_batches(docs.select("doc_id", "text"), labelled, schema, rows=10_000)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 from .tokens import batches_of, encoder
 
 WINDOW = 2048
@@ -121,7 +121,7 @@ def cut(docs: DataFrame, path: str, keeps_space: bool, end_id: int, window: int
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(cuts, "doc_id long, n_tokens long, crcs array<long>, rest int, rest_crc long")
+    return in_batches(docs.select("doc_id", "text"), cuts, "doc_id long, n_tokens long, crcs array<long>, rest int, rest_crc long")
 
 
 def ranked(rows: DataFrame, by: list[str], weight: Column, groups: int, order: list[str]) -> DataFrame:
@@ -164,7 +164,7 @@ def pack(docs: DataFrame, path: str, keeps_space: bool = True, end_id: int = 1,
     rests = ranked(cuts.filter("rest > 0").drop("crcs"), ["rest"], F.lit(1).cast("long"), groups, order)
     rests = rests.select("doc_id", (F.col("n_tokens") - F.col("rest")).alias("start"), F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), F.col("_rank").alias("rank"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    rests = rests.mapInPandas(placed, schema)
+    rests = in_batches(rests, placed, schema)
     long = cuts.filter(F.size("crcs") > 0).select("doc_id", "n_tokens", "rest_crc", "crcs", F.lit(0).alias("_all"))
     long = ranked(long, ["_all"], F.size("crcs").cast("long"), groups, order)
     whole = long.select("doc_id", "n_tokens", "_rank", F.posexplode("crcs").alias("i", "ids_crc32")).select(

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 from .tokens import batches_of, encoder
 
 MAGIC, VERSION = b"RPID", 1
@@ -207,7 +207,7 @@ def write_ids(docs: DataFrame, path: str, keeps_space: bool, end_id: int, base:
             yield closed()
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(rows.mapInPandas(shards, "part int, shard int, n_ids long, content binary"), "token-ids")
+    return written(in_batches(rows, shards, "part int, shard int, n_ids long, content binary"), "token-ids")
 
 
 def read_ids(shards: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def read_ids(shards: DataFrame) -> DataFrame:
                 names[shard.doc_ids == NULL_ID] = pd.NA
                 yield pd.DataFrame({"part": part, "shard": number, "doc_id": names, "at": starts, "n_tokens": shard.lens.astype(np.int64), "ids_crc32": np.array(crcs, np.int64), "n_symbols": shard.counts.astype(np.int64)})
 
-    rows = shards.select("part", "shard", "content").mapInPandas(documents, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long, n_symbols long")
+    rows = in_batches(shards.select("part", "shard", "content"), documents, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long, n_symbols long")
     sizes = shards.select("part", "shard", "n_ids")
     in_part = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))

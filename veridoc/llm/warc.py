@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: Fit bounds: payloads taken for the dictionary, bytes of each, and the dictionary's size.
@@ -145,7 +145,7 @@ def write_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         if held:
             yield pd.DataFrame({"content": [write_archive(held, dictionary)]})
 
-    return written(rows.mapInPandas(archives, "content binary"), "warc")
+    return written(in_batches(rows, archives, "content binary"), "warc")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield _frame(out)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return archives.mapInPandas(records, schema)
+    return in_batches(archives, records, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
