@@ -46,32 +46,36 @@ def boilerplate(
 
 
 def drop_site_lines(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False, counts: tuple[str, str] = ("_kept", "_all")
 ) -> DataFrame:
-    """`pages` with boilerplate lines taken out of `text`, and _kept, _all: counts of lines.
+    """`pages` with boilerplate lines taken out of `text`, and two `counts`: of lines kept, and of all.
 
-    Every row stays, with all its columns; a null text stays null. Rows of a null host form
-    one host. The hosts' line tables are broadcast up to BROADCAST_LINES entries; beyond,
-    the join is by host and a salt, so that a large host is spread over SALTS groups.
+    Every row stays, with all its columns but those named as `counts`, which give way to them; a
+    null text stays null and an empty one empty, and has one line. Rows of a null host form one
+    host. Repeated rows count each (but see `copies_once` of `boilerplate`). The hosts' line
+    tables are broadcast up to BROADCAST_LINES entries; beyond, the join is by host and a salt,
+    so that a large host is spread over SALTS groups.
     """
-    found = written(boilerplate(pages, host, text, ratio, min_pages, copies_once), "site-lines")
+    pages = pages.drop(*counts)
+    names = pages.columns
+    rows = pages.toDF(*(f"c{i}" for i in range(len(names))))  # so that no column clashes with those made here
+    host, text = (f"c{names.index(c)}" for c in (host, text))
+    found = written(boilerplate(rows, host, text, ratio, min_pages, copies_once), "site-lines")
     size = found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)).alias("n")).first()["n"]
-    on = F.expr(f"p.`{host}` <=> b._host")
+    on = F.col(host).eqNullSafe(F.col("_host"))
     if size <= BROADCAST_LINES:
-        joined = pages.alias("p").join(F.broadcast(found.alias("b")), on, "left")
+        joined = rows.join(F.broadcast(found), on, "left")
     else:
-        salted = pages.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
-        spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.alias("p").join(spread.alias("b"), on & F.expr("p._salt = b._salt"), "left")
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+        spread = found.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, on & (F.col("_salt") == F.col("_spread")), "left")
     parts = bound_to(
-        F.struct(_lines(f"p.{text}").alias("all"), F.coalesce(F.col("b._lines"), F.array().cast("array<bigint>")).alias("bad")),
+        F.struct(_lines(text).alias("all"), F.coalesce(F.col("_lines"), F.array().cast("array<bigint>")).alias("bad")),
         lambda s: F.struct(
             F.size(s["all"]).alias("all"),
             F.filter(s["all"], lambda x: (F.trim(x) == "") | ~F.array_contains(s["bad"], F.xxhash64(x))).alias("kept"),
         ),
     )
-    out = joined.withColumn("_parts", parts)
-    cols = [F.col(f"p.`{c}`") for c in pages.columns if c != text]
-    kept = F.when(F.col(f"p.{text}").isNotNull(), F.array_join("_parts.kept", "\n"))
-    out = out.select(*cols, kept.alias(text), F.size("_parts.kept").alias("_kept"), F.col("_parts.all").alias("_all"))
-    return out.select(*pages.columns, "_kept", "_all")
+    kept = F.when(F.col(text).isNotNull(), F.array_join("_parts.kept", "\n")).alias(text)
+    cols = [kept if c == text else F.col(c) for c in rows.columns]
+    return joined.withColumn("_parts", parts).select(*cols, F.size("_parts.kept"), F.col("_parts.all")).toDF(*names, *counts)
