@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import held, in_batches, written
 
 #: Fit bounds: labelled documents of either kind, words of either kind, and bytes of either text.
 SAMPLE_ROWS, TOXIC_WORDS, ORDINARY_WORDS = 2500, 4000, 120_000
@@ -42,10 +42,9 @@ PASSAGE_BYTES, PASSAGE_CHARS, WINDOW, WINDOW_STEP = 524_288, 400, 16, 8
 #: Differences of windows beyond so many bytes count as that.
 FAR = 60
 SIZE = 2 * (TOP + 2) + 5
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
-_OPENED: dict[tuple[int, ...], Distances] = {}
 
 
 def _press(text: bytes) -> zstandard.ZstdCompressor:
@@ -98,11 +97,8 @@ class Model:
     def opened(self) -> Distances:
         """The model's distances in this worker, kept from task to task."""
         key = tuple(map(zlib.crc32, (self.ordinary, self.toxic, self.ordinary_passages, self.toxic_passages)))
-        if key not in _OPENED:
-            frame = self.after + self.before
-            _OPENED.clear()
-            _OPENED[key] = Distances(self, _press(self.ordinary + frame), _press(self.ordinary + self.toxic + frame))
-        return _OPENED[key]
+        frame = self.after + self.before
+        return held(key, lambda: Distances(self, _press(self.ordinary + frame), _press(self.ordinary + self.toxic + frame)))
 
 
 class Distances:
@@ -205,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
         for b in batches:
             yield pd.DataFrame({"x": [opened.features(t).tolist() for t in b["text"]], "y": b["_toxic"].astype("float64")})
 
-    rows = sample.filter("_own").mapInPandas(features, "x array<double>, y double").collect()
+    rows = in_batches(sample.filter("_own"), features, "x array<double>, y double").collect()
     x, y = np.array([r["x"] for r in rows]).reshape(-1, len(model.weights)), np.array([r["y"] for r in rows])
     if len(rows) and y.any():
         models[1].weights = _logistic(x, y)
@@ -214,17 +210,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     return models[1]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with _score, from 0 to 1: higher where toxicity is likelier. A null text counts as empty."""
+def score(docs: DataFrame, model: Model, into: str = "_score") -> DataFrame:
+    """`docs` with `into`, from 0 to 1: higher where toxicity is likelier. A null text counts as empty.
+
+    Every row has its score, also those without doc_id or that repeat others; a column named as `into` gives way to it.
+    """
+    docs = docs.drop(into)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = model.opened()
         for b in batches:
             x = np.array([opened.features(t) for t in b["text"]]).reshape(-1, len(model.weights))
-            yield b.assign(_score=1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
+            yield b.assign(**{into: 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))})
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(scored, f"{names}, _score double")
+    return in_batches(docs, scored, f"{names}, `{into}` double")
 
 
 def held_out(doc_id: Column, of: int) -> Column:
