@@ -26,12 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, written, written_at
+from .common import drop_path, in_batches, let_go, written, written_at
 from .shingles import mix
 
 LENGTH, CORE, PART = 400, 128, 16
 #: Batches of documents, and bytes that are worked on at once.
 BATCHES, PORTION = 4, 1 << 20
+#: Segs of a core from which it is hot, and hot cores (three longs each) up to which they are broadcast.
+HOT_KINDS, BROADCAST_CORES = 1000, 500_000
 _PLACE = np.uint64(PORTION - 1)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
@@ -124,13 +126,28 @@ def _portions(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield closed()
 
 
-def runs(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """rid, doc_id and the compressed UTF-8 text of every row, written; `rid` is the row's own number there."""
+
+    def press(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raws = [t.encode() if t else b"" for t in b["text"]]
+            ids = b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
+            yield pd.DataFrame({"doc_id": ids, "n_bytes": list(map(len, raws)), "packed": [press.compress(r) for r in raws]})
+
+    rows = in_batches(docs.select("doc_id", "text"), press, "doc_id long, n_bytes long, packed binary")
+    return written(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_bytes", "packed"), "packed")
+
+
+def runs(rows: DataFrame) -> DataFrame:
     """Every run: rid, core, seg (hash of all its windows' bytes), anchor, lo, hi (its windows' starts), batch."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rids = b["rid"].to_numpy()
-            for data, ends, index, offset in _portions([t.encode() for t in b["text"]]):
+            for data, ends, index, offset in _portions([zstandard.decompress(bytes(p)) for p in b["packed"]]):
                 a, lo, hi, core = anchor_runs(data, ends)
                 if not len(a):
                     continue
@@ -141,7 +158,7 @@ def runs(docs: DataFrame) -> DataFrame:
                 rid = rids[index[k]]
                 yield pd.DataFrame({"rid": rid, "core": core.view(np.int64), "seg": seg.view(np.int64), "anchor": a + shift, "lo": lo + shift, "hi": hi + shift, "batch": rid % BATCHES})
 
-    return docs.mapInPandas(found, "rid long, core long, seg long, anchor long, lo long, hi long, batch long")
+    return in_batches(rows, found, "rid long, core long, seg long, anchor long, lo long, hi long, batch long")
 
 
 def shared_cores(found: DataFrame) -> DataFrame:
@@ -180,23 +197,22 @@ def settle(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     may equal in part, one entry of every other seg of that core.
     """
     segs = entries.groupBy("core", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo")).alias("first"))
-    cores = segs.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone"))
-    known = written(segs.join(cores, "core").filter("n > 1 or kinds > 1"), label)
+    segs = written(segs, label)
+    cores = segs.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).filter("kinds > 1")
+    cores = written(cores, label)
+    # the segs of a core that very many texts share would meet in one task, so those few cores go to them
+    hot = cores.filter(F.col("kinds") > HOT_KINDS)
+    if hot.count() <= BROADCAST_CORES:
+        hot = F.broadcast(hot)
+    cold = segs.join(hot, "core", "left_anti").join(cores, "core", "left")
+    known = cold.unionByName(segs.join(hot, "core").select(cold.columns)).fillna(1, ["kinds"]).fillna(0, ["lone"])
+    known = written(known.filter("n > 1 or kinds > 1"), label)
     joined = written(entries.join(known, ["core", "seg"]), label)
     columns = [c for c in entries.columns if c != "seg"]
     apart = joined.filter("kinds > 1 and lone > 0 and (n = 1 or (rid = first.rid and lo = first.lo))")
     return joined.filter("n > 1").select(columns), apart.select(columns)
 
 
-def _pack(docs: DataFrame) -> DataFrame:
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "packed": [press.compress(t.encode()) for t in b["text"]]})
-
-    return docs.mapInPandas(packed, "rid long, doc_id long, packed binary")
-
-
 def _parts(segments: DataFrame, single: bool) -> DataFrame:
     """Entries for parts of PART windows, or for single windows, of segments (rid, core, anchor, lo, hi, bytes).
 
@@ -230,13 +246,13 @@ def _parts(segments: DataFrame, single: bool) -> DataFrame:
                     seg = mix(core + np.uint64(7) * hashes.of(first + at, last + LENGTH + at) + (top - first).astype(np.uint64))
                 yield pd.DataFrame({"rid": g["rid"].to_numpy()[row], "core": core.view(np.int64), "seg": seg.view(np.int64), "anchor": a[row], "lo": first, "hi": last, "from": lo[row]})
 
-    return segments.mapInPandas(cut, "rid long, core long, seg long, anchor long, lo long, hi long, from long")
+    return in_batches(segments, cut, "rid long, core long, seg long, anchor long, lo long, hi long, from long")
 
 
-def _cut_out(packed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Segments' bytes of the wanted runs."""
+def _cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Segments' bytes of the wanted runs, of which a text has at most one a byte."""
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("core", "anchor", "lo", "hi")).alias("runs"))
-    rows = packed.select("rid", "packed").dropDuplicates(["rid"]).join(lists, "rid")
+    rows = texts.select("rid", "packed").join(lists, "rid")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -246,15 +262,15 @@ def _cut_out(packed: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [(rid, r["core"], r["anchor"], r["lo"], r["hi"], raw[r["lo"] : r["hi"] + LENGTH]) for r in found]
             yield pd.DataFrame(out, columns=["rid", "core", "anchor", "lo", "hi", "bytes"])
 
-    return rows.mapInPandas(cut, "rid long, core long, anchor long, lo long, hi long, bytes binary")
+    return in_batches(rows, cut, "rid long, core long, anchor long, lo long, hi long, bytes binary")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(rid, lo, hi): windows from lo to hi of row `rid` that also start somewhere else; docs: rid, doc_id, text."""
-    found = written(runs(docs.filter(F.octet_length("text") >= LENGTH).select("rid", "text")), "runs")
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(rid, lo, hi): windows from lo to hi of row `rid` of `packed` that also start somewhere else."""
+    found = written(runs(texts.filter(F.col("n_bytes") >= LENGTH).select("rid", "packed")), "runs")
     shared = shared_cores(found)
     done, apart = settle(found.drop("batch").join(shared, "core", "left_semi"), "runs-settled")
-    segments = written(_cut_out(_pack(docs), apart), "segments")
+    segments = written(_cut_out(texts, apart), "segments")
     done_parts, loose = settle(_parts(segments, single=False), "parts-settled")
     bounds = loose.groupBy("rid", "anchor", "from").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("parts"))
     again = segments.withColumnRenamed("lo", "from").join(bounds, ["rid", "anchor", "from"]).dropDuplicates(["rid", "anchor", "from"])
@@ -272,10 +288,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Removes each byte covered by a string of LENGTH bytes that also starts anywhere else in
     any text, the same one included, as the input has them. A null text counts as empty;
     every row has its row, those without doc_id too, and two equal rows repeat each other.
+    A table without rows gives none; other columns are not read.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    lists = repeated_spans(rows).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = _pack(rows).join(lists, "rid", "left")
+    texts = packed(docs)
+    lists = repeated_spans(texts).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    joined = texts.join(lists, "rid", "left")
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -294,4 +311,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((len(raw), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
             yield pd.concat([b[["doc_id"]].astype("Int64").reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
 
-    return joined.select("doc_id", "packed", "spans").mapInPandas(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return in_batches(joined.select("doc_id", "packed", "spans"), removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
