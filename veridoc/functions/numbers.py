@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import found, found_sql, rewrite, rewrite_sql
+
 #: Unit, dimension, base unit, factor; no factor: recognised but not converted.
 UNITS = (
     ("um", "length", "um", 1.0), ("mm", "length", "um", 1000.0), ("cm", "length", "um", 10000.0), ("m", "length", "um", 1000000.0), ("in", "length", "um", 25400.0),
@@ -82,3 +84,60 @@ def blank_marker(cell: Column) -> Column:
         .when(t.rlike(r"^([*-]+|later|tbn|tba|by vendor|note [0-9]+)$"), "placeholder")
         .otherwise("value")
     )
+
+
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+#: Rewrites that leave a minus only where it can be nothing else; an exponent is e, one below zero em.
+SIGNS = [
+    ("[−–⁻]", "-"), ("10 ?\\^ ?-", "10^m"), ("([0-9]) ?[x×] ?10\\^(m?[0-9]+)", "\\1e\\2"), ("(^|[^0-9.,e])10\\^(m?[0-9]+)", "\\11e\\2"), ("([0-9])e-([0-9])", "\\1em\\2"),
+    ("([0-9])-([0-9])", "\\1 ~ \\2"), ("([0-9]) -([0-9])", "\\1 ~ \\2"), ("([A-Za-z/])-([0-9])", "\\1~\\2"),
+]
+RAISED = [("10⁻([⁰¹²³⁴-⁹])", "10^m\\1"), ("10([⁰¹²³⁴-⁹])", "10^\\1")]
+NUMBER_TOKEN = "[+-]?[0-9][0-9.,]*[0-9](?:em?[0-9]+)?|[+-]?[.]?[0-9](?:em?[0-9]+)?"
+PLAIN = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(em?[0-9]+)?$"
+GROUPED = "^[+-]?[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$"
+DECIMAL_COMMA = "^[+-]?[0-9]+,[0-9]{1,2}$"
+
+
+def value_of(token: Column) -> Column:
+    """The number a token of `number_list` is: 8,300 and 9,0 are read by their commas; 5.3.2 or 1,2,3 is none."""
+    return (
+        F.when(token.rlike(PLAIN), F.replace(token, F.lit("m"), F.lit("-")).cast("double"))
+        .when(token.rlike(GROUPED), F.replace(token, F.lit(","), F.lit("")).cast("double"))
+        .when(token.rlike(DECIMAL_COMMA), F.replace(token, F.lit(","), F.lit(".")).cast("double"))
+    )
+
+
+def value_of_sql(token: str) -> str:
+    return f"""CASE WHEN regexp_matches({token}, '{PLAIN}') THEN try_cast(replace({token}, 'm', '-') AS DOUBLE) WHEN regexp_matches({token}, '{GROUPED}') THEN try_cast(replace({token}, ',', '') AS DOUBLE)
+ WHEN regexp_matches({token}, '{DECIMAL_COMMA}') THEN try_cast(replace({token}, ',', '.') AS DOUBLE) END"""
+
+
+def number_list(text: Column) -> Column:
+    """Tokens of all numbers of a text in order, each with its sign; a dash in a range or a name is none."""
+    return found(rewrite(F.translate(rewrite(text, RAISED), SUPERSCRIPTS, "0123456789"), SIGNS), NUMBER_TOKEN)
+
+
+def number_list_sql(expr: str) -> str:
+    return found_sql(rewrite_sql(f"translate({rewrite_sql(expr, RAISED)}, '{SUPERSCRIPTS}', '0123456789')", SIGNS), NUMBER_TOKEN)
+
+
+def number_values(text: Column) -> Column:
+    """The numbers of a text; compounds such as 5.3.2 are left out."""
+    return F.filter(F.transform(number_list(text), value_of), lambda x: x.isNotNull())
+
+
+def number_values_sql(expr: str) -> str:
+    return f"list_filter(list_transform({number_list_sql(expr)}, lambda x: {value_of_sql('x')}), lambda y: y IS NOT NULL)"
+
+
+def one_number(text: Column) -> Column:
+    """The value of a text that is one number and nothing else, exponents of ten included."""
+    tokens = number_list(text)
+    bare = F.trim(text).rlike("^[-−–+]?[0-9.,]+( ?[x×] ?10 ?\\^ ?[-−]?[0-9]+|e-?[0-9]+|\\^ ?[-−]?[0-9]+|⁻?[⁰¹²³⁴-⁹]+)?$")
+    return F.when(bare & (F.size(tokens) == 1), value_of(F.element_at(tokens, 1)))
+
+
+def states(text: Column, value: Column) -> Column:
+    """Whether a text states a value as a whole signed number."""
+    return F.exists(number_values(text), lambda x: x == value)
