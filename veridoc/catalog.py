@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, figures, relational, retrieval, review, text
+from .plans import evaluation, figures, relational, retrieval, review, structure, text
 
-MODULES = (evaluation, figures, relational, retrieval, review, text)
+MODULES = (evaluation, figures, relational, retrieval, review, structure, text)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
