@@ -255,11 +255,16 @@ def candidate_blocks(reps: DataFrame, threshold: float) -> DataFrame:
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(nodes.join(counts, "node").groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "n")).alias("at")), "met")
     small = F.aggregate("at", F.lit(0), lambda acc, x: acc + F.when(x["n"] <= SMALL, F.call_function("shiftleft", F.lit(1), x["tree"])).otherwise(0))
-    rows = reps.join(met, "rep").withColumn("small", small).select("rep", "n_shingles", "sig", "nodes", "small", F.explode("at").alias("x"))
-    rows = rows.select("rep", "n_shingles", "sig", "nodes", "small", "x.tree", F.lit(2).alias("side"), "x.node", "x.n")
-    dealt = rows.filter(f"n <= {SMALL}").select(_NAMES)
+    rows = reps.join(met, "rep").withColumn("small", small)
+
+    def placed(test) -> DataFrame:
+        """A row for each of a document's nodes that `test` takes."""
+        each = rows.select("rep", "n_shingles", "sig", "nodes", "small", F.explode(F.filter("at", test)).alias("x"))
+        return each.select("rep", "n_shingles", "sig", "nodes", "small", "x.tree", F.lit(2).alias("side"), "x.node", "x.n")
+
+    dealt = placed(lambda x: x["n"] <= SMALL).select(_NAMES)
     if not met.filter(F.exists("at", lambda x: x["n"] > SMALL)).isEmpty():
-        dealt = dealt.unionByName(_large_nodes(rows.filter(f"n > {SMALL}")))
+        dealt = dealt.unionByName(_large_nodes(written(placed(lambda x: x["n"] > SMALL), "large")))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
