@@ -31,10 +31,19 @@ def nearest_rank(value: str, share: float) -> Column:
 
 
 def nearest_ranks(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per key, from counts of distinct values so that no group's rows are gathered."""
+    """Nearest-rank percentiles per key, from counts of distinct values so that no group's rows are gathered.
+
+    The counts are dealt out by ranges of key and value. A row's rank is what the earlier ranges
+    of its key hold, which is a sum per range and key, and what stands before it in its own range.
+    """
     counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
+    dealt = counts.repartitionByRange(key, value).withColumn("_range", F.spark_partition_id())
+    sums = dealt.groupBy(key, "_range").agg(F.sum("_c").alias("_s"))
+    of_key = Window.partitionBy(key)
+    before = F.sum("_s").over(of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
+    ranges = sums.select(key, "_range", before.alias("_before"), F.sum("_s").over(of_key).alias("_n"))
+    within = F.sum("_c").over(Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.withColumn("_in", within).join(ranges, [key, "_range"]).withColumn("_upto", F.col("_before") + F.col("_in"))
     out = [F.max("_n").alias("n")]
     for name, share in shares.items():
         at = F.rint(F.lit(share) * (F.col("_n") - 1)) + 1

@@ -56,10 +56,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def score_of(question: list[float]) -> Column:
+    """The dot product of `embedding` with a question's vector, as it is ranked."""
+    return F.round(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in question])), 9)
+
+
 def vector_topk(vectors: DataFrame, question: list[float], k: int) -> DataFrame:
     """vec_id, score, rank by exact dot product of unit vectors; filter `vectors` to the scope first."""
-    q = F.array(*[F.lit(float(x)) for x in question])
-    top = vectors.select("vec_id", F.round(dot(F.col("embedding"), q), 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    top = vectors.select("vec_id", score_of(question).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
 
 

@@ -23,23 +23,26 @@ def findings(reqs: DataFrame, facts: DataFrame) -> DataFrame:
     Different dimensions never compare; a unit without a factor compares with itself only.
     """
     limits = read_requirements(reqs).filter("kind = 'numeric limit'")
-    j = facts.join(limits, "req_id")
-    value = num.as_number(F.col("cell"))
-    same = F.col("unit") == F.col("limit_unit")
-    a = F.when(same, value).otherwise(num.normalised(value, F.col("unit")))
-    b = F.when(same, F.col("limit_value")).otherwise(num.normalised(F.col("limit_value"), F.col("limit_unit")))
-    alike = num.dimension(F.col("unit")) == num.dimension(F.col("limit_unit"))
-    status = F.when(same | alike, num.verdict(a, b, F.col("way"), F.col("is_strict")))
+    limits = limits.select("req_id", "standard", "way", "is_strict", "limit_value", "limit_unit", num.dimension(F.col("limit_unit")).alias("limit_dim"), num.normalised(F.col("limit_value"), F.col("limit_unit")).alias("limit_base"))
+    # what a cell and a requirement say is read once each, before they meet
+    cells = facts.select("req_id", "fact_id", "page", "unit", num.as_number(F.col("cell")).alias("value"), num.blank_marker(F.col("cell")).alias("mark"), num.dimension(F.col("unit")).alias("dim"))
+    cells = cells.select("*", num.normalised(F.col("value"), F.col("unit")).alias("base"))
+    same, value = F.col("unit") == F.col("limit_unit"), F.col("value")
+    j = cells.join(limits, "req_id").select(
+        "*", same.alias("same"), (F.col("dim") == F.col("limit_dim")).alias("alike"),
+        F.when(same, value).otherwise(F.col("base")).alias("a"), F.when(same, F.col("limit_value")).otherwise(F.col("limit_base")).alias("b"))
+    status = F.when(F.col("same") | F.col("alike"), num.verdict(F.col("a"), F.col("b"), F.col("way"), F.col("is_strict")))
+    j = j.select("*", status.alias("status"))
     reason = (
-        F.when(num.blank_marker(F.col("cell")) != "value", "no value given")
+        F.when(F.col("mark") != "value", "no value given")
         .when(value.isNull(), "value is not a number")
-        .when(num.dimension(F.col("unit")).isNull(), "unit unknown")
-        .when(~same & ~alike, "another dimension")
-        .when(status.isNull() & (a == b), "equal to a strict limit")
-        .when(status.isNull(), "unit is not converted")
+        .when(F.col("dim").isNull(), "unit unknown")
+        .when(~F.col("same") & ~F.col("alike"), "another dimension")
+        .when(F.col("status").isNull() & (F.col("a") == F.col("b")), "equal to a strict limit")
+        .when(F.col("status").isNull(), "unit is not converted")
         .otherwise("compared")
     )
-    return j.select("req_id", "fact_id", "standard", "page", status.alias("status"), reason.alias("reason"))
+    return j.select("req_id", "fact_id", "standard", "page", "status", reason.alias("reason"))
 
 
 def tier() -> Column:

@@ -25,6 +25,8 @@ def query(sql: str | None):
 
 WHITE = r"[x FOR x IN string_split_regex(text, '[ \t\r\n]+') IF x <> '']"
 LOWER = r"[x FOR x IN string_split_regex(lower(text), '[^\p{L}0-9]+') IF x <> '']"
+#: Items' grams (two longs each) up to which they are broadcast.
+BROADCAST_GRAMS = 1_000_000
 _CORE = r"regexp_replace({x}, '^[^\p{{L}}0-9]+|[^\p{{L}}0-9]+$', '', 'g')"
 _IS_WORD = rf"(regexp_matches({_CORE.format(x='x')}, '^\p{{L}}[\p{{L}}''-]*\p{{L}}$') AND regexp_matches(lower({_CORE.format(x='x')}), '[aeiouyàâäéèêëíîïóôöúùûüáñ]'))"
 #: The longest run of true: flags become a string of 1s and 0s, whose longest piece of 1s it is.
@@ -127,11 +129,13 @@ SELECT item_id, doc_id, count(*) AS shared, round(count(*) / n, 6) AS containmen
 def benchmark_overlap(spark, sf):
     def grams(df, key):
         base = df.select(key, fx.tokens(F.col("text")).alias("ws")).filter(F.size("ws") >= 8)
-        each = F.transform(F.sequence(F.lit(1), F.size("ws") - 7), lambda i: F.array_join(F.slice("ws", i, 8), " "))
+        each = F.transform(F.sequence(F.lit(1), F.size("ws") - 7), lambda i: F.xxhash64(F.slice("ws", i, 8)))
         return base.select(key, F.explode(F.array_distinct(each)).alias("gram"))
 
     q = grams(read(spark, sf, "benchmark"), "item_id")
     n = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    if q.count() <= BROADCAST_GRAMS:  # then the documents' own grams, nearly all of which no item has, stay where they are
+        q = F.broadcast(q)
     hits = grams(read(spark, sf, "documents"), "doc_id").join(q, "gram").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     return hits.join(n, "item_id").select("item_id", "doc_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
