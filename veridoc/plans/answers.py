@@ -26,7 +26,6 @@ def query(sql: str | None):
 
 
 _Q, _S = f"q AS {QUESTIONS_SQL}", f"s AS {STATEMENTS_SQL}"
-ASKED, TEXT = F.col("question"), F.col("text")
 LOWER = r"[x FOR x IN string_split_regex(lower(text), '[^\p{L}0-9]+') IF x <> '']"
 
 #: Everyday words and the wording of documents; a word that begins another term stays.
@@ -36,8 +35,8 @@ GLOSSARY = [("(?i)\\bsalt (spray|fog|mist|water)\\b", "salt_\\1"), ("(?i)\\bhumi
 @query(f"WITH {_Q} SELECT q_id, {rewrite_sql('question', GLOSSARY)} AS reworded, {rewrite_sql('question', GLOSSARY)} <> question AS changed FROM q")
 def glossary_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     """Questions in the documents' words; everyday words are replaced, unless they begin another term."""
-    new = rewrite(ASKED, GLOSSARY)
-    return questions(spark, sf).select("q_id", new.alias("reworded"), (new != ASKED).alias("changed"))
+    new = rewrite(F.col("question"), GLOSSARY)
+    return questions(spark, sf).select("q_id", new.alias("reworded"), (new != F.col("question")).alias("changed"))
 
 
 DEFINED = "(?i)^(?:what is (?:the |a )?|define |meaning of )([a-z][a-z ]+?)[?]?$"
@@ -47,7 +46,7 @@ VALUE_WORDS = "(?i)(maximum|minimum|size|price|limit|how (much|many)|value)"
 @query(f"WITH {_Q} SELECT q_id, CASE WHEN regexp_matches(question, '{DEFINED}') AND NOT regexp_matches(question, '{VALUE_WORDS}') THEN lower(regexp_extract(question, '{DEFINED}', 1)) END AS term FROM q")
 def definitional_terms(spark, sf):
     """The term that a question asks the meaning of; a question for a value has none."""
-    ok = ASKED.rlike(DEFINED) & ~ASKED.rlike(VALUE_WORDS)
+    ok = F.col("question").rlike(DEFINED) & ~F.col("question").rlike(VALUE_WORDS)
     return questions(spark, sf).select("q_id", F.when(ok, F.lower(F.regexp_extract("question", DEFINED, 1))).alias("term"))
 
 
@@ -58,7 +57,7 @@ ROUTES = [("(?i)how many (standards|documents|files)", "library count"), ("(?i)^
 def corpus_routing(spark, sf):
     """Questions about the library itself, with the counts that answer them; the others go to the passages."""
     n = read(spark, sf, "documents").agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("source").alias("sources"))
-    r = questions(spark, sf).select("q_id", first_rule(ASKED, ROUTES, "passage").alias("route")).crossJoin(F.broadcast(n))
+    r = questions(spark, sf).select("q_id", first_rule(F.col("question"), ROUTES, "passage").alias("route")).crossJoin(F.broadcast(n))
     return r.select("q_id", "route", F.when(F.col("route") == "library count", F.col("docs")).when(F.col("route") == "library list", F.col("sources")).alias("answer"))
 
 
@@ -93,7 +92,7 @@ SELECT q_id, p_brand AS family, evidence, rank FROM r WHERE rank <= 8""")
 def topic_families(spark, sf):
     """Families of standards that a question names in general words, the eight with most evidence of its topic."""
     part = lambda i: F.lower(F.regexp_extract("question", FAMILY, i))
-    w = questions(spark, sf).filter(ASKED.rlike(FAMILY)).select("q_id", F.explode(F.array_distinct(F.split(part(2), " "))).alias("word"))
+    w = questions(spark, sf).filter(F.col("question").rlike(FAMILY)).select("q_id", F.explode(F.array_distinct(F.split(part(2), " "))).alias("word"))
     p = read(spark, sf, "part").select("p_brand", "p_partkey", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word"))
     # a question reads the shelf of its own number, so that few common words don't meet all parts
     h = w.withColumn("shelf", F.col("q_id") % 7).join(p.withColumn("shelf", F.col("p_partkey") % 7), ["word", "shelf"])
@@ -110,7 +109,7 @@ f AS (SELECT p_partkey AS doc_id, concat('A', p_size, '-', p_partkey % 50, '.pdf
 SELECT q_id, count(*) AS n_documents, min(doc_id) AS first_document FROM d JOIN n USING (name) GROUP BY q_id""")
 def named_documents(spark, sf):
     """Documents that a question names by the designation in their file names, and how many share it."""
-    d = questions(spark, sf).select("q_id", F.explode(F.array_distinct(F.transform(found(ASKED, DESIGNATION), fx.key_of))).alias("name"))
+    d = questions(spark, sf).select("q_id", F.explode(F.array_distinct(F.transform(found(F.col("question"), DESIGNATION), fx.key_of))).alias("name"))
     f = read(spark, sf, "part").selectExpr("p_partkey AS doc_id", "concat('A', p_size, '-', p_partkey % 50, '.pdf') AS filename")
     n = f.select("doc_id", fx.key_of(F.regexp_extract("filename", DESIGNATION, 0)).alias("name"))
     return d.join(n, "name").groupBy("q_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_document"))
@@ -121,8 +120,8 @@ def named_documents(spark, sf):
 def hit_boosts(spark, sf):
     """What a passage gains by naming the identifier, the phrase or the decimal row key that a question asks for."""
     hits = statements(spark, sf).select(
-        "doc_id", "page", F.contains(TEXT, F.lit("API 604")).cast("int").alias("identifier_hits"), F.contains(F.lower("text"), F.lit("set pressure")).cast("int").alias("phrase_hits"),
-        F.array_contains(num.number_list(TEXT), "24.5").cast("int").alias("numeric_hits"))
+        "doc_id", "page", F.contains(F.col("text"), F.lit("API 604")).cast("int").alias("identifier_hits"), F.contains(F.lower("text"), F.lit("set pressure")).cast("int").alias("phrase_hits"),
+        F.array_contains(num.number_list(F.col("text")), "24.5").cast("int").alias("numeric_hits"))
     boost = F.round(0.05 * F.col("identifier_hits") + 0.03 * F.col("phrase_hits") + 2.0 * F.col("numeric_hits"), 6)
     return hits.filter("identifier_hits + phrase_hits + numeric_hits > 0").withColumn("boost", boost)
 
@@ -167,7 +166,7 @@ u AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(ws, lambda x: lengt
 SELECT conv_id, turn, count(*) AS uncovered, count(*) FILTER (WHERE df <= greatest(1, floor(n * 0.02))) AS distinguishing FROM u JOIN df USING (word), n GROUP BY conv_id, turn""")
 def uncovered_terms(spark, sf):
     """Words of a compound question that its answer lacks, and those among them that are rare enough to matter."""
-    t = read(spark, sf, "conversations").select("conv_id", "turn", "role", fx.tokens(TEXT).alias("ws"), F.lower("text").rlike("(^| )(and|und|et|y) ").alias("compound"))
+    t = read(spark, sf, "conversations").select("conv_id", "turn", "role", fx.tokens(F.col("text")).alias("ws"), F.lower("text").rlike("(^| )(and|und|et|y) ").alias("compound"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     p = t.withColumn("answer", F.lead("ws").over(w)).withColumn("answered", F.lead("role").over(w)).filter("role = 'user' and answered = 'assistant' and compound")
     u = p.select("conv_id", "turn", F.explode(F.array_distinct(F.filter("ws", lambda x: (F.char_length(x) >= 4) & ~F.array_contains("answer", x)))).alias("word"))
@@ -189,7 +188,7 @@ SELECT a.doc_id, a.subject, CASE WHEN shown IS NULL THEN 'insufficient_evidence'
 def answerability(spark, sf):
     """Whether a document answers a question: the first of seven verdicts that holds; a conflict is two values in one unit."""
     unit = F.nullif(F.regexp_extract("text", "[0-9] ?(barg|bar|kPa|°C)", 1), F.lit(""))
-    p = statements(spark, sf).select("doc_id", "text", first_rule(TEXT, SUBJECT).alias("subject"), F.get(num.number_values(TEXT), F.lit(0)).alias("v"), unit.alias("unit"), TEXT.rlike(DEFERS).alias("defers"), TEXT.rlike("(?i) (if|when|unless) ").alias("conditional")).filter("subject is not null")
+    p = statements(spark, sf).select("doc_id", "text", first_rule(F.col("text"), SUBJECT).alias("subject"), F.get(num.number_values(F.col("text")), F.lit(0)).alias("v"), unit.alias("unit"), F.col("text").rlike(DEFERS).alias("defers"), F.col("text").rlike("(?i) (if|when|unless) ").alias("conditional")).filter("subject is not null")
     keys = ["doc_id", "subject"]
     by_unit = p.groupBy(*keys, "unit").agg(
         F.count(F.lit(1)).alias("shown"), F.count("v").alias("valued"), F.countDistinct("v").alias("kinds"), F.bool_or("defers").alias("defers"), F.bool_or("conditional").alias("conditional"), F.countDistinct("text").alias("texts"))
@@ -248,7 +247,7 @@ def quotes_verified(spark, sf):
     rows = statements(spark, sf).distinct().withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "text", "value")))
     quote = F.expr("CASE value % 4 WHEN 0 THEN substr(text, 1, 24) WHEN 1 THEN concat(substr(text, 1, 15), ' ... ', substr(text, 20)) WHEN 2 THEN upper(text) ELSE concat('  ', replace(text, ' ', '  ')) END")
     fs = F.filter(F.transform(F.split(clean(quote), "[.]{3}"), lambda x: F.trim(x)), lambda x: x != "")
-    n = rows.select("doc_id", "page", "rn", clean(TEXT).alias("hay"), fs.alias("fs"))
+    n = rows.select("doc_id", "page", "rn", clean(F.col("text")).alias("hay"), fs.alias("fs"))
     words = F.aggregate(F.transform("fs", lambda x: F.size(F.filter(F.split(x, " "), lambda w: w.rlike("[A-Za-z0-9]")))), F.lit(0), lambda a, b: a + b)
     n = n.withColumn("one", F.get("fs", F.lit(0))).withColumn("two", F.get("fs", F.lit(1))).withColumn("end", F.get("fs", F.size("fs") - 1)).withColumn("words", words)
     behind = F.expr("substr(hay, instr(hay, end) + char_length(end), 1)")
@@ -264,8 +263,8 @@ def bound_evidence(spark, sf):
     topic = F.size(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.char_length(x) >= 5))
     unit = F.regexp_extract("text", "[0-9] ?(barg|bar|kPa|mPa|mm|kg|°C)", 1)
     why = (
-        F.when(TEXT == "", "no quote")
-        .when(~num.states(TEXT, F.col("value").cast("double")), "value not in its quote")
+        F.when(F.col("text") == "", "no quote")
+        .when(~num.states(F.col("text"), F.col("value").cast("double")), "value not in its quote")
         .when(unit == "", "no unit beside it")
         .when(F.char_length("text") < 40, "quote too short")
         .when(topic < 2, "no shared topic")
@@ -279,7 +278,7 @@ def grounded_figures(spark, sf):
     """Figures of an answer, number and unit together, that the cited page prints."""
     s = statements(spark, sf)
     unit = F.nullif(F.regexp_extract("text", "[0-9] ?(barg|bar|mm|kPa)", 1), F.lit(""))
-    pairs = s.select("doc_id", "page", F.explode(F.transform(num.number_values(TEXT), lambda x: F.concat_ws("|", x.cast("bigint").cast("string"), unit))).alias("pair")).distinct()
+    pairs = s.select("doc_id", "page", F.explode(F.transform(num.number_values(F.col("text")), lambda x: F.concat_ws("|", x.cast("bigint").cast("string"), unit))).alias("pair")).distinct()
     asked = s.select("doc_id", "page", F.concat_ws("|", F.col("value").cast("string"), F.expr("CASE page % 3 WHEN 0 THEN 'mm' WHEN 1 THEN 'bar' ELSE 'barg' END")).alias("pair"))
     j = asked.join(pairs.withColumn("_hit", F.lit(True)), ["doc_id", "page", "pair"], "left")
     return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("figures"), F.count("_hit").alias("grounded"))

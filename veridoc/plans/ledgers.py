@@ -22,7 +22,6 @@ def query(sql: str | None):
     return add
 
 
-TEXT = F.col("text")
 _S = f"s AS {STATEMENTS_SQL}"
 #: Chunks of orders' documents: pages from the line's number on, as far as its quantity says.
 _CHUNKS = ("l_orderkey AS doc_id", "l_partkey AS part", "l_linenumber AS page_start", "l_linenumber + cast(floor(l_quantity / 20) AS int) AS page_end")
@@ -109,7 +108,7 @@ SELECT doc_id, value, CASE WHEN limited = 'excluded' THEN 'not applicable' WHEN
 def applicability(spark, sf):
     """Whether a rule applies to a pump of the order's size: by equipment and by a whole size range outside; generic rules are candidates."""
     range_ = "([0-9]+)-([0-9]+) mm"
-    k = statements(spark, sf).filter("text <> ''").select("doc_id", "value", first_rule(TEXT, SCOPE).alias("limited"), F.regexp_extract("text", range_, 1).alias("lo"), F.regexp_extract("text", range_, 2).alias("hi"))
+    k = statements(spark, sf).filter("text <> ''").select("doc_id", "value", first_rule(F.col("text"), SCOPE).alias("limited"), F.regexp_extract("text", range_, 1).alias("lo"), F.regexp_extract("text", range_, 2).alias("hi"))
     a = read(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", "int(o_custkey % 60) AS size")
     inside = F.expr("size BETWEEN try_cast(lo AS int) AND try_cast(hi AS int)")
     limited = F.col("limited")
@@ -126,7 +125,7 @@ SELECT o_orderkey AS doc_id, kind, CASE WHEN kind IS NOT NULL AND kind <> 'datas
  CASE WHEN kind IS NULL THEN 'kind not decided; rules kept' WHEN kind <> 'datasheet' AND guess AND o_orderstatus <> 'F' THEN 'kind is a guess; rules kept' END AS mark FROM orders LEFT JOIN d ON o_orderkey = doc_id""")
 def kind_gate(spark, sf):
     """A paper's kind by its signals, undecided where these conflict, and whether the equipment rules run: a known other kind blocks them, a guess does not."""
-    k = statements(spark, sf).select("doc_id", first_rule(TEXT, KINDS).alias("kind")).filter("kind is not null")
+    k = statements(spark, sf).select("doc_id", first_rule(F.col("text"), KINDS).alias("kind")).filter("kind is not null")
     c = k.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
     r = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most"), F.max_by("kind", F.col("n") * 1000 - F.ascii("kind")).alias("kind"), F.sum("n").alias("n"))
     sure = (F.col("kinds") == 1) | ((F.col("most") >= 3) & (F.col("most") > 0.6 * F.col("n")))

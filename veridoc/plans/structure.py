@@ -24,7 +24,6 @@ def query(sql: str | None):
     return add
 
 
-TEXT = F.col("text")
 _S = f"s AS {STATEMENTS_SQL}"
 TAG = "^([0-9]{1,3}-)?[A-Z]{1,4}-[0-9]{2,5}[A-Z]?$"
 WHITE = r"[x FOR x IN string_split_regex(text, '[ \t\r\n]+') IF x <> '']"
@@ -34,7 +33,7 @@ WHITE = r"[x FOR x IN string_split_regex(text, '[ \t\r\n]+') IF x <> '']"
 SELECT doc_id, page, tags, tags >= 3 AND tags >= 0.8 * n AS tag_list FROM n""")
 def tag_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that are lists of equipment tags: three at least, and four in five of the tokens."""
-    t = statements(spark, sf).select("doc_id", "page", fx.white_tokens(TEXT).alias("toks"))
+    t = statements(spark, sf).select("doc_id", "page", fx.white_tokens(F.col("text")).alias("toks"))
     tags = F.size(F.filter("toks", lambda x: x.rlike(TAG)))
     return t.select("doc_id", "page", tags.alias("tags"), ((tags >= 3) & (tags >= 0.8 * F.size("toks"))).alias("tag_list"))
 
@@ -50,7 +49,7 @@ def inherited_headings(spark, sf):
     """Lines of a document's pages with the heading in force, which holds until the next one, across pages."""
     w = Window.partitionBy("doc_id").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = statements(spark, sf).select("doc_id", "page", "text").distinct()
-    return rows.withColumn("section", F.last(F.when(TEXT.rlike(HEADING), TEXT), ignorenulls=True).over(w))
+    return rows.withColumn("section", F.last(F.when(F.col("text").rlike(HEADING), F.col("text")), ignorenulls=True).over(w))
 
 
 _CONTENTS, _INDEX = "^[0-9.]+ .* [0-9]{1,4}$", "^[^,]{2,40}(, [0-9]{1,4})+$"
@@ -62,8 +61,8 @@ _FRONT = "(?i)(all rights reserved|copyright|isbn|licen[sc]e)"
 SELECT doc_id, n AS n_lines, CASE WHEN n = 0 THEN 'empty' WHEN contents >= 3 AND contents >= 0.5 * n THEN 'toc' WHEN idx >= 5 AND idx >= 0.6 * n THEN 'index' WHEN front AND n <= 12 THEN 'frontmatter' WHEN tabular >= 2 AND tabular >= 0.5 * n THEN 'table' ELSE 'prose' END AS class FROM n""")
 def page_classes(spark, sf):
     """What kind of page a text is: contents, index, front matter, table or prose; the last two are what search reads."""
-    ls = F.filter(F.transform(fx.lines(TEXT), lambda x: F.trim(x)), lambda x: x != "")
-    d = read(spark, sf, "documents").select("doc_id", ls.alias("ls"), TEXT.rlike(_FRONT).alias("front"))
+    ls = F.filter(F.transform(fx.lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")
+    d = read(spark, sf, "documents").select("doc_id", ls.alias("ls"), F.col("text").rlike(_FRONT).alias("front"))
     share = lambda test: F.size(F.filter("ls", test))
     n = d.select("doc_id", "front", F.size("ls").alias("n"), share(lambda x: x.rlike(_CONTENTS)).alias("contents"), share(lambda x: x.rlike(_INDEX)).alias("idx"), share(lambda x: F.contains(x, F.lit("|")) | x.rlike("[^ ]+ {2,}[^ ]+ {2,}")).alias("tabular"))
     kind = (
@@ -125,7 +124,7 @@ v AS (SELECT acronym, expansion, array_to_string([upper(left(w, 1)) FOR w IN str
 SELECT acronym, expansion, count(*) AS n FROM v WHERE initials = acronym GROUP BY acronym, expansion""")
 def acronyms(spark, sf):
     """Acronyms in brackets after words whose initials spell them; function words may be left out."""
-    m = _titles(spark, sf).filter(TEXT.rlike(PAREN)).select(F.regexp_extract("text", PAREN, 2).alias("acronym"), F.trim(F.lower(F.regexp_extract("text", PAREN, 1))).alias("expansion"))
+    m = _titles(spark, sf).filter(F.col("text").rlike(PAREN)).select(F.regexp_extract("text", PAREN, 2).alias("acronym"), F.trim(F.lower(F.regexp_extract("text", PAREN, 1))).alias("expansion"))
     words = F.filter(F.split("expansion", " "), lambda w: ~w.rlike(f"^{SKIPPED}$"))
     spelt = F.array_join(F.transform(words, lambda w: F.upper(F.left(w, F.lit(1)))), "")
     return m.filter(spelt == F.col("acronym")).groupBy("acronym", "expansion").agg(F.count(F.lit(1)).alias("n"))
@@ -151,7 +150,7 @@ NOISE = [(p.replace("^(?i)", "(?i)^"), n) for p, n in NOISE]
 @query(f"WITH {_S} SELECT doc_id, coalesce({first_rule_sql('text', NOISE)}, 'kept') AS reason, count(*) AS n FROM s GROUP BY 1, 2")
 def line_noise(spark, sf):
     """Lines of a document by why they are no field: the first rule that holds, or kept."""
-    return statements(spark, sf).groupBy("doc_id", first_rule(TEXT, NOISE, "kept").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return statements(spark, sf).groupBy("doc_id", first_rule(F.col("text"), NOISE, "kept").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 SHAPES = [("^[0-9]+([.][0-9]+)+ ", "decimal"), ("^[0-9]+[.)] ", "number"), ("^[a-z][.)] ", "letter"), ("^[(][a-zA-Z0-9]+[)] ", "bracket")]
@@ -164,7 +163,7 @@ SELECT doc_id, page, text, last_value(CASE WHEN shape = main THEN mark END IGNOR
 def paragraph_ids(spark, sf):
     """Lines with the paragraph they belong to, by the numbering shape that prevails in their document."""
     m = statements(spark, sf).filter("text <> ''").select("doc_id", "page", "text").distinct()
-    m = m.withColumn("shape", first_rule(TEXT, SHAPES)).withColumn("mark", F.regexp_extract("text", MARK, 1))
+    m = m.withColumn("shape", first_rule(F.col("text"), SHAPES)).withColumn("mark", F.regexp_extract("text", MARK, 1))
     c = m.filter("shape is not null").groupBy("doc_id", "shape").agg(F.count(F.lit(1)).alias("n"))
     main = c.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), "shape")).alias("x")).select("doc_id", F.col("x.shape").alias("main"))
     w = Window.partitionBy("doc_id").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, 0)
@@ -182,7 +181,7 @@ def lookalike_folding(spark, sf):
     """Texts whose letters were replaced by look-alikes of other scripts, and whether folding makes them what they were."""
     d = read(spark, sf, "documents").select("doc_id", F.translate("text", "AEOPCTXaeopcx", "АЕОРСТХаеорсх").alias("styled"), "text")
     fold = lambda c: F.translate(c, *ALIKE)
-    return d.select("doc_id", (fold("styled") == fold("text")).alias("folded_alike"), (F.col("styled") == TEXT).alias("alike"), fx.count_chars(F.col("styled"), f"[{ALIKE[0]}]").alias("n_folded"))
+    return d.select("doc_id", (fold("styled") == fold("text")).alias("folded_alike"), (F.col("styled") == F.col("text")).alias("alike"), fx.count_chars(F.col("styled"), f"[{ALIKE[0]}]").alias("n_folded"))
 
 
 NORMAL = [("10⁻([⁰¹²³⁴-⁹])", "10^-\\1")]
@@ -191,8 +190,8 @@ NORMAL = [("10⁻([⁰¹²³⁴-⁹])", "10^-\\1")]
 @query(f"""SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(translate({rewrite_sql('text', NORMAL)}, '⁰¹⁴⁵⁶⁷⁸⁹', '01456789'), '²', '2'), '³', '3'), 'µ', 'μ'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), '‐', '-'), '‑', '-'), '‒', '-'), '−', '-'), '[\\x01-\\x08\\x0B-\\x1F\\x7F]', ' ', 'g')) AS digest, length(text) AS n FROM (SELECT doc_id, concat(text, ' 10⁻⁶ m² ﬁne µm ', chr(8209), chr(7), ' end') AS text FROM documents)""")
 def normalised_text(spark, sf):
     """Digests of texts after known characters are rewritten and control characters are spaces."""
-    d = read(spark, sf, "documents").select("doc_id", F.concat(TEXT, F.lit(" 10⁻⁶ m² ﬁne µm ‑\u0007 end")).alias("text"))
-    return d.select("doc_id", F.md5(fx.normalise(TEXT)).alias("digest"), F.char_length("text").alias("n"))
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" 10⁻⁶ m² ﬁne µm ‑\u0007 end")).alias("text"))
+    return d.select("doc_id", F.md5(fx.normalise(F.col("text"))).alias("digest"), F.char_length("text").alias("n"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS table_id, l_linenumber, CASE WHEN l_tax = 0 THEN '' WHEN l_quantity < 10 THEN cast(cast(l_quantity AS bigint) AS varchar) ELSE concat(cast(cast(l_quantity AS bigint) AS varchar), ' mm') END AS cell FROM lineitem),
@@ -252,7 +251,7 @@ SELECT doc_id, field, CASE WHEN stated = 1 AND NOT cue THEN phrase END AS value,
 def statement_rules(spark, sf):
     """What a document's rules state of a field: the phrase after the modal, unless a cue word stands by or two phrases differ."""
     part = lambda i: F.lower(F.regexp_extract("text", MODAL, i))
-    r = statements(spark, sf).filter(TEXT.rlike(MODAL)).select("doc_id", part(1).alias("field"), part(3).alias("phrase"), TEXT.rlike("(?i) (not|no|unless|except|if) ").alias("cue"))
+    r = statements(spark, sf).filter(F.col("text").rlike(MODAL)).select("doc_id", part(1).alias("field"), part(3).alias("phrase"), F.col("text").rlike("(?i) (not|no|unless|except|if) ").alias("cue"))
     k = r.groupBy("doc_id", "field").agg(F.countDistinct("phrase").alias("stated"), F.min("phrase").alias("phrase"), F.bool_or("cue").alias("cue"))
     reason = F.when(F.col("cue"), "cue word").when(F.col("stated") > 1, "tie")
     return k.select("doc_id", "field", F.when((F.col("stated") == 1) & ~F.col("cue"), F.col("phrase")).alias("value"), reason.alias("reason"))
