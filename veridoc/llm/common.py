@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Hands freed memory of this worker, which lives on for other tasks, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def let_go() -> None:
     """Frees what other operators' tasks keep in this Python worker."""
     _HELD.clear()
@@ -63,8 +73,13 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[
 
     The session's batch size is set, and stays so.
     """
+
+    def worked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from work(batches)
+        give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInPandas(work, schema)
+    return df.mapInPandas(worked, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:

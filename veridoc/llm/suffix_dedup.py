@@ -31,7 +31,7 @@ from .shingles import mix
 
 LENGTH, CORE, PART = 400, 128, 16
 #: Batches of documents, and bytes that are worked on at once.
-BATCHES, PORTION = 4, 1 << 20
+BATCHES, PORTION = 4, 1 << 18
 #: Segs of a core from which it is hot, and hot cores (three longs each) up to which they are broadcast.
 HOT_KINDS, BROADCAST_CORES = 1000, 500_000
 _PLACE = np.uint64(PORTION - 1)
