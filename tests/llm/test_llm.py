@@ -134,6 +134,57 @@ def test_op2_reads_the_whole_of_a_long_run(spark):
     assert len(language_crf.features("x" * 40)) == len(language_crf.features("x" * 30)) + 20
 
 
+# ---------------------------------------------------------------- very long texts
+def long_text(n, seed):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{i}" for i in rng.integers(0, 100_000, n))
+
+
+def test_long_texts_are_read_whole(spark):
+    long, item = long_text(150_000, 1), sentence(30, 4)
+    words = long.split()
+    words[149_000:149_000] = item.split()
+    docs = frame(spark, [(1, long), (2, " ".join(words)), (3, "short"), (4, "y" * 200_000)])
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in chosen_path.near_components(docs, 3, 85).collect()}
+    assert near[1] == (len({tuple(w) for w in zip(long.split(), long.split()[1:], long.split()[2:])}), 1) and near[2][1] == 1 and near[4] == (1, 4)
+    leaks = decontaminate.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in leaks] == [(2, 7, 149_000)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pack(docs, path, True, 1).filter("doc_id = 1").collect()
+    tok = Tokenizer.from_file(path)
+    ids = tok.encode(long, add_special_tokens=False).ids + [1]
+    assert sum(r["length"] for r in pieces) == len(ids) == pieces[0]["doc_tokens"]
+    for r in pieces:
+        assert zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+    sketches = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    assert sketches[1]["n_chars"] == len(long) and sketches[4]["n_chars"] == 200_000
+
+
+def test_words_of_any_length_have_hashes_of_their_own():
+    a, b = "a" * 65_536, "b" * 65_536
+    hashes = shingles.word_hashes(f"{a}{b} {b}{a} {a}{a} {a}")
+    assert len(set(hashes.tolist())) == 4
+    assert shingles.word_hashes(f"{a.upper()}{b}").tolist() == hashes[:1].tolist()
+
+
+def test_windows_near_a_passage_find_it():
+    """Recall of windows on passages at a similarity of 0.8 and a little above, placed anywhere."""
+    rng, met, all_ = np.random.default_rng(12), 0, 0
+    for k in range(60):
+        item = [f"q{k}x{i}" for i in range(int(rng.integers(18, 60)))]
+        passage = list(item)
+        passage[-1 - int(rng.integers(0, 2))] = "changed"  # a word near the end: few shingles differ
+        text = [f"p{k}x{i}" for i in range(int(rng.integers(0, 90)))] + passage + [f"s{k}x{i}" for i in range(80)]
+        index = decontaminate.Index([(1, " ".join(item))], 5)
+        words, doc, lens = shingles.words_of_all([" ".join(text)])
+        want = brute_leaks([(0, " ".join(text))], [(1, " ".join(item))])
+        got = decontaminate.search(index, words, doc, lens, 0.8)
+        all_ += bool(want)
+        met += bool(want) and bool(got) and round(got[0][2], 9) == want[0, 1]
+        assert bool(want) or not got
+    assert all_ > 30 and met >= 0.98 * all_
+
+
 # ---------------------------------------------------------------- near copies
 def brute_components(rows, words, percent):
     sets = []

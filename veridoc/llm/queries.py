@@ -11,12 +11,22 @@ from .common import table
 
 
 def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written in shards under Re-Pair and read back: doc_id, start, n_tokens, ids_crc32, n_symbols.
+
+    A null or empty text has its end id alone. Rows without doc_id come first; rows of one doc_id
+    stand side by side, each for itself. No rows give none.
+    """
     path = public_tokenizers.path("word_bpe_49k.json")
     shards = repair.write_ids(table(spark, sf_dir, "documents"), path, keeps_space=False, end_id=2, base=49408)
     return repair.read_ids(shards)
 
 
 def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a chain of labelled words: doc_id, held_out, lang_pred, score, n_words, switches.
+
+    A null text, or one without letters, is und with score 0. Every row has its row; one without
+    doc_id is not held out and is not learned from. Without labelled documents all are und.
+    """
     docs = table(spark, sf_dir, "documents")
     model = language_crf.fit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -24,24 +34,37 @@ def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies by three-word shingles at 0.85: doc_id, n_shingles, component_id, kept; see `near_components` for nulls and repeats."""
     return chosen_path.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A null html is an empty payload. Every row has its record; a null page_id stays null and is a
+    response only where no other page has its payload. No rows give none.
+    """
     read = warc.read_archives(warc.write_pages(table(spark, sf_dir, "pages"), min_bytes=0))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a window like a benchmark item, with the best window; see `find_leaks` for nulls, repeats and empty tables."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are boilerplate of their source: doc_id, n_lines, n_kept, text; see `drop_site_lines` for nulls and repeats."""
     out = site_lines.drop_site_lines(table(spark, sf_dir, "documents"), "source", "text")
     return out.select("doc_id", F.col("_all").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), "text")
 
 
 def op7_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, predicted.
+
+    A null or empty text is scored as one without words. Every row has its row; one without doc_id
+    is not held out. Without labelled toxic documents every score is near 0. No rows give none.
+    """
     docs, held = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"), 5)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held)
     scored = toxicity.score(docs.select("doc_id", "text"), model)
@@ -50,14 +73,17 @@ def op7_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_log_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 400 bytes that start elsewhere too; see `remove_repeats` for nulls and repeats."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in pieces, packed into sequences of 2048; see `pack` for nulls, repeats and empty tables."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness; see `fingerprints` for nulls and repeats."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
