@@ -11,22 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.llm import chosen_path, decontaminate, packing, site_lines, toxicity
-from veridoc.llm.common import table, written
+from veridoc.llm.common import free_name, table, written
 
 #: A document is rejected as toxic from this score on.
 TOXIC_SCORE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below TOXIC_SCORE, by a model fitted on the labelled ones."""
+    """Documents scored below TOXIC_SCORE, by a model fitted on the labelled ones; a null or empty text is scored as one without words."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, toxicity.held_out(F.col("doc_id"), 5))
-    return toxicity.score(docs, model).filter(F.col("_score") < TOXIC_SCORE).select(*docs.columns)
+    score = free_name(docs, "_score")
+    return toxicity.score(docs, model, score).filter(F.col(score) < TOXIC_SCORE).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that are boilerplate of its source; exact copies count as one page there."""
-    out = site_lines.drop_site_lines(docs, "source", "text", copies_once=True).select(*docs.columns)
+    counts = free_name(docs, "_kept"), free_name(docs, "_all")
+    out = site_lines.drop_site_lines(docs, "source", "text", copies_once=True, counts=counts).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -37,13 +39,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window is like a benchmark item."""
+    """Documents in which no window is like a benchmark item; those without text or id stay."""
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents' ids in sequences of 2048."""
+    """Pieces of the remaining documents' ids in sequences of 2048; a null text is one end id, an empty table has none."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
