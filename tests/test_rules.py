@@ -10,6 +10,7 @@ from veridoc.functions import numbers as num
 from veridoc.functions import rules
 from veridoc.functions import text as fx
 from veridoc.operators import relational as rel
+from veridoc.operators import retrieval as ret
 from veridoc.plans import answers, figures, structure
 from veridoc.sources import tables
 
@@ -89,6 +90,29 @@ def test_nearest_ranks(spark, rows):
     assert got == want
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_suggestions_against_brute_force(spark):
+    known = [("hydroprocessing", 3), ("galvanizing", 5), ("galvanising", 2), ("coating", 9), ("boating", 9), ("über", 1), ("pump", 4), ("p101", 8), ("the", 90)]
+    asked = ["hydroprocesing", "galvanizng", "coatng", "boatting", "uber", "pum", "pumq", "p102", "zzzzzz", "coating", "galvnisng"]
+    got = {r["word"]: (r["suggestion"], r["edits"]) for r in ret.suggestions(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(known, "term string, df long")).collect()}
+    want = {}
+    for w in asked:
+        if len(w) < 4 or not w.isalpha() or w in dict(known):
+            continue
+        near = [(edits_between(w, t), -df, t) for t, df in known if len(t) >= 4 and t.isalpha() and edits_between(w, t) <= 2]
+        if near:
+            want[w] = (min(near)[2], min(near)[0])
+    assert got == want and len(want) >= 6
+
+
 def test_export_writes_what_it_was_given(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, t string")
     tables.export(df, str(tmp_path / "csv"), "csv")

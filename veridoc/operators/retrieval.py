@@ -51,6 +51,31 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _without_one(word: Column) -> Column:
+    """All forms of a word with one letter left out."""
+    n = F.char_length(word)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n)))
+
+
+def suggestions(asked: DataFrame, known: DataFrame, edits: int = 2) -> DataFrame:
+    """word, suggestion, edits: for each `word` of `asked` that is not in `known` (term, df), the nearest term, of equals the one in most documents.
+
+    Two words within two edits share a form with up to two letters left out of either, so words
+    meet on such forms and are then compared. Words of fewer than four letters, and any with a
+    sign or digit, are neither corrected nor suggested. A word without a term near has no row.
+    """
+    letters = r"^\p{L}{4,}$"
+    known, asked = known.filter(F.col("term").rlike(letters)), asked.filter(F.col("word").rlike(letters))
+    missing = asked.join(known, asked["word"] == known["term"], "left_anti")
+    less = lambda c: F.flatten(F.transform(_without_one(c), _without_one))
+    forms = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), _without_one(c), less(c)))).alias("form")
+    a = missing.select("word", forms(F.col("word")))
+    b = known.select("term", "df", forms(F.col("term"))).join(a.select("form").distinct(), "form", "left_semi")
+    near = a.join(b, "form").select("word", "term", "df").distinct().withColumn("edits", F.levenshtein("word", "term")).filter(F.col("edits") <= edits)
+    best = near.groupBy("word").agg(F.min(F.struct("edits", (-F.col("df")).alias("seldom"), "term")).alias("x"))
+    return best.select("word", F.col("x.term").alias("suggestion"), F.col("x.edits").alias("edits"))
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
