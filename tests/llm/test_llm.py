@@ -318,6 +318,21 @@ def test_warc_reader_rejects_damage():
             warc.parse_record(bad)
 
 
+def test_warc_records_have_date_and_id(spark):
+    pages = spark.createDataFrame([(1, "a", "x"), (None, "b", "y"), (None, "c", "z")], "page_id long, url string, html string")
+    heads = [warc.parse_record(raw)[0] for r in warc.write_pages(pages, date="2024-02-03T04:05:06Z").collect() for raw in warc.frames(bytes(r["content"]))]
+    assert len({h["warc-record-id"] for h in heads}) == 3 and {h["warc-date"] for h in heads} == {"2024-02-03T04:05:06Z"}
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:1>"), ("WARC-Date", "2024-02-03T04:05:06Z"), ("WARC-Payload-Digest", f"sha1:{warc.digest(b'x')}")]
+    for left_out in (None, 1, 2, 3):
+        record = warc.record_bytes([h for i, h in enumerate(headers) if i != left_out], b"x")
+        rows = warc.read_archives(spark.createDataFrame([(warc.write_archive([record], b""),)], "content binary"))
+        if left_out is None:
+            assert rows.first()["page_id"] == 1
+        else:
+            with pytest.raises(Exception):
+                rows.collect()
+
+
 # ---------------------------------------------------------------- decontamination
 def brute_leaks(docs, items, k=5, threshold=0.8):
     def weighed(w, n):

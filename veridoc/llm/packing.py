@@ -166,7 +166,7 @@ def pack(docs: DataFrame, path: str, keeps_space: bool = True, end_id: int = 1,
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     rests = in_batches(rests, placed, schema)
     long = cuts.filter(F.size("crcs") > 0).select("doc_id", "n_tokens", "rest_crc", "crcs", F.lit(0).alias("_all"))
-    long = ranked(long, ["_all"], F.size("crcs").cast("long"), groups, order)
+    long = ranked(long, ["_all"], F.size("crcs").cast("long"), groups, [*order, "crcs"])
     whole = long.select("doc_id", "n_tokens", "_rank", F.posexplode("crcs").alias("i", "ids_crc32")).select(
         "doc_id",
         (F.col("i").cast("long") * window).alias("start"),

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ ARCHIVE_BYTES = 8_000_000
 SALTS = 16
 
 
+_DATE = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z")
+_URI, _PAGE = re.compile(r"<[a-z][a-z0-9+.-]*:\S+>"), re.compile(r"<urn:page:(-?\d+)>")
+
+
 class WarcError(ValueError):
     """An archive or a record that is not as it should be."""
 
@@ -105,13 +111,14 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def write_pages(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """A table of archives (content binary) with one record for each row of `pages` (page_id, url, html).
 
     Of the rows whose payloads (html in UTF-8; null: empty) are equal and have `min_bytes` at
     least, that with the smallest page_id is a response and the others revisit it, without a
     payload of their own. A row without page_id is always a response. Rows that share a
-    page_id each get a record. The dictionary is fitted on SAMPLE_ROWS rows at most, chosen
+    page_id each get a record, under one record id. Records have `date`, as the rows have none of
+    their own. No rows make no archive. The dictionary is fitted on SAMPLE_ROWS rows at most, chosen
     by a hash.
     """
     rows = pages.select("page_id", F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
@@ -128,12 +135,14 @@ def write_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     dictionary = fit_dictionary([r["s"].encode() for r in taken.collect() if r["s"]])
 
     def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, count = TaskContext.get().partitionId(), 0
         held, size = [], 0
         for b in batches:
             for page_id, url, payload, refers_to in zip(b["page_id"], b["url"], b["payload"], b["refers_to"]):
                 payload, revisit = bytes(payload), pd.notna(refers_to)
-                named = [("WARC-Type", "revisit" if revisit else "response")]
-                named += [("WARC-Record-ID", f"<urn:page:{int(page_id)}>")] if pd.notna(page_id) else []
+                count += 1
+                name = str(int(page_id)) if pd.notna(page_id) else f"none-{part}-{count}"
+                named = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", date)]
                 named += [("WARC-Target-URI", " ".join(str(url).split()))] if isinstance(url, str) else []
                 named += [("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("WARC-Payload-Length", str(len(payload)))]
                 named += [("WARC-Refers-To", f"<urn:page:{int(refers_to)}>")] if revisit else []
@@ -163,10 +172,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     kind, named = h["warc-type"], h.get("warc-payload-digest", "")
                     if not named.startswith("sha1:"):
                         raise WarcError("a record lacks its payload digest")
+                    if not _DATE.fullmatch(h.get("warc-date", "")) or not _URI.fullmatch(h.get("warc-record-id", "")):
+                        raise WarcError("a record lacks its date or id")
                     full = int(h.get("warc-payload-length", len(block)))
                     if kind == "response" and (digest(block) != named[5:] or full != len(block)):
                         raise WarcError("a payload does not have its digest or length")
-                    ids = [int(v.removeprefix("<urn:page:").rstrip(">")) if (v := h.get(k)) else None for k in ("warc-record-id", "warc-refers-to")]
+                    ids = [int(m[1]) if (m := _PAGE.fullmatch(h.get(k, ""))) else None for k in ("warc-record-id", "warc-refers-to")]
                     out.append((ids[0], full, named[5:], kind, ids[1], h.get("warc-target-uri"), None if kind == "revisit" else block))
                     size += len(block)
                     if size >= ARCHIVE_BYTES:
