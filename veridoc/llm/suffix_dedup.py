@@ -33,7 +33,7 @@ LENGTH, CORE, PART = 400, 128, 16
 #: Batches of documents, and bytes that are worked on at once.
 BATCHES, PORTION = 4, 1 << 18
 #: Segs of a core from which it is hot, and hot cores (three longs each) up to which they are broadcast.
-HOT_KINDS, BROADCAST_CORES = 1000, 500_000
+HOT_KINDS, BROADCAST_CORES, SALTS = 1000, 500_000, 8
 _PLACE = np.uint64(PORTION - 1)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
@@ -190,6 +190,13 @@ def shared_cores(found: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def sharing(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """Runs whose core is shared; the runs of a core are spread over SALTS tasks."""
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
+    each = shared.select("core", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return found.withColumn("salt", salt).join(each, ["core", "salt"], "left_semi").drop("salt")
+
+
 def settle(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """(entries whose seg occurs twice, entries to take apart) of entries (core, seg, rid, anchor, lo, hi).
 
@@ -197,17 +204,21 @@ def settle(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     may equal in part, one entry of every other seg of that core.
     """
     segs = entries.groupBy("core", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo")).alias("first"))
-    segs = written(segs, label)
+    spark = entries.sparkSession
+    segs, segs_path = written_at(segs, label)
     cores = segs.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).filter("kinds > 1")
-    cores = written(cores, label)
+    cores, cores_path = written_at(cores, label)
     # the segs of a core that very many texts share would meet in one task, so those few cores go to them
     hot = cores.filter(F.col("kinds") > HOT_KINDS)
     if hot.count() <= BROADCAST_CORES:
         hot = F.broadcast(hot)
     cold = segs.join(hot, "core", "left_anti").join(cores, "core", "left")
     known = cold.unionByName(segs.join(hot, "core").select(cold.columns)).fillna(1, ["kinds"]).fillna(0, ["lone"])
-    known = written(known.filter("n > 1 or kinds > 1"), label)
+    known, known_path = written_at(known.filter("n > 1 or kinds > 1"), label)
+    for path in (segs_path, cores_path):
+        drop_path(spark, path)
     joined = written(entries.join(known, ["core", "seg"]), label)
+    drop_path(spark, known_path)
     columns = [c for c in entries.columns if c != "seg"]
     apart = joined.filter("kinds > 1 and lone > 0 and (n = 1 or (rid = first.rid and lo = first.lo))")
     return joined.filter("n > 1").select(columns), apart.select(columns)
@@ -267,10 +278,11 @@ def _cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(rid, lo, hi): windows from lo to hi of row `rid` of `packed` that also start somewhere else."""
-    found = written(runs(texts.filter(F.col("n_bytes") >= LENGTH).select("rid", "packed")), "runs")
-    shared = shared_cores(found)
-    done, apart = settle(found.drop("batch").join(shared, "core", "left_semi"), "runs-settled")
-    segments = written(_cut_out(texts, apart), "segments")
+    spark = texts.sparkSession
+    found, found_path = written_at(runs(texts.filter(F.col("n_bytes") >= LENGTH).select("rid", "packed")), "runs")
+    done, apart = settle(sharing(found.drop("batch"), shared_cores(found)), "runs-settled")
+    drop_path(spark, found_path)
+    segments, segments_path = written_at(_cut_out(texts, apart), "segments")
     done_parts, loose = settle(_parts(segments, single=False), "parts-settled")
     bounds = loose.groupBy("rid", "anchor", "from").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("parts"))
     again = segments.withColumnRenamed("lo", "from").join(bounds, ["rid", "anchor", "from"]).dropDuplicates(["rid", "anchor", "from"])
@@ -278,6 +290,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         "rid", "p.core", "anchor", "p.lo", "p.hi", F.expr(f"substring(bytes, cast(p.lo - `from` + 1 as int), cast(p.hi - p.lo + {LENGTH} as int))").alias("bytes")
     )
     done_windows, _ = settle(_parts(smaller, single=True), "windows-settled")
+    drop_path(spark, segments_path)
     spans = [found.select("rid", "lo", "hi") for found in (done, done_parts, done_windows)]
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
