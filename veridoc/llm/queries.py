@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, fingerprints, language_crf, packing, repair, site_lines, suffix_dedup, toxicity, warc
+from . import alignment, chosen_path, decontaminate, fingerprints, language_crf, packing, repair, site_lines, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -87,6 +87,12 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two vocabularies' ids of every document, with corpus-wide counts of linked pairs; see `link_counts` for nulls and repeats."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.link_counts(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_repair_token_ids": op1_repair_token_ids,
     "op2_crf_language_id": op2_crf_language_id,
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_log_suffix_dedup": op8_log_suffix_dedup,
     "op9_nnls_packing": op9_nnls_packing,
     "op10_bottom_k": op10_bottom_k,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {

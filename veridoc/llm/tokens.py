@@ -11,7 +11,7 @@ from .common import held
 from .shingles import LOWER_VALUES, mix, span_hashes, word_bounds
 
 #: What each byte counts as in a chunk's hash where case is kept; a space, which parts chunks, as nothing.
-_BYTE_VALUES = np.where(np.arange(256) == 32, 0, np.arange(256) + 1).astype(np.uint64)
+BYTE_VALUES = np.where(np.arange(256) == 32, 0, np.arange(256) + 1).astype(np.uint64)
 #: A word of Latin-1 letters and the ASCII signs after it: one piece each in either vocabulary.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*&%$#|()]*)")
 #: The byte alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
@@ -19,6 +19,14 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
+def byte_decoded(tok) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary; those of an added token are its content's."""
+    added = tok.get_added_tokens_decoder()
+    back = {chr(v): k for k, v in _ALPHABET.items()}
+    shown = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
+    return [s.encode() if i in added else bytes(back[c] for c in s) for i, s in enumerate(shown)]
+
+
 class Known:
     """Numbers of 64-bit hashes, in two tables of slots; a hash whose slots are both taken displaces one."""
 
@@ -163,6 +171,13 @@ class ChunkEncoder:
                     self.ids.lens[first + i] = -1
         return np.arange(first, first + len(chunks), dtype=np.int32)
 
+    def chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in turn, none of them the first of a text, and how many each has; -1 where its text has to be encoded whole."""
+        if self.ids.count > self.max_chunks:
+            self._clear()
+        numbers = self._learn(chunks, [False] * len(chunks))
+        return self.ids.at(numbers), self.ids.lens[numbers]
+
     def _chunks(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined bytes, the bounds of its chunks, and where each text's chunks start among them."""
         data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
@@ -177,7 +192,7 @@ class ChunkEncoder:
 
     def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """The number of every chunk; new ones are learned."""
-        hashes = span_hashes(data, starts, ends, _BYTE_VALUES if self.keeps_space else LOWER_VALUES)
+        hashes = span_hashes(data, starts, ends, BYTE_VALUES if self.keeps_space else LOWER_VALUES)
         head = np.zeros(len(hashes), bool)
         if self.keeps_space:
             head[firsts] = True
