@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chosen_path, decontaminate, fingerprints, language_crf, packing, repair, site_lines, suffix_dedup, toxicity, warc
+from . import alignment, chosen_path, decontaminate, fingerprints, language_crf, packing, periodic_runs, repair, site_lines, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -87,6 +87,12 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of them with a period planted as the contract has it; see `find_runs` for nulls and repeats."""
+    text = periodic_runs.with_planted_period(F.col("doc_id"), F.col("text"))
+    return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), text))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of two vocabularies' ids of every document, with corpus-wide counts of linked pairs; see `link_counts` for nulls and repeats."""
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -104,6 +110,7 @@ QUERIES = {
     "op8_log_suffix_dedup": op8_log_suffix_dedup,
     "op9_nnls_packing": op9_nnls_packing,
     "op10_bottom_k": op10_bottom_k,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_token_alignment": op13_token_alignment,
 }
 
