@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chosen_path, decontaminate, fingerprints, language_crf, packing, periodic_runs, repair, site_lines, suffix_dedup, toxicity, warc
+from . import alignment, chosen_path, decontaminate, fingerprints, language_crf, packing, periodic_runs, quality, repair, site_lines, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -87,6 +87,17 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from positives and unlabelled text: doc_id, held_out, score, predicted; see `quality.score` for nulls and repeats.
+
+    A row without doc_id is not held out. Without labels every score is 0.5. No rows give none.
+    """
+    docs, held = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"), 5)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), held)
+    scored = quality.score(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, a tenth of them with a period planted as the contract has it; see `find_runs` for nulls and repeats."""
     text = periodic_runs.with_planted_period(F.col("doc_id"), F.col("text"))
@@ -110,6 +121,7 @@ QUERIES = {
     "op8_log_suffix_dedup": op8_log_suffix_dedup,
     "op9_nnls_packing": op9_nnls_packing,
     "op10_bottom_k": op10_bottom_k,
+    "op11_pu_quality": op11_pu_quality,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_token_alignment": op13_token_alignment,
 }
