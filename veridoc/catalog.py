@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import answers, evaluation, figures, gates, ledgers, registers, relational, retrieval, review, structure, text
+from .plans import answers, evaluation, figures, gates, ledgers, registers, relational, retrieval, review, stored, structure, text
 
-MODULES = (answers, evaluation, figures, gates, ledgers, registers, relational, retrieval, review, structure, text)
+MODULES = (answers, evaluation, figures, gates, ledgers, registers, relational, retrieval, review, stored, structure, text)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
