@@ -75,3 +75,21 @@ def fold_word(token: Column) -> Column:
 def key_of(name: Column) -> Column:
     """Letters and digits only, in upper case: the form in which designations are compared."""
     return F.upper(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
+
+
+def literal(text: Column) -> Column:
+    """A pattern that matches `text` itself: every sign gets a backslash, letters, digits and white space stay."""
+    return F.regexp_replace(text, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
+def shared_edge(before: Column, after: Column, least: int = 20) -> Column:
+    """How many leading characters of `after` repeat the end of `before`: the most of `least` or more that end on a word's edge, else 0."""
+    # cut before every place where the first characters of `after` stand, also where these overlap; the first that holds is the longest
+    cut = F.split(before, F.concat(F.lit("(?="), literal(F.left(after, F.lit(least))), F.lit(")")))
+    size = lambda i: F.char_length(before) - i + 1
+    edge = lambda i: (F.char_length(after) == size(i)) | ~F.substr(after, size(i), F.lit(2)).rlike(r"^[\p{L}0-9]{2}")
+    holds = lambda i: (size(i) >= least) & F.startswith(after, F.substr(before, i)) & edge(i)
+    state = lambda at, best: F.struct(at.alias("at"), best.alias("best"))
+    best = lambda acc: F.when(acc["best"] > 0, acc["best"]).when(holds(acc["at"]), size(acc["at"])).otherwise(0)
+    found = F.aggregate(cut, state(F.lit(1), F.lit(0)), lambda acc, x: state(acc["at"] + F.char_length(x), best(acc)), lambda acc: acc["best"])
+    return F.when((F.char_length(before) >= least) & (F.char_length(after) >= least), found).otherwise(0)

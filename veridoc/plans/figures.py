@@ -26,7 +26,10 @@ _S = f"s AS {STATEMENTS_SQL}"
 KEYS = ("doc_id", "page")
 
 #: Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = ("No", "Nos", "para", "Sec", "Fig", "Cl", "Eq", "Ref", "Vol", "approx", "Min", "Max", "vs", "e.g", "i.e")
+ABBREVIATIONS = (
+    "No", "NO", "Nos", "para", "paras", "Para", "Sec", "Secs", "Fig", "Figs", "Cl", "Eq", "Ref", "Refs", "Tbl", "Vol", "Art", "Dwg",
+    "approx", "Approx", "Min", "Max", "vs", "Vs", "e.g", "i.e",
+)
 MASKED = [("(^|[ (])(" + "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS) + ")[.]", "\\1\\2·"), ("([.!?]) +", "\\1\n"), ("·", ".")]
 
 

@@ -99,13 +99,7 @@ def boundary_overlap(spark, sf):
     """How many leading characters of the next chunk repeat the end of this one: the longest of 20 or more that ends on a word's edge."""
     c = op.token_windows(read(spark, sf, "documents")).select("doc_id", "ordinal", "chunk")
     p = c.withColumn("next", F.lead("chunk").over(Window.partitionBy("doc_id").orderBy("ordinal"))).filter("next is not null and char_length(chunk) >= 20 and char_length(next) >= 20")
-    # cut before every place where the next chunk's first 20 characters stand, also where these overlap
-    cut = F.transform(F.split("chunk", F.expr("concat('(?=', chr(92), 'Q', left(next, 20), chr(92), 'E)')")), F.char_length)
-    starts = F.transform(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: F.aggregate(F.slice(cut, F.lit(1), i), F.lit(1), lambda acc, x: acc + x))
-    size = lambda i: F.char_length("chunk") - i + 1
-    edge = lambda i: (F.char_length("next") == size(i)) | ~F.substr(F.col("next"), size(i), F.lit(2)).rlike(r"^[\p{L}0-9]{2}")
-    kept = F.filter(starts, lambda i: F.startswith(F.col("next"), F.substr(F.col("chunk"), i)) & edge(i))
-    return p.select("doc_id", "ordinal", F.coalesce(F.array_max(F.transform(kept, size)), F.lit(0)).alias("overlap"))
+    return p.select("doc_id", "ordinal", fx.shared_edge(F.col("chunk"), F.col("next")).alias("overlap"))
 
 
 #: Words that an acronym may leave out.
