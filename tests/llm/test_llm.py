@@ -258,6 +258,20 @@ def test_op3_keeps_the_links_of_a_group_larger_than_a_small_node(spark, monkeypa
     assert len(met) < 300 * 299 / 2 + 100
 
 
+@pytest.mark.parametrize("words,percent,above", [(3, 85, 0.0), (5, 80, -2.0)])
+def test_op3_compares_again_where_a_forests_pair_is_no_link(spark, monkeypatch, words, percent, above):
+    # with so low a margin many pairs that the signatures call sure are none
+    monkeypatch.setattr(chosen_path, "SMALL", 64)
+    monkeypatch.setattr(chosen_path, "ABOVE", above)
+    rows = near_copies_of(sentence(150), 200, 9, 1000) + near_copies_of(sentence(150), 60, 12, 2000) + [(3000 + i, sentence(80)) for i in range(20)]
+    docs, trees = frame(spark, rows), chosen_path.trees_for(percent / 100)
+    sets = chosen_path.shingled(docs, words, trees).withColumnRenamed("doc_id", "rep")
+    first = chosen_path.confirmed(chosen_path.candidate_blocks(chosen_path.dealt_rows(sets), percent / 100), docs, words, percent)
+    assert first.filter("not linked").count() > 0
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_components(docs, words, percent).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(rows, words, percent).items()}
+
+
 def test_op3_takes_one_text_for_a_repeated_doc_id(spark):
     rows = [(1, sentence(50, 1)), (1, sentence(50, 2)), (2, sentence(50, 1)), (3, sentence(50, 2)), (1, None)]
     got = [sorted(tuple(r) for r in chosen_path.near_components(frame(spark, rows[:n]), 3, 85).collect()) for n in (4, 5)]

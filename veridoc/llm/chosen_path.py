@@ -11,8 +11,9 @@ more branching would only multiply; it is compared block by block instead.
 
 Documents with equal sets are one class from the start, and only its smallest doc_id enters
 the trees, so copies cost nothing. Within a node, pairs that the signatures put far above
-the threshold are confirmed along a spanning forest alone: the pairs it leaves out could not
-change a component. Candidates leave a node as one row per block of its documents, the likeliest
+the threshold are confirmed along a spanning forest alone: as long as its links hold, the pairs
+it leaves out could not change a component. Where one fails, its node is compared once more and all
+pairs between what is not connected by then are confirmed, so the forest loses nothing. Candidates leave a node as one row per block of its documents, the likeliest
 first, and pairs that are connected already are not confirmed. A pair that meets in several trees
 counts in the first one only.
 """
@@ -85,10 +86,11 @@ def signature(shingles: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]
         return (mix(low.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16), mix(first * np.uint64(2) + mix(np.arange(trees, dtype=np.uint64)))
 
 
-def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a node's rows worth confirming: those that may reach `limit`, thinned to a forest among the sure ones.
+def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of a node's rows worth confirming, the likeliest first, and how many of them are a forest's.
 
-    Left out are pairs that an earlier tree compares: those with the same first node there, if it was small.
+    These are the pairs that may reach `limit`, thinned to a forest among the sure ones. With a
+    column component there is no forest: all pairs of different components count. Left out are pairs that an earlier tree compares: those with the same first node there, if it was small.
     Rows of the sides 0 and 1 are compared across alone.
     """
     n, tree = len(g), g["tree"].iat[0]
@@ -110,8 +112,9 @@ def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.nda
             may[part], sure[part] = here, here & (same >= high)
     np.fill_diagonal(may, False)
     np.fill_diagonal(sure, False)
-    label, left, right = np.full(n, -1), [], []
-    for root in np.flatnonzero(sure.any(1)).tolist():
+    again = "component" in g
+    label, left, right = np.unique(g["component"], return_inverse=True)[1] if again else np.full(n, -1), [], []
+    for root in [] if again else np.flatnonzero(sure.any(1)).tolist():
         if label[root] >= 0:
             continue
         label[root], line = root, [root]
@@ -122,6 +125,7 @@ def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.nda
             line += new.tolist()
             left.append(np.full(len(new), u))
             right.append(new)
+    forest = sum(map(len, left))
     alone = label < 0
     label[alone] = np.flatnonzero(alone)
     for at in range(0, n, 256):
@@ -131,12 +135,12 @@ def _compare(g: pd.DataFrame, limit: float, low: int, high: int) -> tuple[np.nda
         right.append(b[up])
     left, right = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
     agree = np.concatenate([(sigs[:, left[i : i + 4096]] == sigs[:, right[i : i + 4096]]).sum(0) for i in range(0, len(left), 4096)] or [left])
-    likely = np.argsort(-agree, kind="stable")
-    return left[likely], right[likely]
+    likely = np.argsort(-agree, kind="stable")  # the forest's agree in `high` places or more, no other does
+    return left[likely], right[likely], forest
 
 
-def _blocks(g: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, list[int], bytes]]:
-    """(block, ids, pairs) of a node's candidates: at most two blocks' documents, and places among them, two an int32 pair."""
+def _blocks(g: pd.DataFrame, left: np.ndarray, right: np.ndarray, forest: int) -> Iterator[tuple[int, int, int, list[int], bytes]]:
+    """(block, node, forest, ids, pairs) of a node's candidates: at most two blocks' documents, and places among them, two an int32 pair; the first `forest` are a forest's."""
     ids, sizes = g["rep"].to_numpy(), g["n_shingles"].to_numpy(np.int64)
     block = np.maximum.accumulate(np.maximum(np.arange(len(g)) // BLOCK, np.cumsum(sizes) // BLOCK_SHINGLES))
     both = np.minimum(block[left], block[right]) * (int(block[-1]) + 1) + np.maximum(block[left], block[right])
@@ -145,7 +149,7 @@ def _blocks(g: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> Iterator[tu
     for b in np.unique(both).tolist():
         at = np.flatnonzero(both == b)
         members, where = np.unique(np.concatenate([left[at], right[at]]), return_inverse=True)
-        yield int(keys[at[0]]), ids[members].tolist(), where.reshape(2, -1).T.astype("<i4").tobytes()
+        yield int(keys[at[0]]), int(g["node"].iat[0]), int((at < forest).sum()), ids[members].tolist(), where.reshape(2, -1).T.astype("<i4").tobytes()
 
 
 def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -244,13 +248,11 @@ def _large_nodes(rows: DataFrame) -> DataFrame:
     return out
 
 
-def candidate_blocks(reps: DataFrame, threshold: float) -> DataFrame:
-    """(block, ids, pairs) of what some tree brought together and the signatures don't put below the threshold.
+_BLOCK = "block long, node long, forest int, ids array<long>, pairs binary"
 
-    A block is a part of one node with at most 2 * BLOCK documents, `ids`; `pairs` are places among them.
-    """
-    spread = math.sqrt(threshold * (1 - threshold) / POSITIONS)
-    low, high = least_agreeing(threshold, (1 - RECALL) / 2), math.ceil(min(1.0, threshold + ABOVE * spread) * POSITIONS)
+
+def dealt_rows(reps: DataFrame) -> DataFrame:
+    """A row of every representative for each node in which it is compared."""
     nodes = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(nodes.join(counts, "node").groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "n")).alias("at")), "met")
@@ -265,15 +267,25 @@ def candidate_blocks(reps: DataFrame, threshold: float) -> DataFrame:
     dealt = placed(lambda x: x["n"] <= SMALL).select(_NAMES)
     if not met.filter(F.exists("at", lambda x: x["n"] > SMALL)).isEmpty():
         dealt = dealt.unionByName(_large_nodes(written(placed(lambda x: x["n"] > SMALL), "large")))
+    return dealt
+
+
+def candidate_blocks(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(block, node, forest, ids, pairs) of what some tree brought together and the signatures don't put below the threshold.
+
+    A block is a part of one node with at most 2 * BLOCK documents, `ids`; `pairs` are places among them.
+    """
+    spread = math.sqrt(threshold * (1 - threshold) / POSITIONS)
+    low, high = least_agreeing(threshold, (1 - RECALL) / 2), math.ceil(min(1.0, threshold + ABOVE * spread) * POSITIONS)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         for g in groups(batches, "node"):
-            left, right = _compare(g, threshold, low, high)
+            left, right, forest = _compare(g, threshold, low, high)
             if len(left):
-                yield pd.DataFrame(list(_blocks(g, left, right)), columns=["block", "ids", "pairs"])
+                yield pd.DataFrame(list(_blocks(g, left, right, forest)), columns=["block", "node", "forest", "ids", "pairs"])
 
-    return in_batches(dealt.repartition("node").sortWithinPartitions("node"), compared, "block long, ids array<long>, pairs binary")
+    return in_batches(dealt.repartition("node").sortWithinPartitions("node"), compared, _BLOCK)
 
 
 def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
@@ -284,13 +296,13 @@ def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
             for ids, raw in zip(b["ids"], b["pairs"]):
                 yield pd.DataFrame(ids[np.frombuffer(raw, "<i4").reshape(-1, 2)], columns=["a", "b"])
 
-    return in_batches(candidate_blocks(reps, threshold), pairs, "a long, b long")
+    return in_batches(candidate_blocks(dealt_rows(reps), threshold), pairs, "a long, b long")
 
 
 def confirmed(blocks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) among the blocks' pairs, 100 * intersection >= percent * union of full shingle sets, enough to connect all that are linked.
+    """Links (a, b, linked) among the blocks' pairs, 100 * intersection >= percent * union of full shingle sets, enough to connect all that are linked.
 
-    A block's sets travel to its pairs once, however many pairs share them. Of the texts of
+    A forest's pair that is no link comes too, not linked, with its node. A block's sets travel to its pairs once, however many pairs share them. Of the texts of
     one doc_id that with the least set counts.
     """
 
@@ -311,11 +323,11 @@ def confirmed(blocks: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             ids = g["id"].tolist()
             full = {i: opened(raw) for i, raw in zip(ids, g["shingles"]) if raw is not None}
             found = []
-            for names, pairs in zip(g["ids"], g["pairs"]):
+            for names, pairs, forest, node in zip(g["ids"], g["pairs"], g["forest"], g["node"]):
                 if names is None:
                     continue
                 own, root = [full[i] for i in names.tolist()], list(range(len(names)))
-                for i, j in np.frombuffer(pairs, "<i4").reshape(-1, 2).tolist():
+                for k, (i, j) in enumerate(np.frombuffer(pairs, "<i4").reshape(-1, 2).tolist()):
                     a, b = i, j
                     while root[a] != a:
                         root[a] = a = root[root[a]]
@@ -329,9 +341,11 @@ def confirmed(blocks: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                     both = int(np.count_nonzero(x[at] == y))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         root[b] = a
-                        found.append((names[i], names[j]))
+                        found.append((names[i], names[j], True, node))
+                    elif k < forest:
+                        found.append((names[i], names[j], False, node))
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+                yield pd.DataFrame(found, columns=["a", "b", "linked", "node"])
 
     members = blocks.select("block", F.explode("ids").alias("id"))
     ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
@@ -340,9 +354,22 @@ def confirmed(blocks: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     full = in_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), sets, "id long, set_key binary, shingles binary")
     full = full.groupBy("id").agg(F.min_by("shingles", "set_key").alias("shingles"))
     none = F.lit(None)
-    rows = members.join(full, "id").select("block", "id", "shingles", none.cast("array<bigint>").alias("ids"), none.cast("binary").alias("pairs"))
-    rows = rows.unionByName(blocks.select("block", none.cast("long").alias("id"), none.cast("binary").alias("shingles"), "ids", "pairs"))
-    return in_batches(rows.repartition("block").sortWithinPartitions("block"), checked, "a long, b long")
+    rows = members.join(full, "id").select("block", "id", "shingles", none.cast("array<bigint>").alias("ids"), none.cast("binary").alias("pairs"), F.lit(0).alias("forest"), F.lit(0).cast("long").alias("node"))
+    rows = rows.unionByName(blocks.select("block", none.cast("long").alias("id"), none.cast("binary").alias("shingles"), "ids", "pairs", "forest", "node"))
+    return in_batches(rows.repartition("block").sortWithinPartitions("block"), checked, "a long, b long, linked boolean, node long")
+
+
+def links_of(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all representatives that are linked; nodes in which a forest's pair failed are compared again."""
+    dealt = dealt_rows(reps)
+    first = written(confirmed(written(candidate_blocks(dealt, percent / 100), "blocks"), docs, words, percent), "links")
+    links, failed = first.filter("linked").select("a", "b"), first.filter("not linked").select("node").distinct()
+    if failed.isEmpty():
+        return links
+    of = connected_components(links).select(F.col("node").alias("rep"), "component")
+    rows = dealt.join(failed, "node", "left_semi").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    blocks = written(candidate_blocks(rows, percent / 100), "blocks")
+    return links.unionByName(written(confirmed(blocks, docs, words, percent), "links").filter("linked").select("a", "b"))
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -366,8 +393,6 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classed = salted.join(classes, ["set_key", "salt"], "left").withColumn("rep", F.coalesce("low", "doc_id"))
     classed = written(classed.select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"), F.when(F.col("doc_id") == F.col("rep"), F.col("nodes")).alias("nodes")), "classed")
     reps = classed.filter("sig is not null").select("rep", "n_shingles", "sig", "nodes")
-    blocks = written(candidate_blocks(reps, percent / 100), "blocks")
-    links = written(confirmed(blocks, docs, words, percent), "links")
-    found = connected_components(links)
+    found = connected_components(links_of(reps, docs, words, percent))
     out = classed.join(found, classed["rep"] == found["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
