@@ -86,7 +86,7 @@ FAMILY = "(?i)^which ([a-z]+) standards (?:cover|mention) ([a-z ]+)$"
 
 @query(f"""WITH {_Q}, f AS (SELECT q_id, lower(regexp_extract(question, '{FAMILY}', 1)) AS descriptor, lower(regexp_extract(question, '{FAMILY}', 2)) AS topic FROM q WHERE regexp_matches(question, '{FAMILY}')),
 w AS (SELECT DISTINCT q_id, unnest(string_split(topic, ' ')) AS word FROM f), p AS (SELECT p_brand, p_partkey, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS word FROM part),
-h AS (SELECT q_id, p_brand, p_partkey, count(*) AS hits FROM w JOIN (SELECT word, p_brand, p_partkey FROM p) USING (word) WHERE q_id % 7 = p_partkey % 7 GROUP BY ALL),
+h AS (SELECT q_id, p_brand, p_partkey, count(*) AS hits FROM w JOIN (SELECT word, p_brand, p_partkey FROM p) USING (word) GROUP BY ALL),
 b AS (SELECT q_id, p_brand, sum(hits)::BIGINT AS evidence FROM h GROUP BY q_id, p_brand), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY evidence DESC, p_brand) AS rank FROM b)
 SELECT q_id, p_brand AS family, evidence, rank FROM r WHERE rank <= 8""")
 def topic_families(spark, sf):
@@ -94,9 +94,9 @@ def topic_families(spark, sf):
     part = lambda i: F.lower(F.regexp_extract("question", FAMILY, i))
     w = questions(spark, sf).filter(F.col("question").rlike(FAMILY)).select("q_id", F.explode(F.array_distinct(F.split(part(2), " "))).alias("word"))
     p = read(spark, sf, "part").select("p_brand", "p_partkey", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word"))
-    # a question reads the shelf of its own number, so that few common words don't meet all parts
-    h = w.withColumn("shelf", F.col("q_id") % 7).join(p.withColumn("shelf", F.col("p_partkey") % 7), ["word", "shelf"])
-    b = h.groupBy("q_id", F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("evidence"))
+    # parts are counted by word and family first, so a question's few words meet at most one row of each family
+    known = p.groupBy("word", F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    b = w.join(known, "word").groupBy("q_id", "family").agg(F.sum("n").alias("evidence"))
     best = Window.partitionBy("q_id").orderBy(F.desc("evidence"), "family")
     return b.withColumn("rank", F.row_number().over(best)).filter("rank <= 8")
 
