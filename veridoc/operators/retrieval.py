@@ -57,21 +57,46 @@ def _without_one(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n)))
 
 
-def suggestions(asked: DataFrame, known: DataFrame, edits: int = 2) -> DataFrame:
-    """word, suggestion, edits: for each `word` of `asked` that is not in `known` (term, df), the nearest term, of equals the one in most documents.
+#: Words up to so many letters meet on forms with letters left out, longer ones on a third that no edit touched.
+SHORT = 12
 
-    Two words within two edits share a form with up to two letters left out of either, so words
-    meet on such forms and are then compared. Words of fewer than four letters, and any with a
-    sign or digit, are neither corrected nor suggested. A word without a term near has no row.
+
+def _third(i: int, n: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of the i-th third of a word of n letters."""
+    first = F.floor(n * i / 3).cast("int")
+    return first + 1, F.floor(n * (i + 1) / 3).cast("int") - first
+
+
+def suggestions(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """word, suggestion, edits: for each `word` of `asked` that is not in `known` (term, df), the nearest term within two edits, of equals the one in most documents.
+
+    Two words within two edits share a form with up to two letters left out of either, on which
+    short words meet. Of a long word's three parts two edits leave one as it was, at most two
+    letters from its place, so long words meet on a part, its number and the asked word's
+    length; that makes 75 parts of a term, however long it is. Only terms whose length is
+    within two letters of an asked word's are spelt out at all. Words of fewer than four
+    letters, and any with a sign or digit, are neither corrected nor suggested. A word without
+    a term near has no row.
     """
     letters = r"^\p{L}{4,}$"
     known, asked = known.filter(F.col("term").rlike(letters)), asked.filter(F.col("word").rlike(letters))
-    missing = asked.join(known, asked["word"] == known["term"], "left_anti")
+    missing = asked.join(known, asked["word"] == known["term"], "left_anti").withColumn("n", F.char_length("word"))
+    lengths = missing.select(F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("m")).distinct()
+    known = known.withColumn("m", F.char_length("term")).join(lengths, "m", "left_semi")
     less = lambda c: F.flatten(F.transform(_without_one(c), _without_one))
     forms = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), _without_one(c), less(c)))).alias("form")
-    a = missing.select("word", forms(F.col("word")))
-    b = known.select("term", "df", forms(F.col("term"))).join(a.select("form").distinct(), "form", "left_semi")
-    near = a.join(b, "form").select("word", "term", "df").distinct().withColumn("edits", F.levenshtein("word", "term")).filter(F.col("edits") <= edits)
+    a = missing.filter(F.col("n") <= SHORT).select("word", forms(F.col("word")))
+    b = known.filter(F.col("m") <= SHORT + 2).select("term", "df", forms(F.col("term"))).join(a.select("form").distinct(), "form", "left_semi")
+    near = a.join(b, "form").select("word", "term", "df")
+    part = lambda word, n, i, shift: F.struct(F.lit(i).alias("i"), n.alias("n"), F.substr(word, _third(i, n)[0] + shift, _third(i, n)[1]).alias("part"))
+    parts = F.array(*(part(F.col("word"), F.col("n"), i, 0) for i in range(3)))
+    long = missing.filter(F.col("n") > SHORT).select("word", F.explode(parts).alias("key"))
+    fits = lambda i, shift: (_third(i, F.col("l"))[0] + shift >= 1) & (_third(i, F.col("l"))[0] + shift + _third(i, F.col("l"))[1] - 1 <= F.col("m"))
+    placed = F.array_compact(F.array(*(F.when(fits(i, s), part(F.col("term"), F.col("l"), i, s)) for i in range(3) for s in range(-2, 3))))
+    spelt = known.filter(F.col("m") > SHORT - 2).withColumn("l", F.explode(F.sequence(F.col("m") - 2, F.col("m") + 2))).filter(F.col("l") > SHORT)
+    spelt = spelt.select("term", "df", F.explode(F.array_distinct(placed)).alias("key")).join(long.select("key").distinct(), "key", "left_semi")
+    near = near.unionByName(long.join(spelt, "key").select("word", "term", "df")).distinct()
+    near = near.withColumn("edits", F.levenshtein("word", "term", 2)).filter("edits >= 0")
     best = near.groupBy("word").agg(F.min(F.struct("edits", (-F.col("df")).alias("seldom"), "term")).alias("x"))
     return best.select("word", F.col("x.term").alias("suggestion"), F.col("x.edits").alias("edits"))
 
