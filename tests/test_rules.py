@@ -117,3 +117,10 @@ def test_export_writes_what_it_was_given(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, t string")
     tables.export(df, str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_fragments_of_a_quote_have_to_stand_in_order(spark):
+    page = "the lug shall be welded and the plate shall be welded and tested"
+    cases = [(["the lug", "welded", "tested"], len(page) + 1), (["the lug", "tested", "welded"], 0), (["welded", "welded"], page.rindex("welded") + 7), (["welded", "welded", "welded"], 0), (["the lug", "absent", "tested"], 0), ([], 1), (["plate", "the lug"], 0)]
+    df = spark.createDataFrame([(c, page) for c, _ in cases], "fs array<string>, page string").select(fx.in_order(F.col("fs"), F.col("page")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [n for _, n in cases]

@@ -93,3 +93,13 @@ def shared_edge(before: Column, after: Column, least: int = 20) -> Column:
     best = lambda acc: F.when(acc["best"] > 0, acc["best"]).when(holds(acc["at"]), size(acc["at"])).otherwise(0)
     found = F.aggregate(cut, state(F.lit(1), F.lit(0)), lambda acc, x: state(acc["at"] + F.char_length(x), best(acc)), lambda acc: acc["best"])
     return F.when((F.char_length(before) >= least) & (F.char_length(after) >= least), found).otherwise(0)
+
+
+def in_order(fragments: Column, page: Column) -> Column:
+    """Where `page` goes on (from 1) behind the last of `fragments`, each found behind the one before it; 0 where one is missing."""
+
+    def step(at: Column, fragment: Column) -> Column:
+        found = F.call_function("locate", fragment, page, F.greatest(at, F.lit(1)))
+        return F.when((at > 0) & (found > 0), found + F.char_length(fragment)).otherwise(0)
+
+    return F.aggregate(fragments, F.lit(1), step)

@@ -152,7 +152,6 @@ def dense_parity(spark, sf):
     e = read(spark, sf, "embeddings")
     asked = F.broadcast(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("e"), F.col("label").alias("cluster")))
     s = e.join(asked).withColumn("score", ret.dot(F.col("e"), F.col("embedding"))).withColumn("same", F.col("label") == F.col("cluster"))
-    best = lambda rows, n: F.slice(F.sort_array(F.collect_list(F.when(rows, F.struct((-F.col("score")).alias("s"), "vec_id")))), 1, n)
     top = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
     within = Window.partitionBy("q_id", "same").orderBy(F.desc("score"), "vec_id")
     ranked = s.select("q_id", "vec_id", "same", F.row_number().over(top).alias("r"), F.row_number().over(within).alias("rc"))
@@ -210,7 +209,6 @@ def answerability(spark, sf):
     return a.join(g, keys, "left").select(*keys, verdict.alias("verdict"))
 
 
-_GRAM = "array_to_string(string_split({x}, ' ')[1:6], ' ')"
 
 
 @query(r"""WITH i AS (SELECT item_id, trim(regexp_extract(text, '^([^.]{30,}?[.])', 1)) AS quote FROM benchmark), k AS (SELECT item_id, quote, array_to_string(string_split(quote, ' ')[1:6], ' ') AS gram FROM i WHERE quote <> ''),
@@ -232,7 +230,6 @@ def citation_spans(spark, sf):
 
 
 #: Signs that a quote and a page may print differently.
-APPROVED = ("“”‘’–— ", "\"\"''-- ")
 CLEAN = [("-\\n *", ""), ("[ \\t\\r\\n]+", " ")]
 
 
@@ -249,10 +246,9 @@ def quotes_verified(spark, sf):
     fs = F.filter(F.transform(F.split(clean(quote), "[.]{3}"), lambda x: F.trim(x)), lambda x: x != "")
     n = rows.select("doc_id", "page", "rn", clean(F.col("text")).alias("hay"), fs.alias("fs"))
     words = F.aggregate(F.transform("fs", lambda x: F.size(F.filter(F.split(x, " "), lambda w: w.rlike("[A-Za-z0-9]")))), F.lit(0), lambda a, b: a + b)
-    n = n.withColumn("one", F.get("fs", F.lit(0))).withColumn("two", F.get("fs", F.lit(1))).withColumn("end", F.get("fs", F.size("fs") - 1)).withColumn("words", words)
-    behind = F.expr("substr(hay, instr(hay, end) + char_length(end), 1)")
-    in_order = (F.size("fs") < 2) | F.expr("instr(substr(hay, instr(hay, one) + char_length(one)), two) > 0")
-    ok = (F.size("fs") > 0) & (F.col("words") >= 3) & F.contains("hay", "one") & in_order & ~F.concat(F.lit(" "), behind).rlike("[A-Za-z0-9]")
+    n = n.withColumn("words", words).withColumn("end", fx.in_order(F.col("fs"), F.col("hay")))
+    behind = F.substr(F.col("hay"), F.col("end"), F.lit(1))
+    ok = (F.size("fs") > 0) & (F.col("words") >= 3) & (F.col("end") > 0) & ~F.concat(F.lit(" "), behind).rlike("[A-Za-z0-9]")
     return n.select("doc_id", "page", "rn", F.size("fs").alias("fragments"), F.coalesce(ok, F.lit(False)).alias("verified"))
 
 
