@@ -1,11 +1,14 @@
 """Rule tables with terms, ledgers that add up or fail, and risks, on small cases."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from veridoc.operators import assess
+from veridoc.functions.text import STOPWORDS
+from veridoc.operators import assess, evaluation
 
 ROWS = [
     ("dp", None, 1800.0, "single", [(1.0, 170.0)]), ("dp", 1800.0, 6900.0, "max", [(1.1, 0.0), (1.0, 170.0)]), ("dp", 6900.0, None, "single", [(1.1, 0.0)]),
@@ -79,3 +82,36 @@ def test_four_kinds_of_risk_and_none_opened_twice(spark):
     again = assess.risks(d, f, known.unionByName(first.select("risk_type", "key_id")), now)
     assert again.count() == 0
     assert ("schedule", 1, 9) in set(map(tuple, assess.risks(d, f, known.filter("false"), now).collect()))
+
+
+def brute_scores(sentences, passages):
+    """The measures of one answer, sentence by sentence; passages are (n, text, gold)."""
+    content = lambda t: [w for w in re.findall(r"[^\W_]+", re.sub(r"\[\d+\]", " ", (t or "").lower())) if len(w) > 1 and w not in STOPWORDS]
+    figures = lambda t: set(re.findall(r"[0-9][0-9.,]*[0-9]|[0-9]", re.sub(r"\[\d+\]", " ", t or "")))
+    claims = [s for s in sentences if len(content(s)) >= 3]
+    share = lambda s, texts: sum(w in {x for t in texts for x in content(t)} for w in content(s)) / len(content(s))
+    holds = lambda s, pool: share(s, [t for _, t, _ in pool]) >= 0.7 and figures(s) <= {f for _, t, _ in pool for f in figures(t)}
+    ok = cites = cited_claims = relevant = noise = 0
+    for s in claims:
+        marks = {int(m) for m in re.findall(r"\[(\d+)\]", s)} & {n for n, _, _ in passages}
+        pool = [p for p in passages if not marks or p[0] in marks]
+        gold = [p for p in pool if p[2]]
+        ok += holds(s, pool)
+        cited_claims += bool(marks)
+        cites += len(marks)
+        relevant += sum(share(s, [t]) >= 0.4 for _, t, _ in pool) if marks else 0
+        noise += (bool(marks) and not gold) or not holds(s, gold)
+    n = len(claims)
+    part = lambda a, b: round(a / b, 6) if b else None
+    return n, part(ok, n), part(cited_claims, n), part(relevant, cites), part(noise, n)
+
+
+def test_answer_scores_against_a_plain_loop(spark):
+    words = ["the", "pressure", "valve", "12", "3.5", "lug", "shall", "bar", "über", "[1]", "[2]", "[7]", "a"]
+    rng = random.Random(167)
+    said = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    answers = [(i, [said(rng.randrange(0, 9)) for _ in range(rng.randrange(1, 6))]) for i in range(60)] + [(60, []), (61, ["insufficient"]), (62, [None, "valve lug bar pressure"])]
+    passages = [(i, n, said(rng.randrange(0, 14)) if rng.random() < 0.95 else None, rng.random() < 0.5) for i in range(58) for n in range(1, rng.randrange(1, 5))]
+    got = evaluation.answer_scores(spark.createDataFrame(answers, "a_id long, sentences array<string>"), spark.createDataFrame(passages, "a_id long, n int, text string, gold boolean")).collect()
+    want = {i: brute_scores([s for s in ss if s is not None], [p[1:] for p in passages if p[0] == i]) for i, ss in answers}
+    assert {r[0]: tuple(r)[1:] for r in got} == want and len(set(want.values())) > 15

@@ -1,12 +1,14 @@
-"""Queries of rule tables with terms, of a ledger that has to add up, and of risks in registers."""
+"""Queries of rule tables with terms, of a ledger that has to add up, of risks in registers, and of what answers rest on."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import quoted
-from ..operators import assess
+from ..functions.text import STOPWORDS
+from ..operators import assess, evaluation
+from ..sources.derived import STATEMENTS_SQL, statements
 from ..sources.tables import read
 
 QUERIES, ORACLE = {}, {}
@@ -100,3 +102,43 @@ def register_risks(spark, sf):
     kinds = lambda *names: F.explode(F.array(*map(F.lit, names))).alias("risk_type")
     held = keys.filter("key_id % 11 = 0").select("key_id", kinds("schedule", "review")).unionByName(keys.filter("key_id % 13 = 0").select("key_id", kinds("dependency", "compliance")))
     return assess.risks(deliverables, findings, held, F.lit(NOW[11:-1]).cast("timestamp_ntz"))
+
+
+_STOP = ", ".join(map(quoted, STOPWORDS))
+#: A sentence of an answer that repeats a line: cited rightly, not at all, wrongly, or with another figure.
+SENTENCE = "CASE value % 4 WHEN 0 THEN concat(text, ' [', n, ']') WHEN 1 THEN text WHEN 2 THEN concat('It is so. ', text, ' [', n % 3 + 1, '] [99]') ELSE concat(text, ' and 7', value, ' of it [', n, ']') END"
+
+
+def _content(t: str) -> str:
+    return rf"[w FOR w IN regexp_extract_all(regexp_replace(lower({t}), {quoted(evaluation.MARK)}, ' ', 'g'), '[\p{{L}}0-9]+') IF length(w) > 1 AND w NOT IN ({_STOP})]"
+
+
+def _figures(t: str) -> str:
+    return f"list_distinct(regexp_extract_all(regexp_replace({t}, {quoted(evaluation.MARK)}, ' ', 'g'), {quoted(evaluation.FIGURE)}))"
+
+
+def _share(words: str, held: str) -> str:
+    return f"len([w FOR w IN {words} IF list_contains({held}, w)]) / len({words})"
+
+
+_HOLDS = lambda words, figures: f"({_share('words', words)} >= {evaluation.SUPPORT} AND len([x FOR x IN figures IF NOT list_contains({figures}, x)]) = 0)"
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, text, value)::INT AS n FROM {STATEMENTS_SQL}),
+p AS (SELECT doc_id AS a_id, n, {_content("text")} AS words, {_figures("text")} AS figures, n % 2 = 1 AS gold FROM s), a AS (SELECT DISTINCT doc_id AS a_id FROM s),
+c AS (SELECT row_number() OVER () AS c_id, doc_id AS a_id, {_content("t")} AS words, {_figures("t")} AS figures, [m::INT FOR m IN regexp_extract_all(t, {quoted(evaluation.MARK)}, 1)] AS marks FROM (SELECT doc_id, {SENTENCE} AS t FROM s) WHERE len({_content("t")}) >= {evaluation.CLAIM_WORDS}),
+k AS (SELECT c.c_id, c.a_id, p.n, p.words, p.figures, p.gold FROM c JOIN p ON p.a_id = c.a_id AND list_contains(c.marks, p.n)),
+w AS (SELECT c_id, count(*) AS cites FROM k GROUP BY c_id),
+o AS (SELECT c.c_id, coalesce(w.cites, 0) AS cites, p.words, p.figures, p.gold FROM c LEFT JOIN w USING (c_id) JOIN p ON p.a_id = c.a_id AND (coalesce(w.cites, 0) = 0 OR list_contains(c.marks, p.n))),
+g AS (SELECT c_id, any_value(cites) AS cites, flatten(list(words)) AS aw, flatten(list(figures)) AS af, coalesce(flatten(list(words) FILTER (WHERE gold)), []) AS gw, coalesce(flatten(list(figures) FILTER (WHERE gold)), []) AS gf, count(*) FILTER (WHERE gold) AS ng FROM o GROUP BY c_id),
+r AS (SELECT k.c_id, count(*) FILTER (WHERE {_share("c.words", "k.words")} >= {evaluation.RELEVANT}) AS relevant FROM k JOIN c USING (c_id) GROUP BY k.c_id),
+t AS (SELECT c.a_id, {_HOLDS("aw", "af")} AS ok, cites, coalesce(relevant, 0) AS relevant, NOT {_HOLDS("gw", "gf")} OR (cites > 0 AND ng = 0) AS noise FROM c JOIN g USING (c_id) LEFT JOIN r USING (c_id)),
+z AS (SELECT a_id, count(*) AS n, round(count(*) FILTER (WHERE ok) / count(*), 6) AS faithfulness, round(count(*) FILTER (WHERE cites > 0) / count(*), 6) AS citation_recall, round(sum(relevant) / nullif(sum(cites), 0), 6) AS citation_precision, round(count(*) FILTER (WHERE noise) / count(*), 6) AS noise_sensitivity FROM t GROUP BY a_id)
+SELECT a_id, coalesce(n, 0) AS n_claims, faithfulness, citation_recall, citation_precision, noise_sensitivity FROM a LEFT JOIN z USING (a_id)""")
+def answer_claims(spark, sf):
+    """What the claims of answers rest on: support, citations that are there and fit, and claims that rest on noise."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "text", "value"))
+    s = statements(spark, sf).withColumn("n", place)
+    passages = s.select(F.col("doc_id").alias("a_id"), "n", "text", (F.col("n") % 2 == 1).alias("gold"))
+    answers = s.groupBy(F.col("doc_id").alias("a_id")).agg(F.collect_list(F.expr(SENTENCE)).alias("sentences"))
+    return evaluation.answer_scores(answers, passages)
