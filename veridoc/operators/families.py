@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from ..sources.shared import kept
 
 #: Families listed for a question, and passages of one document that count for its topic.
 LISTED, PROBE = 8, 5
@@ -92,9 +92,7 @@ def families(questions: DataFrame, standards: DataFrame, passages: DataFrame) ->
     the topic, at most PROBE a document; then documents whose scope holds the descriptor, passages
     that hold it, and the name. Equal phrases are answered once.
     """
-    path = new_folder(questions.sparkSession, "phrases")
-    questions.select("q_id", family_phrase(F.col("question")).alias("x")).write.parquet(path)  # read in several places below
-    asked = questions.sparkSession.read.parquet(path).filter("x is not null").select("q_id", "x.descriptor", "x.topic")
+    asked = kept(questions.select("q_id", family_phrase(F.col("question")).alias("x")), "phrases").filter("x is not null").select("q_id", "x.descriptor", "x.topic")
     asked = asked.withColumn("d", F.xxhash64("descriptor")).withColumn("t", F.xxhash64("topic"))
     once = asked.select("d", "t", "descriptor", "topic").distinct()
     of = lambda key, name: once.select(F.col(key).alias("set"), F.col(name).alias("stems")).filter(F.size("stems") > 0).distinct()

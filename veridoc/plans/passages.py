@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import rewrite_sql
 from ..operators import chunks
 from ..operators.chunks import BARS, BUDGET, HEADER, HEADING, MOST, OVERLAP, RUNT, TARGET
-from ..sources.shared import new_folder
+from ..sources.shared import kept
 from ..sources.tables import read
 from .figures import MASKED
 
@@ -87,6 +87,4 @@ FROM f JOIN x h ON h.doc_id = f.doc_id AND h.section = f.section AND h.i = f.hit
 @query(f"WITH RECURSIVE {_CHUNKS}, {_GROWN}")
 def grown_passages(spark, sf):
     """What is shown around every chunk: its block, then neighbours of its section on either side, within the budget."""
-    made, path = chunks.sentence_chunks(read(spark, sf, "documents"), MASKED), new_folder(spark, "chunks")
-    made.write.parquet(path)
-    return chunks.grown(spark.read.schema(made.schema).parquet(path))
+    return chunks.grown(kept(chunks.sentence_chunks(read(spark, sf, "documents"), MASKED), "chunks"))
