@@ -137,3 +137,11 @@ def test_uploads_once_per_content(spark, tmp_path):
     for name, body in (("a.txt", b"same"), ("b.txt", b"same"), ("c.txt", b"other")):
         (tmp_path / name).write_bytes(body)
     assert pages.uploads(spark, str(tmp_path)).count() == 2
+
+
+def test_running_lines_are_taken_out_by_group(spark):
+    rows = [(n, "a", f"Head\nown {n}\n 12 \nHead\nFoot {n % 2}") for n in range(4)] + [(4, "b", "Head\nx"), (5, None, "Head"), (6, "a", None), (7, "a", ""), (8, "a", "Head"), (9, "a", "7")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: (r["stripped"], r["text"]) for r in text.without_running_lines(docs, "source").collect()}
+    assert got == {n: (3, f"own {n}\nFoot {n % 2}") for n in range(4)} | {4: (0, "Head\nx"), 5: (0, "Head"), 6: (None, None), 7: (0, ""), 8: (1, ""), 9: (1, "")}
+    assert text.without_running_lines(docs.limit(0), "source").collect() == []

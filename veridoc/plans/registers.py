@@ -120,13 +120,7 @@ e AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) A
 SELECT doc_id, count(*) FILTER (WHERE running) AS stripped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT running), '')) AS digest FROM k GROUP BY doc_id""")
 def stripped_pages(spark, sf):
     """Texts without the lines that run through three documents of their source, or are page numbers."""
-    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
-    per_source = op.running_lines(docs, "source").groupBy("source").agg(F.collect_set(F.xxhash64("line")).alias("running"))
-    # a source's running lines are at most a third of its lines; they travel once a source, as hashes
-    j = docs.join(per_source, "source", "left")
-    out = lambda x: F.coalesce(F.array_contains("running", F.xxhash64(x)), F.lit(False)) | x.rlike("^ *[0-9]{1,4} *$")
-    ls = fx.lines(F.col("text"))
-    return j.select("doc_id", F.size(F.filter(ls, out)).cast("bigint").alias("stripped"), F.md5(F.array_join(F.filter(ls, lambda x: ~out(x)), "\n")).alias("digest"))
+    return op.without_running_lines(read(spark, sf, "documents").select("doc_id", "source", "text"), "source").select("doc_id", "stripped", F.md5("text").alias("digest"))
 
 
 @query(rf"""WITH s AS (SELECT doc_id, [x FOR x IN string_split_regex(text, '[.!?]\s+') IF x <> ''] AS ss FROM documents), e AS (SELECT doc_id, unnest(ss) AS text, unnest(range(0, len(ss))) AS pos FROM s), n AS (SELECT doc_id, pos, text, len([x FOR x IN string_split_regex(text, '[ \t\r\n]+') IF x <> '']) AS n FROM e),
@@ -162,8 +156,8 @@ def _near_dups_sql():
 def near_dup_survivors(spark, sf):
     """Documents with near copies, and whether they outlast them: the longest does, of equals the first."""
     docs = read(spark, sf, "documents").select("doc_id", "n_chars")
-    p = op.near_copies(read(spark, sf, "documents")).select("a", "b")
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # each pair both ways from one reading: the pairs are costly
+    both = op.near_copies(read(spark, sf, "documents")).select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     s = both.join(docs.select(F.col("doc_id").alias("a"), F.col("n_chars").alias("na")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("n_chars").alias("nb")), "b")
     better = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     return s.groupBy(F.col("a").alias("doc_id")).agg(F.count(F.lit(1)).alias("near"), F.bool_and(better).alias("survives"))
