@@ -145,3 +145,14 @@ def test_running_lines_are_taken_out_by_group(spark):
     got = {r["doc_id"]: (r["stripped"], r["text"]) for r in text.without_running_lines(docs, "source").collect()}
     assert got == {n: (3, f"own {n}\nFoot {n % 2}") for n in range(4)} | {4: (0, "Head\nx"), 5: (0, "Head"), 6: (None, None), 7: (0, ""), 8: (1, ""), 9: (1, "")}
     assert text.without_running_lines(docs.limit(0), "source").collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 2, 100])
+def test_nearest_in_blocks_equals_brute_force(spark, block):
+    vectors = [(n, [float(n % 5), float(n % 3), 1.0]) for n in range(20)]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    q = v.filter("vec_id < 4").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("asked"))
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(i, j, r + 1) for i, a in vectors[:4] for r, (j, _) in enumerate(sorted((x for x in vectors if x[0] != i), key=lambda x: (-score(a, x[1]), x[0]))[:6])}
+    assert {tuple(r) for r in ret.nearest(v, q, 6, itself=False, block=block).collect()} == want
+    assert ret.nearest(v, q.limit(0), 6).collect() == [] and ret.nearest(v.limit(0), q, 6, block=block).collect() == []

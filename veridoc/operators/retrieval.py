@@ -117,6 +117,30 @@ def vector_topk(vectors: DataFrame, question: list[float], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
 
 
+#: Questions that are sent to the vectors at a time.
+QUESTIONS = 4096
+
+
+def nearest(vectors: DataFrame, questions: DataFrame, k: int, itself: bool = True, digits: int | None = None, block: int = QUESTIONS) -> DataFrame:
+    """The k best of `vectors` for each question by exact dot product, ties by vec_id: q_id, vec_id, rank.
+
+    `questions` has q_id and asked (a vector). They are counted and sent in blocks of about `block`, so what a task holds doesn't
+    grow with them; each part of the vectors keeps its own k best a question before anything is shuffled. `itself` tells whether
+    a vector may answer the question of its own number; scores are rounded to `digits` where given. Null vectors rank last.
+    """
+    blocks = max(1, -(-questions.count() // block))
+    found = None
+    for b in range(blocks):
+        asked = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
+        pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(asked.select("q_id", "asked")))
+        pairs = pairs if itself else pairs.filter("vec_id <> q_id")
+        score = dot(F.col("asked"), F.col("embedding"))
+        rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))
+        best = pairs.select("q_id", "vec_id", (score if digits is None else F.round(score, digits)).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("q_id", "vec_id", "rank")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 def rrf(lists: list[tuple[DataFrame, str]], k: int = RRF_K) -> DataFrame:
     """id and fused score of ranked lists (id, rank); a list without an id adds nothing."""
     out = None

@@ -34,12 +34,9 @@ SELECT q_id, {", ".join(f"round(count(*) FILTER (WHERE label = ql AND rank <= {k
 def prec_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     """Of each hundredth vector as a question: whether its nearest ten have its label."""
     e = read(spark, sf, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    pairs = e.crossJoin(F.broadcast(q)).filter("vec_id <> q_id")  # a stated set of questions against all rows
-    scored = pairs.select("q_id", "vec_id", F.round(ret.dot(F.col("qe"), F.col("embedding")), 9).alias("score"))
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
-    hits = scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("q_id", F.col("vec_id").alias("doc_id"), "rank")
-    gold = e.join(F.broadcast(q.select("q_id", "ql")), (F.col("label") == F.col("ql")) & (F.col("vec_id") != F.col("q_id"))).select("q_id", F.col("vec_id").alias("doc_id"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql"), F.col("embedding").alias("asked"))
+    hits = ret.nearest(e, q, 10, itself=False, digits=9).select("q_id", F.col("vec_id").alias("doc_id"), "rank")
+    gold = e.join(q.select("q_id", "ql"), (F.col("label") == F.col("ql")) & (F.col("vec_id") != F.col("q_id"))).select("q_id", F.col("vec_id").alias("doc_id"))
     return op.precision_recall(hits, gold)
 
 

@@ -273,7 +273,7 @@ def degraded_read_hold(spark, sf):
     """A pass on a page that was partly unreadable is held; failures keep their status."""
     f = _findings(spark, sf)
     d = f.filter("reason = 'unit unknown'").select("page").distinct().withColumn("bad", F.lit(True))
-    j = f.join(F.broadcast(d), "page", "left")
+    j = f.join(d, "page", "left")
     return j.select("req_id", "fact_id", F.when((F.col("status") == "meets") & F.col("bad"), "engineer review").otherwise(F.coalesce("status", F.lit("undecided"))).alias("held"))
 
 
