@@ -68,14 +68,31 @@ _REQ = """(SELECT p_partkey AS req_id, CASE p_partkey % 8 WHEN 0 THEN concat('Th
 rw AS (SELECT req_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+'))) AS word FROM r), h AS (SELECT req_id, field, count(*) AS k FROM rw JOIN fw USING (word) GROUP BY req_id, field)
 SELECT req_id, field FROM h JOIN n USING (field) WHERE k = n""")
 def containment_join(spark, sf):
-    """Requirements with the fields all of whose words they hold: words meet by equality and are counted."""
+    """Requirements with the fields all of whose words they hold: each field meets them on its rarest word."""
     p = read(spark, sf, "part")
     fields = p.select(F.col("p_name").alias("field")).unionByName(p.select(F.lit("size").alias("field"))).distinct()
     fields = fields.select("field", F.array_distinct(F.split(F.lower("field"), " ")).alias("words"))
-    fw = fields.select("field", F.size("words").alias("n"), F.explode("words").alias("word"))
-    rw = requirements(spark, sf).select("req_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
-    h = rw.join(fw, "word").groupBy("req_id", "field", "n").agg(F.count(F.lit(1)).alias("k"))
-    return h.filter("k = n").select("req_id", "field")
+    texts = requirements(spark, sf).select("req_id", F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")).alias("held"))
+    return fields_held(texts, fields)
+
+
+#: Fields up to which they are sent to the requirements; beyond, both are shuffled by the word on which they meet.
+BROADCAST_FIELDS = 50_000
+
+
+def fields_held(texts: DataFrame, fields: DataFrame, most: int | None = None) -> DataFrame:
+    """req_id and field where `held` of `texts` (req_id, held) has all `words` of `fields` (field, words).
+
+    A field meets a requirement once, on that word of its own that the fewest requirements hold, and its other words are looked
+    up there. Requirements are never the side that is sent whole.
+    """
+    rw = texts.select("req_id", "held", F.explode("held").alias("word"))
+    often = rw.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    fw = fields.select("field", "words", F.explode("words").alias("word")).join(often.hint("merge"), "word", "left")
+    keyed = fw.groupBy("field", "words").agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+    few = fields.count() <= (BROADCAST_FIELDS if most is None else most)
+    met = rw.join(keyed.hint("broadcast" if few else "merge"), "word")
+    return met.filter(F.size(F.array_except("words", "held")) == 0).select("req_id", "field")
 
 
 @query("""WITH p AS (SELECT o_orderkey AS doc_id, unnest(range(1, 2 + o_custkey % 7)) AS page, 1 AS planned FROM orders WHERE o_custkey % 11 <> 0), l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(CASE WHEN l_returnflag = 'A' THEN 'listed' WHEN l_linestatus = 'O' THEN 'read' ELSE 'unaccounted' END) AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 11 <> 0 GROUP BY 1, 2),
