@@ -157,3 +157,8 @@ def test_boundary_texts_with_pattern_signs(spark):
     cases = [("x" * 30 + r"\E[ab(c" * 5, r"\E[ab(c" * 5 + " tail"), ("a" * 20_000, "a" * 20_000), ("no edge here at all", "something else entirely"), (r"end \Q of .* it ^$ here and on", r"of .* it ^$ here and on we go")]
     df = spark.createDataFrame(cases, "a string, b string").select("a", "b", shared_edge(F.col("a"), F.col("b")).alias("n"))
     assert [r["n"] for r in df.collect()] == [shared(a, b) for a, b in cases]
+
+
+def test_digits_at_the_edges_of_a_sentence_stay(spark):
+    text = "0 of them is written here. 16.1 is a number of the bolt 2. 29 more are listed in part 12"
+    assert [r["chunk"] for r in made(spark, text)] == [text]

@@ -101,7 +101,7 @@ def sentence_chunks(docs: DataFrame, sentences: Steps) -> DataFrame:
     MOST tokens: a longer sentence or row is cut on its words. `sentences` are the steps that
     put each sentence on a line of its own.
     """
-    prose = F.flatten(F.transform("lines", lambda x: F.transform(F.split(rewrite(x, sentences), "\n"), F.trim)))
+    prose = F.flatten(F.transform("lines", lambda x: F.transform(F.split(rewrite(x, sentences), "\n"), lambda y: F.trim(y))))  # F.trim itself would take the place as the signs to trim
     table = F.col("kind") == "table"
     headed = table & (F.size("lines") > 1) & (_size(F.get("lines", F.lit(0))) <= HEADER)
     units = F.when(headed, F.slice("lines", F.lit(2), F.size("lines"))).when(table, F.col("lines")).otherwise(F.filter(prose, lambda x: x != ""))
