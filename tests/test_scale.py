@@ -1,7 +1,10 @@
 """Plans and results that larger tables depend on: what is sent whole, what meets what, and cuts that a small table hides."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from veridoc.operators import text
 from veridoc.plans import answers, ledgers
 
 
@@ -28,3 +31,31 @@ def test_figures_round_as_the_sql_casts(spark, tmp_path):
     spark.createDataFrame(rows, line).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = answers.grounded_figures(spark, str(tmp_path)).collect()
     assert [(r["doc_id"], r["figures"], r["grounded"]) for r in got] == [(39395, 2, 1)]
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    sets = {}
+    for n in (1, 2, 7, 20, 40, 150, 900):  # copies with 0 to 12 % of the words changed, of sizes on both sides of a class
+        base = [f"w{n}x{i}" for i in range(n)]
+        for k in range(8):
+            own = [f"own{n}y{k}z{i}" for i in range(int(n * rng.uniform(0, 0.12)))]
+            sets[len(sets)] = set([*base[: n - int(n * rng.uniform(0, 0.12)) or 1], *own, *(["common"] if k % 2 else [])])
+    docs = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in sets.items()], "doc_id long, text string")
+    first = {}
+    for i, x in sets.items():
+        first.setdefault(frozenset(x), i)
+    ids = sorted(first.values())
+    share = lambda i, j: round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6)
+    want = {(i, j, share(i, j)) for i in ids for j in ids if i < j and share(i, j) >= 0.85}
+    assert {tuple(r) for r in text.near_copies(docs).collect()} == want and len(want) > 50
+
+
+def test_bits_never_differ_more_than_the_sets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(sorted({int(x) for x in rng.integers(-(2**63), 2**63 - 1, int(n))}),) for n in rng.integers(1, 3000, 30)] + [([-1, 0, 63, 64, 2**63 - 1],)]
+    got = spark.createDataFrame(rows, "words array<bigint>").withColumn("bits", text._parity("words")).collect()
+    d = spark.createDataFrame([(r["words"], s["words"], r["bits"], s["bits"]) for r in got[:12] for s in got[-12:]], "wa array<bigint>, wb array<bigint>, a array<bigint>, b array<bigint>")
+    for longs, part in ((text.COARSE, lambda c: F.slice(c, 1, text.COARSE)), (text.FINE, lambda c: F.slice(c, text.COARSE + 1, text.FINE))):
+        for r in d.select("wa", "wb", text._differ(part("a"), part("b"), longs).alias("n")).collect():
+            assert r["n"] <= len(set(r["wa"]) ^ set(r["wb"]))
