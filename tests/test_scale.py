@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veridoc.functions import numbers as num
 from veridoc.operators import text
-from veridoc.plans import answers, ledgers
+from veridoc.plans import answers, figures, ledgers
 
 
 @pytest.mark.parametrize("most", [None, 0])
@@ -59,3 +60,15 @@ def test_bits_never_differ_more_than_the_sets(spark):
     for longs, part in ((text.COARSE, lambda c: F.slice(c, 1, text.COARSE)), (text.FINE, lambda c: F.slice(c, text.COARSE + 1, text.FINE))):
         for r in d.select("wa", "wb", text._differ(part("a"), part("b"), longs).alias("n")).collect():
             assert r["n"] <= len(set(r["wa"]) ^ set(r["wb"]))
+
+
+def test_signs_but_the_first_need_a_minus_or_a_caret():
+    assert [new for pattern, new in num.SIGNS[:1]] == ["-"] and all("-" in p.replace("0-9", "").replace("A-Z", "").replace("a-z", "") or "\\^" in p for p, _ in num.SIGNS[1:])
+
+
+def test_a_text_is_searched_for_numbers_once(spark, sf_dir):
+    plan = figures.numbers_found(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    rows = spark.createDataFrame([("−5 to –6, ⁻7 at 10⁻³ or 2 x 10⁻⁴ m², 8-9",), (None,), ("",)], "text string")
+    got = [r["x"] for r in rows.select(num.number_values(F.col("text")).alias("x")).collect()]
+    assert got == [[-5.0, -6.0, -7.0, 0.001, 0.0002, 2.0, 8.0, 9.0], None, []]

@@ -86,10 +86,10 @@ def blank_marker(cell: Column) -> Column:
     )
 
 
-SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+SUPERSCRIPTS, MINUS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "−–⁻"
 #: Rewrites that leave a minus only where it can be nothing else; an exponent is e, one below zero em.
 SIGNS = [
-    ("[−–⁻]", "-"), ("10 ?\\^ ?-", "10^m"), ("([0-9]) ?[x×] ?10\\^(m?[0-9]+)", "\\1e\\2"), ("(^|[^0-9.,e])10\\^(m?[0-9]+)", "\\11e\\2"), ("([0-9])e-([0-9])", "\\1em\\2"),
+    (f"[{MINUS}]", "-"), ("10 ?\\^ ?-", "10^m"), ("([0-9]) ?[x×] ?10\\^(m?[0-9]+)", "\\1e\\2"), ("(^|[^0-9.,e])10\\^(m?[0-9]+)", "\\11e\\2"), ("([0-9])e-([0-9])", "\\1em\\2"),
     ("([0-9])-([0-9])", "\\1 ~ \\2"), ("([0-9]) -([0-9])", "\\1 ~ \\2"), ("([A-Za-z/])-([0-9])", "\\1~\\2"),
 ]
 RAISED = [("10⁻([⁰¹²³⁴-⁹])", "10^m\\1"), ("10([⁰¹²³⁴-⁹])", "10^\\1")]
@@ -115,16 +115,25 @@ def value_of_sql(token: str) -> str:
 
 def number_list(text: Column) -> Column:
     """Tokens of all numbers of a text in order, each with its sign; a dash in a range or a name is none."""
-    return found(rewrite(F.translate(rewrite(text, RAISED), SUPERSCRIPTS, "0123456789"), SIGNS), NUMBER_TOKEN)
+    # the first of SIGNS maps signs one by one, as the raised digits are mapped: both in one pass
+    plain = F.translate(rewrite(text, RAISED), SUPERSCRIPTS + MINUS, "0123456789" + "-" * len(MINUS))
+    # every other of SIGNS needs a minus or a caret
+    signed = F.when(F.contains(plain, F.lit("-")) | F.contains(plain, F.lit("^")), rewrite(plain, SIGNS[1:])).otherwise(plain)
+    return found(signed, NUMBER_TOKEN)
 
 
 def number_list_sql(expr: str) -> str:
     return found_sql(rewrite_sql(f"translate({rewrite_sql(expr, RAISED)}, '{SUPERSCRIPTS}', '0123456789')", SIGNS), NUMBER_TOKEN)
 
 
+def values_of(tokens: Column) -> Column:
+    """The numbers among tokens of `number_list`; compounds such as 5.3.2 are left out."""
+    return F.filter(F.transform(tokens, value_of), lambda x: x.isNotNull())
+
+
 def number_values(text: Column) -> Column:
     """The numbers of a text; compounds such as 5.3.2 are left out."""
-    return F.filter(F.transform(number_list(text), value_of), lambda x: x.isNotNull())
+    return values_of(number_list(text))
 
 
 def number_values_sql(expr: str) -> str:

@@ -36,7 +36,8 @@ MASKED = [("(^|[ (])(" + "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS)
 @query(f"WITH {_S} SELECT doc_id, page, {num.number_list_sql('text')} AS tokens, {num.number_values_sql('text')} AS numbers FROM s")
 def numbers_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every number of a statement with its sign; compounds stay tokens."""
-    return statements(spark, sf).select(*KEYS, num.number_list(F.col("text")).alias("tokens"), num.number_values(F.col("text")).alias("numbers"))
+    found = statements(spark, sf).select(*KEYS, num.number_list(F.col("text")).alias("tokens"))
+    return found.select(*KEYS, "tokens", num.values_of(F.col("tokens")).alias("numbers"))
 
 
 @query(f"WITH {_S} SELECT doc_id, page, value, list_contains({num.number_values_sql('text')}, value::DOUBLE) AS stated, contains(text, value::VARCHAR) AS as_digits FROM s")
