@@ -1,6 +1,9 @@
 """Operators on small frames: nulls, ties, empty tables, and the invariants that hold at any size."""
 
+import random
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import numbers as num
@@ -156,3 +159,22 @@ def test_nearest_in_blocks_equals_brute_force(spark, block):
     want = {(i, j, r + 1) for i, a in vectors[:4] for r, (j, _) in enumerate(sorted((x for x in vectors if x[0] != i), key=lambda x: (-score(a, x[1]), x[0]))[:6])}
     assert {tuple(r) for r in ret.nearest(v, q, 6, itself=False, block=block).collect()} == want
     assert ret.nearest(v, q.limit(0), 6).collect() == [] and ret.nearest(v.limit(0), q, 6, block=block).collect() == []
+
+
+@pytest.mark.parametrize("digits", [None, 9])
+def test_nearest_keeps_ties_null_and_odd_vectors_and_makes_no_row_a_pair(spark, digits, monkeypatch):
+    monkeypatch.setattr(ret, "VECTOR_BLOCK", 16)
+    rng = random.Random(5)
+    some = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(60)]
+    vectors = dict(enumerate(some + [some[3]] * 30 + [[0.0, 0.0, float(i % 2), 0.0] for i in range(30)] + [None, [1.0, None, 0.0, 0.0], [1.0], [], [float("nan"), 0.0, 0.0, 1.0]]))
+    v = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 7 = 3").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("asked"))
+    pairs = v.join(q, F.col("vec_id") != F.col("q_id"))
+    score = ret.dot(F.col("asked"), F.col("embedding"))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))
+    want = pairs.select("q_id", "vec_id", (score if digits is None else F.round(score, digits)).alias("score")).withColumn("rank", rank).filter("rank <= 12")
+    got = ret.nearest(v, q, 12, itself=False, digits=digits)
+    assert {tuple(r) for r in got.collect()} == {(r["q_id"], r["vec_id"], r["rank"]) for r in want.collect()}
+    # the crossed rows are blocks, not pairs of vectors
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan

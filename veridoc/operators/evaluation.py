@@ -14,7 +14,11 @@ def precision_recall(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1,
     hits: q_id, doc_id, rank; gold: q_id, doc_id. A question without hits has zeros.
     """
     wanted = gold.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    good = hits.join(gold.withColumn("good", F.lit(True)), ["q_id", "doc_id"], "left")
+    return measured(hits.join(gold.withColumn("good", F.lit(True)), ["q_id", "doc_id"], "left"), wanted, ks)
+
+
+def measured(good: DataFrame, wanted: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """`precision_recall` of hits that are judged already (q_id, rank, good) and the number of each question's gold (q_id, n_gold)."""
     aggs = [F.count_if(F.col("good") & (F.col("rank") <= k)).alias(f"g{k}") for k in ks]
     per = good.groupBy("q_id").agg(*aggs, F.min(F.when(F.col("good"), F.col("rank"))).alias("first"))
     j = wanted.join(per, "q_id", "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,26 +121,104 @@ def vector_topk(vectors: DataFrame, question: list[float], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
 
 
-#: Questions that are sent to the vectors at a time.
+#: Questions that are sent to the vectors at a time; vectors and questions that are multiplied at once.
 QUESTIONS = 4096
+VECTOR_BLOCK, QUESTION_BLOCK = 8192, 512
+
+
+def _sized(rows: pa.ListScalar) -> dict[int | None, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors (float64) of a list of structs id and x, by the vectors' length; those without a vector under None."""
+    ids, lists = (rows.values.field(i) for i in (0, 1))
+    ids, sizes = ids.to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes):
+        at = np.nonzero(sizes == n)[0]
+        flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64) if n >= 0 else np.zeros(0)
+        out[None if n < 0 else int(n)] = ids[at], flat.reshape(len(at), max(int(n), 0))
+    return out
+
+
+def _kth(groups: list[np.ndarray], k: int) -> np.ndarray:
+    """Which rows are among the first k of those that are alike in `groups`, in the order given by the last sort key, groups[0]."""
+    order = np.lexsort(groups)
+    alike = np.zeros(len(order), bool)
+    alike[1:] = np.logical_and.reduce([g[order][1:] == g[order][:-1] for g in groups[1:]])
+    place = np.arange(len(order))
+    keep = np.zeros(len(order), bool)
+    keep[order] = place - np.maximum.accumulate(np.where(alike, 0, place)) < k
+    return keep
+
+
+def _best(qs: tuple[np.ndarray, np.ndarray], vs: tuple[np.ndarray, np.ndarray], k: int, itself: bool, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of questions, vec_ids and scores: all that can be among the k best of these vectors, scores within `slack` being alike.
+
+    One product of matrices tells which come near the k-th best. Those are scored anew, summed in order of the dimensions as
+    `dot` sums, so a score has the same bits wherever it is made. Of vectors that are equal k + 1 stand for all.
+    """
+    (q_ids, q), (ids, v) = qs, vs
+    with np.errstate(all="ignore"):
+        same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1].ravel() if v.shape[1] else np.zeros(len(v), int)
+        kept = _kth([ids, same], k + 1)
+        ids, v = ids[kept], v[kept]
+        near = q @ v.T
+        near[np.isnan(near)] = np.inf
+        if not itself:
+            near[q_ids[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(q), -np.inf)
+        size = lambda x: (s := np.sqrt((x * x).sum(axis=1)))[np.isfinite(s)].max(initial=0.0)
+        error = 1e-15 * (v.shape[1] + 1) * size(q) * size(v)
+        mask = near >= (least - 2 * (error + slack))[:, None]
+        if not itself:
+            mask &= q_ids[:, None] != ids[None, :]
+        a, b = np.nonzero(mask)
+        score = np.empty(len(a))
+        columns = q.T.copy(), v.T.copy()
+        for i in range(0, len(a), 1 << 16):
+            at, total = slice(i, i + (1 << 16)), 0.0
+            for x, y in zip(*columns):
+                total = total + x[a[at]] * y[b[at]]
+            score[at] = total
+    # of equal scores of a question the first k can count; nan is one score
+    first = _kth([ids[b], np.nan_to_num(score, nan=np.inf, posinf=np.inf, neginf=-np.inf), np.isnan(score), a], k)
+    return a[first], ids[b][first], score[first]
 
 
 def nearest(vectors: DataFrame, questions: DataFrame, k: int, itself: bool = True, digits: int | None = None, block: int = QUESTIONS) -> DataFrame:
     """The k best of `vectors` for each question by exact dot product, ties by vec_id: q_id, vec_id, rank.
 
     `questions` has q_id and asked (a vector). They are counted and sent in blocks of about `block`, so what a task holds doesn't
-    grow with them; each part of the vectors keeps its own k best a question before anything is shuffled. `itself` tells whether
-    a vector may answer the question of its own number; scores are rounded to `digits` where given. Null vectors rank last.
+    grow with them. Vectors meet questions in blocks, each a product of two matrices; a block of vectors passes on only what can
+    be among its own k best a question, with exact scores. `itself` tells whether a vector may answer the question of its own
+    number; scores are rounded to `digits` where given. Null vectors, and vectors of another length than the question's, rank last.
     """
-    blocks = max(1, -(-questions.count() // block))
+    whole = lambda c: F.when(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()), F.col(c)).alias("x")
+    dealt = lambda rows, key, vector, n, name: rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("part")).agg(F.collect_list(F.struct(F.col(key), whole(vector))).alias(name)).select(name)
+    n_asked, n_held = questions.count(), vectors.count()
+    blocks = max(1, -(-n_asked // block))
+    held = dealt(vectors, "vec_id", "embedding", max(1, -(-n_held // VECTOR_BLOCK)), "vs")
+    slack = 0.0 if digits is None else 10.0**-digits
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, vs in zip(batch.column("qs"), batch.column("vs")):
+                asked, sized = _sized(qs), _sized(vs)
+                for n, (q_ids, q) in asked.items():
+                    unlike = [ids for m, (ids, _) in sized.items() if m != n or n is None]
+                    for ids in [np.sort(np.concatenate(unlike))[: k + 1]] if unlike else []:
+                        a, b = np.nonzero((q_ids[:, None] != ids[None, :]) | itself)
+                        yield pa.record_batch([pa.array(q_ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.nulls(len(a), pa.float64())], ["q_id", "vec_id", "score"])
+                    if n is not None and n in sized:
+                        a, ids, score = _best((q_ids, q), sized[n], k, itself, slack)
+                        yield pa.record_batch([pa.array(q_ids[a], pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["q_id", "vec_id", "score"])
+
     found = None
     for b in range(blocks):
         asked = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
-        pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(asked.select("q_id", "asked")))
-        pairs = pairs if itself else pairs.filter("vec_id <> q_id")
-        score = dot(F.col("asked"), F.col("embedding"))
+        asked = dealt(asked.select("q_id", "asked"), "q_id", "asked", max(1, -(-min(n_asked, block) // QUESTION_BLOCK)), "qs")
+        pairs = held.crossJoin(F.broadcast(asked)).mapInArrow(met, "q_id long, vec_id long, score double")
+        score = F.col("score") if digits is None else F.round("score", digits)
         rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))
-        best = pairs.select("q_id", "vec_id", (score if digits is None else F.round(score, digits)).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("q_id", "vec_id", "rank")
+        best = pairs.select("q_id", "vec_id", score.alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("q_id", "vec_id", "rank")
         found = best if found is None else found.unionByName(best)
     return found
 
