@@ -88,3 +88,19 @@ def test_a_timer_tells_a_stale_claim_without_an_event_of_its_job(spark, tmp_path
     got = streamed(spark, tmp_path, held, *clock, after).filter("job_id = 1").orderBy("seq").collect()
     assert [r["change"] for r in got] == ["queued", "claimed", "stale", "taken over", "refused"]
     assert got[2]["at_ms"] == got[1]["at_ms"] + queue.STALE_MS
+
+
+def test_jobs_are_taken_in_turn_over_batches(spark):
+    kinds = ["enqueue", "claim", "touch", "fail", "claim", "claim", "done", "cancel"]
+    every = [(j, j % 3, n, START + datetime.timedelta(minutes=5 * n + j % 7), kinds[(n * 5 + j) % 8] if n else "enqueue", [None, "a", "b", "a"][(n + j) % 4]) for j in range(40) for n in range(12)]
+    rows = spark.createDataFrame(every, SCHEMA)
+    known = rows.selectExpr("job_id", "doc_id", "event_id", "kind", "worker", "unix_millis(at) AS at_ms").toPandas()
+    want = sorted(str(r) for j, own in known.groupby("job_id") for r in queue.advanced(int(j), None, own)[1])
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = queue.history(rows.union(rows))
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()  # no job is a call of its own

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,6 +16,7 @@ STALE_MS, PAUSE_MS, RETRIES = 15 * 60 * 1000, 30 * 1000, 3
 
 EVENT = "job_id, doc_id, event_id, at, kind, worker"
 CHANGES = "job_id long, doc_id long, seq long, event_id long, at_ms long, worker string, change string, status string, retries int, next_ms long"
+_ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[t]) for n, t in (c.split() for c in CHANGES.split(", "))])
 STATE = "doc_id long, status string, retries int, next_ms long, worker string, claimed_ms long, last_event long, seq long"
 
 
@@ -62,6 +64,17 @@ def _row(job_id: int, job: Job, event_id: int | None, at_ms: int, worker: str |
     return (job_id, job.doc_id, job.seq, event_id, at_ms, worker, change, job.status, job.retries, job.next_ms)
 
 
+def _after(job_id: int, job: Job, event_id: int, at_ms: int, kind: str, worker: str | None) -> tuple[Job, list[tuple]]:
+    """The job after one event that is no replay, and its rows."""
+    rows, ripe = [], ripened(job, at_ms)
+    if ripe is not job:
+        rows.append(_row(job_id, ripe, None, job.claimed_ms + STALE_MS, job.worker, "stale"))
+    job, change = stepped(ripe, kind, worker, at_ms)
+    job = job._replace(last_event=event_id, seq=job.seq + 1)
+    rows.append(_row(job_id, job, event_id, at_ms, worker, change))
+    return job, rows
+
+
 def advanced(job_id: int, job: Job | None, events: pd.DataFrame) -> tuple[Job, list[tuple]]:
     """The job after its events, in order of event_id; those up to the last one seen are replays and do nothing."""
     rows = []
@@ -69,16 +82,26 @@ def advanced(job_id: int, job: Job | None, events: pd.DataFrame) -> tuple[Job, l
         job = job or Job(None if pd.isna(e.doc_id) else int(e.doc_id))
         if e.event_id <= job.last_event:
             continue
-        worker = None if pd.isna(e.worker) else e.worker
-        ripe = ripened(job, e.at_ms)
-        if ripe is not job:
-            rows.append(_row(job_id, ripe, None, job.claimed_ms + STALE_MS, job.worker, "stale"))
-        job, change = stepped(ripe, e.kind, worker, int(e.at_ms))
-        job = job._replace(last_event=int(e.event_id), seq=job.seq + 1)
-        rows.append(_row(job_id, job, int(e.event_id), int(e.at_ms), worker, change))
+        job, more = _after(job_id, job, int(e.event_id), int(e.at_ms), e.kind, None if pd.isna(e.worker) else e.worker)
+        rows += more
     return job, rows
 
 
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of events that come job by job, in order; a job may go on in the next batch."""
+    job_id, job = None, None
+    for batch in batches:
+        rows = []
+        for i, doc_id, event_id, at_ms, kind, worker in zip(*(batch.column(c).to_pylist() for c in ("job_id", "doc_id", "event_id", "at_ms", "kind", "worker"))):
+            if job is None or i != job_id:
+                job_id, job = i, Job(doc_id)
+            if event_id > job.last_event:
+                job, more = _after(i, job, event_id, at_ms, kind, worker)
+                rows += more
+        columns = zip(*rows) if rows else [()] * len(_ARROW)
+        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, _ARROW.types)], _ARROW)
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGES.split(", ")])
     return out.astype({"doc_id": "Int64", "event_id": "Int64", "next_ms": "Int64", "worker": "object"})
@@ -93,11 +116,11 @@ def history(events: DataFrame) -> DataFrame:
     """What each event of a table did to its job, one row an event, and one where a claim went stale before the next event.
 
     `events` has job_id, doc_id, event_id, at, kind and worker. Events of a job are taken by event_id, a repeated number counts
-    once; events without job, number or time are left out; a job that was never queued refuses all. Jobs are apart, so one
-    job's events are all that a task holds at once.
+    once; events without job, number or time are left out; a job that was never queued refuses all. A task takes its jobs in turn
+    and holds one job's state and a batch of events.
     """
-    once = _known(events).dropDuplicates(["job_id", "event_id"])
-    return once.groupBy("job_id").applyInPandas(lambda key, pdf: _frame(advanced(int(key[0]), None, pdf)[1]), CHANGES)
+    known = _known(events).select(*(F.col(c).cast("long") for c in ("job_id", "doc_id", "event_id", "at_ms")), "kind", "worker")
+    return known.repartition("job_id").sortWithinPartitions("job_id", "event_id").mapInArrow(_in_turn, CHANGES)
 
 
 def job_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
