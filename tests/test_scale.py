@@ -77,3 +77,11 @@ def test_a_text_is_searched_for_numbers_once(spark, sf_dir):
 def test_fields_of_a_series_are_shuffled_once(spark, sf_dir):
     plan = structure.series_merge(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Expand" not in plan
+
+
+def test_applicability_deals_tasks_out_by_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ledgers, "ROWS_A_TASK", 500)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    made = ledgers.applicability(spark, sf_dir)
+    assert made.rdd.getNumPartitions() == -(-lines // 500) > 4
+    assert sum(r["n"] for r in made.select("n").collect()) == ledgers.statements(spark, sf_dir).filter("text <> ''").count()

@@ -117,6 +117,8 @@ def page_ledger(spark, sf):
         ready.alias("ready"), (ready & (F.col("li") == 0)).alias("fully_read"))
 
 
+#: Rows of statements that one task joins and counts at once.
+ROWS_A_TASK = 400_000
 SCOPE = [("(?i)does not apply to .*pump", "excluded"), ("(?i)existing", "existing only"), ("P-[0-9]+", "pump"), ("(?i)flange|valve|lug", "other equipment"), ("[0-9]+ ?(-|to) ?[0-9]+ mm", "size range")]
 
 
@@ -125,9 +127,12 @@ SELECT doc_id, value, CASE WHEN limited = 'excluded' THEN 'not applicable' WHEN
 def applicability(spark, sf):
     """Whether a rule applies to a pump of the order's size: by equipment and by a whole size range outside; generic rules are candidates."""
     range_ = "([0-9]+)-([0-9]+) mm"
-    k = statements(spark, sf).filter("text <> ''").select("doc_id", "value", first_rule(F.col("text"), SCOPE).alias("limited"), F.regexp_extract("text", range_, 1).alias("lo"), F.regexp_extract("text", range_, 2).alias("hi"))
+    bound = lambda i: F.regexp_extract("text", range_, i).try_cast("int")
+    # rows are narrow and alike, so tasks are dealt out by the number of rows: by their compressed size a task would get millions
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read(spark, sf, "lineitem").count() // ROWS_A_TASK))
+    k = statements(spark, sf).filter("text <> ''").select("doc_id", "value", first_rule(F.col("text"), SCOPE).alias("limited"), bound(1).alias("lo"), bound(2).alias("hi")).repartition(parts, "doc_id")
     a = read(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", "int(o_custkey % 60) AS size")
-    inside = F.expr("size BETWEEN try_cast(lo AS int) AND try_cast(hi AS int)")
+    inside = F.col("size").between(F.col("lo"), F.col("hi"))
     limited = F.col("limited")
     applies = F.when(limited.isin("excluded", "other equipment"), "not applicable").when(limited == "pump", "include").when((limited == "size range") & ~inside, "not applicable").when(limited == "size range", "include").when(limited.isNull() | (limited == "existing only"), "candidate").otherwise("unknown")
     return k.join(a, "doc_id").groupBy("doc_id", "value", applies.alias("applies")).agg(F.count(F.lit(1)).alias("n"))
