@@ -85,3 +85,10 @@ def test_applicability_deals_tasks_out_by_rows(spark, sf_dir, monkeypatch):
     made = ledgers.applicability(spark, sf_dir)
     assert made.rdd.getNumPartitions() == -(-lines // 500) > 4
     assert sum(r["n"] for r in made.select("n").collect()) == ledgers.statements(spark, sf_dir).filter("text <> ''").count()
+
+
+def test_numbers_are_read_only_where_the_row_key_can_stand(spark, sf_dir):
+    texts = ["at 24.5 mm", "24.5.2", "124.5", "2⁴.5", "5-24.5", "24.5 x 10^3", "24.5x10⁻²", "3 x 10^24.5", "-24.5", "24 .5", "24,5", "", None, "10²⁴.5", "10^-24.5", "see P-24.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(num.lists(F.col("t"), "24.5").alias("a"), F.array_contains(num.number_list(F.col("t")), "24.5").alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+    assert "translate(" in answers.hit_boosts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("array_contains")[0]

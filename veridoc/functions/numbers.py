@@ -122,6 +122,11 @@ def number_list(text: Column) -> Column:
     return found(signed, NUMBER_TOKEN)
 
 
+def lists(text: Column, token: str) -> Column:
+    """Whether `number_list` holds `token`, digits and points alone: they stand side by side in the text, raised or not, or it is not read."""
+    return F.contains(F.translate(text, SUPERSCRIPTS, "0123456789"), F.lit(token)) & F.array_contains(number_list(text), token)
+
+
 def number_list_sql(expr: str) -> str:
     return found_sql(rewrite_sql(f"translate({rewrite_sql(expr, RAISED)}, '{SUPERSCRIPTS}', '0123456789')", SIGNS), NUMBER_TOKEN)
 
