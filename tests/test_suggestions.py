@@ -3,6 +3,7 @@
 import numpy as np
 
 from veridoc.operators import retrieval as ret
+from veridoc.plans import registers
 
 RNG = np.random.default_rng(142)
 
@@ -47,3 +48,20 @@ def test_a_word_of_twenty_thousand_letters(spark):
     assert {r["word"][:5]: (r["suggestion"][-3:], r["edits"]) for r in got} == {long[:5]: (long[-3:], 1), "shrt": ("ort", 1)}
     none = spark.createDataFrame([], "word string")
     assert ret.suggestions(none, spark.createDataFrame(known, "term string, df long")).count() == 0
+
+
+def test_keys_past_the_first_plane_and_on_both_sides_of_the_lengths(spark):
+    terms = ["".join(RNG.choice(list("aß𝐱é"), int(n))) for n in RNG.integers(9, 18, 120)]
+    asked = sorted({edited(RNG.choice(terms), 2) for _ in range(120)} - set(terms))
+    got = ret.suggestions(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame([(t, 1) for t in set(terms)], "term string, df long")).collect()
+    near = {w: min((distance(w, t), t) for t in terms) for w in asked}
+    assert sorted((r["word"], r["edits"], r["suggestion"]) for r in got) == sorted((w, *x) for w, x in near.items() if x[0] <= 2) and len(got) > 60
+
+
+def test_documents_are_read_once_and_only_met_keys_are_shuffled(spark, sf_dir):
+    plan = registers.spelling_suggestions(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "source#" not in plan and "lambdafunction" not in plan and plan.count("MapInArrow") == 1
+    keys = spark.createDataFrame([(int(k),) for k in RNG.integers(-(2**63), 2**63 - 1, 500)] + [(-1,), (0,)], "key long")
+    n, bits = ret._key_bits(keys)
+    at = {(r["key"] % 2**64) >> (64 - n) for r in keys.collect()}
+    assert len(bits) * 8 == 1 << n and {8 * int(i) + b for i in np.nonzero(bits)[0] for b in range(8) if bits[i] >> b & 1} == at

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import kept
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -55,20 +57,80 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _without_one(word: Column) -> Column:
-    """All forms of a word with one letter left out."""
-    n = F.char_length(word)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n)))
-
-
 #: Words up to so many letters meet on forms with letters left out, longer ones on a third that no edit touched.
 SHORT = 12
+#: Signs of a block of words that are hashed at once; bits a key of an asked word, and the fewest and most bits (by power of two) in all.
+LETTERS_AT_ONCE, BITS_A_KEY, LEAST_BITS, MOST_BITS = 1 << 20, 16, 20, 28
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, each spread over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers of `base` from 0 to n, modulo 2 to the 64th."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _form_keys(sums: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of words of n letters with none, one and two letters left out; `sums` are those of their first letters."""
+    once, twice, end = np.uint64(_INVERSE), np.uint64(_INVERSE * _INVERSE % (1 << 64)), sums[:, n:]
+    i, j = np.triu_indices(n, 1)
+    one = sums[:, :n] + once * (end - sums[:, 1:])
+    two = sums[:, i] + once * (sums[:, j] - sums[:, i + 1]) + twice * (end - sums[:, j + 1])
+    return [end, one, two]
+
+
+def _part_keys(sums: np.ndarray, n: int, lengths: range, shifts: range) -> list[np.ndarray]:
+    """Hashes of what stands in words of n letters where the thirds of a word of each of `lengths` stand, moved by `shifts`."""
+    back, out = _powers(_INVERSE, n), []
+    for m in lengths:
+        for i in range(3):
+            first, last = m * i // 3, m * (i + 1) // 3
+            for s in shifts:
+                if m > SHORT and first + s >= 0 and last + s <= n:
+                    part = (sums[:, last + s] - sums[:, first + s]) * back[first + s]
+                    out.append(_mixed(part + np.uint64(3 * m + i + 1))[:, None])
+    return out
+
+
+def _word_keys(words: pa.Array, asked: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of words and, row by row, the hashes of all on which they meet others; an asked word and a term within two edits share one."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    for n in map(int, np.unique(sizes)):
+        alike = np.nonzero(sizes == n)[0]
+        for at in np.array_split(alike, -(-len(alike) * n // LETTERS_AT_ONCE)):
+            codes = np.frombuffer("".join(words.take(pa.array(at)).to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(at), n)
+            sums = np.zeros((len(at), n + 1), np.uint64)
+            np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(_BASE)) * _powers(_BASE, n)[:n], axis=1, out=sums[:, 1:])
+            keys = _form_keys(sums, n) if n <= (SHORT if asked else SHORT + 2) else []
+            if n > (SHORT if asked else SHORT - 2):
+                keys += _part_keys(sums, n, range(n, n + 1) if asked else range(n - 2, n + 3), range(1) if asked else range(-2, 3))
+            yield at, _mixed(np.concatenate(keys, axis=1))
 
 
-def _third(i: int, n: Column) -> tuple[Column, Column]:
-    """Start (from 1) and length of the i-th third of a word of n letters."""
-    first = F.floor(n * i / 3).cast("int")
-    return first + 1, F.floor(n * (i + 1) / 3).cast("int") - first
+def _asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, keys in _word_keys(batch.column(0), True):
+            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(at, keys.shape[1]))), pa.array(keys.ravel().view(np.int64))], ["word", "key"])
+
+
+def _key_bits(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """A number of bits, a power of two told by its exponent, and these: those of the first bits of a key of `keys` are set."""
+    n = min(max((BITS_A_KEY * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    at = F.shiftrightunsigned("key", 64 - n)
+    parts = keys.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = np.zeros((1 << n - 15, 4096), np.uint8)
+    for part, some in parts.toLocalIterator():
+        bits[part] = np.frombuffer(some, np.uint8)
+    return n, bits.ravel()
 
 
 def suggestions(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -77,29 +139,32 @@ def suggestions(asked: DataFrame, known: DataFrame) -> DataFrame:
     Two words within two edits share a form with up to two letters left out of either, on which
     short words meet. Of a long word's three parts two edits leave one as it was, at most two
     letters from its place, so long words meet on a part, its number and the asked word's
-    length; that makes 75 parts of a term, however long it is. Only terms whose length is
+    length; that makes 75 parts of a term, however long it is. They meet on hashes, and every
+    pair is compared whole. A bitmap of the asked words' hashes (32 MB at most) goes to the terms,
+    so a hash that no asked word has is not shuffled. Only terms whose length is
     within two letters of an asked word's are spelt out at all. Words of fewer than four
     letters, and any with a sign or digit, are neither corrected nor suggested. A word without
     a term near has no row.
     """
     letters = r"^\p{L}{4,}$"
     known, asked = known.filter(F.col("term").rlike(letters)), asked.filter(F.col("word").rlike(letters))
-    missing = asked.join(known, asked["word"] == known["term"], "left_anti").withColumn("n", F.char_length("word"))
-    lengths = missing.select(F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("m")).distinct()
-    known = known.withColumn("m", F.char_length("term")).join(lengths, "m", "left_semi")
-    less = lambda c: F.flatten(F.transform(_without_one(c), _without_one))
-    forms = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), _without_one(c), less(c)))).alias("form")
-    a = missing.filter(F.col("n") <= SHORT).select("word", forms(F.col("word")))
-    b = known.filter(F.col("m") <= SHORT + 2).select("term", "df", forms(F.col("term"))).join(a.select("form").distinct(), "form", "left_semi")
-    near = a.join(b, "form").select("word", "term", "df")
-    part = lambda word, n, i, shift: F.struct(F.lit(i).alias("i"), n.alias("n"), F.substr(word, _third(i, n)[0] + shift, _third(i, n)[1]).alias("part"))
-    parts = F.array(*(part(F.col("word"), F.col("n"), i, 0) for i in range(3)))
-    long = missing.filter(F.col("n") > SHORT).select("word", F.explode(parts).alias("key"))
-    fits = lambda i, shift: (_third(i, F.col("l"))[0] + shift >= 1) & (_third(i, F.col("l"))[0] + shift + _third(i, F.col("l"))[1] - 1 <= F.col("m"))
-    placed = F.array_compact(F.array(*(F.when(fits(i, s), part(F.col("term"), F.col("l"), i, s)) for i in range(3) for s in range(-2, 3))))
-    spelt = known.filter(F.col("m") > SHORT - 2).withColumn("l", F.explode(F.sequence(F.col("m") - 2, F.col("m") + 2))).filter(F.col("l") > SHORT)
-    spelt = spelt.select("term", "df", F.explode(F.array_distinct(placed)).alias("key")).join(long.select("key").distinct(), "key", "left_semi")
-    near = near.unionByName(long.join(spelt, "key").select("word", "term", "df")).distinct()
+    missing = kept(asked.select("word").join(known, asked["word"] == known["term"], "left_anti"), "missing")
+    lengths = missing.select(F.char_length("word").alias("n")).distinct().select(F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("m")).distinct()
+    a = kept(missing.mapInArrow(_asked_keys, "word string, key long"), "keys")
+    n_bits, bits = _key_bits(a)
+    sent = known.sparkSession.sparkContext.broadcast(bits)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, keys in _word_keys(batch.column(0), False):
+                place = keys >> np.uint64(64 - n_bits)
+                hit = (sent.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+                row, column = np.nonzero(hit)
+                of = pa.array(at[row])
+                yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[row, column].view(np.int64))], ["term", "df", "key"])
+
+    terms = known.withColumn("m", F.char_length("term")).join(lengths, "m", "left_semi").select("term", F.col("df").cast("long").alias("df"))
+    near = a.join(terms.mapInArrow(held, "term string, df long, key long"), "key").select("word", "term", "df").distinct()
     near = near.withColumn("edits", F.levenshtein("word", "term", 2)).filter("edits >= 0")
     best = near.groupBy("word").agg(F.min(F.struct("edits", (-F.col("df")).alias("seldom"), "term")).alias("x"))
     return best.select("word", F.col("x.term").alias("suggestion"), F.col("x.edits").alias("edits"))
