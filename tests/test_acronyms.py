@@ -3,6 +3,7 @@
 import pytest
 
 from veridoc.operators import acronyms
+from veridoc.plans import acronyms as plans
 
 SCHEMA = "doc_id long, scope string, text string"
 
@@ -68,3 +69,14 @@ def test_questions_are_worded_both_ways_within_their_scope(spark):
         1: ("What is the (design for test), then?", None, 2),
         2: (None, "Is NDFT, or NDT, asked?", None),
     }
+
+
+def test_texts_and_questions_are_read_once(spark, sf_dir):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    harvested = plan(acronyms.harvest(plans._texts(spark, sf_dir)))
+    assert "Filter isnotnull(CASE" not in harvested and "Filter exists(" not in harvested
+    asked = spark.createDataFrame([(1, "a", "the DFT and dry film-thickness"), (2, "b", None), (3, None, "DFT")], "question_id long, scope string, text string")
+    known = spark.createDataFrame([("a", "DFT", "dry film thickness", 1)], "scope string, acronym string, expansion string, n_docs long")
+    reworded = acronyms.reworded(asked, known)
+    assert [tuple(r) for r in reworded.collect()] == [(1, "the dry film thickness and dry film-thickness", "the DFT and DFT", 1)]
+    assert plan(reworded).count("Generate explode") == 1
