@@ -2,7 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
 from veridoc.operators import sections
+from veridoc.plans import sections as plans
 
 PROSE = "The plant is divided into nodes, each with a clear design intent."
 
@@ -78,3 +80,12 @@ def test_empty_tables_repeated_pages_and_long_lines(spark):
     assert lines(spark, "Table 3. " + "w" * 300_000, "\n" * 50_000).count() == 1
     same = spark.createDataFrame([(1, 1, "Annex B - Method\nx")] * 2, "doc_id long, page int, text string")
     assert sorted(r["n_lines"] for r in sections.refined_sections(sections.title_lines(same)).collect()) == [1, 3]
+
+
+def test_lines_are_read_once(spark, sf_dir):
+    plan = plans.dropped_titles(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "posexplode" not in plan
+    rows = ["a  b", "a\tb\r", " a – b—c ", "\t \r", "a b", "a \t\r b", ""]
+    got = spark.createDataFrame([(r,) for r in rows], "raw string").select(sections.flat(F.col("raw")), F.col("raw").rlike("[^ \t\r]")).collect()
+    want = [" ".join(r.replace("–", "-").replace("—", "-").replace("\t", " ").replace("\r", " ").split()) for r in rows]
+    assert [tuple(r) for r in got] == [(w, w != "") for w in want]

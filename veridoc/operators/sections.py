@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_rule
+from ..sources.shared import kept
 
 #: Titles by kind; the first that holds. A code or a word of an attachment, a caption of a table or figure, a numbered item.
 KINDS = [
@@ -23,7 +24,9 @@ LONGEST, RUN, PAGES = 160, 3, 3
 
 def flat(line: Column) -> Column:
     """A line as it is compared: white space single, every dash a hyphen."""
-    return F.trim(F.regexp_replace(F.translate(line, "–—", "--"), "[ \t\r]+", " "))
+    hyphens = F.replace(F.replace(line, F.lit("–"), F.lit("-")), F.lit("—"), F.lit("-"))
+    # a single blank is left as it is: most are, and each match costs
+    return F.trim(F.regexp_replace(hyphens, " [ \t\r]+|[\t\r][ \t\r]*", " "))
 
 
 def title_lines(pages: DataFrame) -> DataFrame:
@@ -35,9 +38,11 @@ def title_lines(pages: DataFrame) -> DataFrame:
     A null text has no lines; two pages of one number are one page, their lines by text; empty tables give no rows.
     """
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    k = lines.select("doc_id", "page", "line", flat(F.col("raw")).alias("title"), F.col("raw").rlike(LEADERS).alias("leaders")).filter("title <> ''")
+    # what flat leaves empty is told by the line itself, so that no title is made twice
+    k = lines.filter(F.col("raw").rlike("[^ \t\r]")).select("doc_id", "page", "line", "raw", flat(F.col("raw")).alias("title"))
     k = k.withColumn("kind", F.when(F.char_length("title") <= LONGEST, first_rule(F.col("title"), KINDS)))
-    entry = F.col("leaders") | F.col("title").rlike(NUMBERED)
+    entry = F.when(F.col("kind").isNotNull(), F.col("raw").rlike(LEADERS) | F.col("title").rlike(NUMBERED))
+    k, entry = kept(k.select("doc_id", "page", "line", "title", "kind", entry.alias("entry")), "lines"), F.col("entry")
     alike = k.filter("kind is not null").groupBy("doc_id", "title").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= PAGES).select("doc_id", "title", F.lit(True).alias("running"))
     k = k.join(alike, ["doc_id", "title"], "left").withColumn("running", F.coalesce("running", F.lit(False)))
     k = k.withColumn("like", F.col("kind").isNotNull() & ~entry & ~F.col("running"))
