@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veridoc.operators import families
+from veridoc.plans import families as plans
 
 WORDS = {"welding": "weld", "welds": "weld", "weld": "weld", "valves": "valv", "valve": "valv", "piping": "pip", "pipes": "pip", "viscosities": "viscosity", "boxes": "box", "glass": "glass", "gas": "gas", "sing": "sing", "red": "red", "Tested": "test", "bus": "bus", "passes": "pass"}
 PHRASES = [
@@ -33,3 +34,11 @@ def test_families_are_ranked_by_topic_and_qualify_by_descriptor(spark):
     # five of the seven pages of document 1 count, P-1 is no welding standard, editions 1 and 2 are one family
     assert one == [(1, "W-1", 2, 6, 2, 0), (2, "W-2", 1, 1, 0, 1), (3, "W-4", 1, 0, 1, 0), (4, "W-3", 1, 0, 0, 1)]
     assert sorted((r["rank"], r["family"]) for r in got if r["q_id"] == 2) == [(r[0], r[1]) for r in one] and {r["q_id"] for r in got} == {1, 2}
+
+
+def test_passages_are_stemmed_once(spark, sf_dir):
+    plan = plans.standard_families(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan
+    texts = ["Welding of the Valves, and boxes' passes", "a-b ab1 CES", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(families.stems(F.col("text")), F.array_sort(families._own_stems(F.col("text")))).collect()
+    assert all(a == b for a, b in got) and got[0][0] == ["and", "box", "pass", "the", "valv", "weld"]

@@ -41,22 +41,30 @@ def _cut(w: Column) -> Column:
         .when(w.endswith("ing") & (n >= 6), less(3))
         .when(w.endswith("ies") & (n >= 5), F.concat(less(3), F.lit("y")))
         .when(w.endswith("ed") & (n >= 5), less(2))
-        .when(w.rlike("(sses|shes|ches|xes|zes|ses)$") & (n > 4), less(2))
+        .when(w.endswith("es") & w.rlike("(sses|shes|ches|xes|zes|ses)$") & (n > 4), less(2))
         .when(w.endswith("s") & ~w.endswith("ss") & (n > 3), less(1))
         .otherwise(w)
     )
 
 
+def _shortened(low: Column) -> Column:
+    return F.transform(F.transform(low, _cut), lambda w: F.when(w.endswith("e") & (F.char_length(w) > 3), F.left(w, F.char_length(w) - 1)).otherwise(w))
+
+
 def stemmed(words: Column) -> Column:
     """Words in lower case without a common ending, so that weld, welds and welding meet; three letters at least stay."""
-    low = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
-    return F.transform(F.transform(low, _cut), lambda w: F.when(w.endswith("e") & (F.char_length(w) > 3), F.left(w, F.char_length(w) - 1)).otherwise(w))
+    return _shortened(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")))
+
+
+def _own_stems(text: Column) -> Column:
+    words = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.char_length(w) >= 3)
+    # no sign is left in these words that `stemmed` would take out
+    return F.array_distinct(_shortened(F.transform(words, F.lower)))
 
 
 def stems(text: Column) -> Column:
     """The distinct stems of the words of three letters or more, in order of the alphabet."""
-    words = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.char_length(w) >= 3)
-    return F.array_sort(F.array_distinct(stemmed(words)))
+    return F.array_sort(_own_stems(text))
 
 
 def family_phrase(question: Column) -> Column:
@@ -79,7 +87,7 @@ def whole_hits(texts: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = sets.select("set", F.size("stems").alias("need"), F.explode("stems").alias("stem"))
     asked = wanted.select("stem").distinct()
     numbered = texts.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    met = numbered.select("doc_id", "row", F.explode(stems(F.col("text"))).alias("stem")).join(asked, "stem", "left_semi").join(wanted, "stem").groupBy("set", "need", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    met = numbered.select("doc_id", "row", F.explode(_own_stems(F.col("text"))).alias("stem")).join(asked, "stem", "left_semi").join(wanted, "stem").groupBy("set", "need", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
     return met.filter("n = need").groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,8 +105,10 @@ def families(questions: DataFrame, standards: DataFrame, passages: DataFrame) ->
     once = asked.select("d", "t", "descriptor", "topic").distinct()
     of = lambda key, name: once.select(F.col(key).alias("set"), F.col(name).alias("stems")).filter(F.size("stems") > 0).distinct()
     scope = whole_hits(standards.select("doc_id", F.col("scope").alias("text")), of("d", "descriptor")).select(F.col("set").alias("d"), "doc_id", F.lit(1).alias("scope"))
-    held = whole_hits(passages, of("d", "descriptor")).select(F.col("set").alias("d"), "doc_id", F.col("n").alias("search"))
-    probed = whole_hits(passages, of("t", "topic")).select(F.col("set").alias("t"), "doc_id", F.least("n", F.lit(PROBE)).alias("hits"))
+    # a passage's stems are made once for descriptors and topics
+    hits = kept(whole_hits(passages, of("d", "descriptor").unionByName(of("t", "topic")).distinct()), "hits")
+    held = hits.join(of("d", "descriptor").select("set"), "set", "left_semi").select(F.col("set").alias("d"), "doc_id", F.col("n").alias("search"))
+    probed = hits.join(of("t", "topic").select("set"), "set", "left_semi").select(F.col("set").alias("t"), "doc_id", F.least("n", F.lit(PROBE)).alias("hits"))
     qualified = scope.join(held, ["d", "doc_id"], "full_outer").join(standards.select("doc_id", "designation"), "doc_id")
     counted = once.select("d", "t").join(qualified, "d").join(probed, ["t", "doc_id"], "left")
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("hits", "topic"), ("scope", "scope"), ("search", "search"))]
