@@ -15,6 +15,7 @@ LETTERS, VOWEL = "^['’-]*\\p{L}[\\p{L}'’-]*$", "[aeiouyàâäéèêëíîï
 LABEL = "(^|\n)[ \t]*(TABLE|Table|FIGURE|Figure|EXHIBIT|Exhibit)[ \t]*[0-9]"
 REQUIREMENT = "(?i)\\b(shall|must|required|not\\s+(be\\s+)?(exceed|less|more)|minimum|maximum|min[.]|max[.]|approved|prohibited|permitted)\\b"
 VALUE = "(?i)([0-9]\\s*(°\\s*[CF]\\b|%|mm\\b|um\\b|µm\\b|micron|mils?\\b|MPa\\b|kPa\\b|bar[ga]?\\b|psi[ga]?\\b|hours?\\b|hrs?\\b|min(ute)?s?\\b|days?\\b|ppm\\b|V\\b|volts?\\b|kg\\b|m2\\b|lit(re|er)s?\\b|rpm\\b|kW\\b|kV\\b|m[3³]/hr?\\b|Hz\\b)|\\b[0-9]+\\s*:\\s*[0-9]+\\b|\\b(RAL|Sa|St|SSPC|ISO|ASTM|NACE)\\s*[-0-9])"
+ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 BARS, LEAST_TAGS, SHORT_LINE, HEADERS = "^[|]([^|]*[|]){2,}$", 3, 40, 6
 
 
@@ -37,8 +38,10 @@ def _class(token: Column, bare: Column) -> Column:
 
 def classes(text: Column) -> Column:
     """A text's tokens as a string of their classes."""
-    both = F.transform(fx.white_tokens(text), lambda x: F.struct(x.alias("raw"), _bare(x).alias("bare")))
-    return F.array_join(F.transform(both, lambda x: _class(x["raw"], x["bare"])), "")
+    # most tokens are small words without a sign, which one pattern tells; they need two letters, as all words do
+    plain = lambda x: x.rlike(f"^\\p{{Ll}}*{VOWEL}\\p{{Ll}}*$") & (F.char_length(x) >= 2)
+    one = lambda x: F.when(plain(x), F.when(F.char_length(x) >= 3, "w").otherwise("x")).otherwise(fx.once(_bare(x), lambda bare: _class(x, bare)))
+    return F.array_join(F.transform(fx.white_tokens(text), one), "")
 
 
 def _of(code: Column, kinds: str) -> Column:
@@ -71,10 +74,11 @@ def assessed(docs: DataFrame) -> DataFrame:
     ls = F.filter(F.transform(fx.lines(F.col("text")), lambda x: F.trim(F.regexp_replace(x, "[\t\r]", " "))), lambda x: x != "")
     t = t.select("doc_id", "text", classes(F.col("text")).alias("code"), ls.alias("ls"))
     n_of = lambda test: F.size(F.filter("ls", test))
-    letters, arabic = fx.count_chars(F.col("text"), r"\p{L}"), fx.count_chars(F.col("text"), r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]")
+    letters, arabic = fx.count_chars(F.col("text"), r"\p{L}+"), fx.count_chars(F.col("text"), f"{ARABIC}+")
+    foreign = F.col("text").rlike(ARABIC) & (letters >= 20) & (arabic > 0.5 * letters)
     header = F.exists(F.slice("ls", 1, HEADERS), lambda x: (F.char_length(x) <= SHORT_LINE) & ~x.rlike("[0-9]"))
     s = t.select(
-        "doc_id", "code", "text", longest_clause(F.col("code")).alias("clause"), F.char_length("code").alias("n"), F.size("ls").alias("n_lines"), ((letters >= 20) & (arabic > 0.5 * letters)).alias("foreign"),
+        "doc_id", "code", "text", longest_clause(F.col("code")).alias("clause"), F.char_length("code").alias("n"), F.size("ls").alias("n_lines"), foreign.alias("foreign"),
         n_of(_is_data_row).alias("rows"), n_of(lambda x: x.rlike(NUMERIC) & ~x.rlike("[.,]$")).alias("cells"), n_of(lambda x: F.char_length(x) <= SHORT_LINE).alias("short"), (header | F.col("text").rlike(LABEL)).alias("named"),
         _of(F.col("code"), "bn").alias("numbers"), _of(F.col("code"), "t").alias("tags"), _of(F.col("code"), "^e").alias("solid"))
     table = (
