@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridoc.functions import numbers as num
-from veridoc.operators import text
-from veridoc.plans import answers, figures, ledgers, structure
+from veridoc.functions.rules import first_rule
+from veridoc.operators import gate, text
+from veridoc.plans import answers, figures, ledgers, registers, structure
 
 
 @pytest.mark.parametrize("most", [None, 0])
@@ -92,3 +93,21 @@ def test_numbers_are_read_only_where_the_row_key_can_stand(spark, sf_dir):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(num.lists(F.col("t"), "24.5").alias("a"), F.array_contains(num.number_list(F.col("t")), "24.5").alias("b"))
     assert all(r["a"] == r["b"] for r in df.collect())
     assert "translate(" in answers.hit_boosts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("array_contains")[0]
+
+
+def test_roots_leave_every_rule_as_it_is(spark):
+    said = ["Not Less Than", "no less than", "not below", "at least", "MINIMUM", "not fewer than", "not exceed", "no more than", "not more than", "not above", "at most", "maximum", "up to", "less than", "below", "under", "greater than", "more than", "above", "exceeding"]
+    said += ["5-6 mm", "BETWEEN 4", "class 300", "Refer To", "per asme", "PER API", "see para", "a If b", "a when b", "a unless b", "Maximum 2 of the 3", "shall", "MUST", "7", "", "ash"]
+    texts = spark.createDataFrame([(s,) for s in said] + [(None,)], "text string")
+    for rules, roots in ((registers.COMPARED, registers.COMPARED_ROOTS), (registers.REQUIRED, registers.REQUIRED_ROOTS)):
+        plain, rooted = first_rule(F.col("text"), rules, "none"), first_rule(F.col("text"), rules, "none", roots, F.lower("text"))
+        rows = texts.select("text", plain, rooted).collect()
+        assert all(r[1] == r[2] for r in rows) and {r[1] for r in rows} == {"none", *(name for _, name in rules)}
+
+
+def test_classes_of_small_words_and_scripts(spark):
+    tokens = {"pump": "w", "ab": "x", "a": "o", "bcd": "o", "été": "w", "pump,": "w", "Pump": "W", "(at)": "X", "don't": "w", "12.5": "b", "P-100A": "t", "...": "e", "a1": "o"}
+    got = spark.createDataFrame([(t, c) for t, c in tokens.items()], "t string, want string").select("t", "want", gate.classes(F.col("t")).alias("got")).collect()
+    assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got]
+    plan = gate.assessed(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\p{L}+" in plan and "\\p{Ll}*" in plan

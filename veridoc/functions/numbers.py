@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import found, found_sql, rewrite, rewrite_sql
+from .text import once
 
 #: Unit, dimension, base unit, factor; no factor: recognised but not converted.
 UNITS = (
@@ -115,11 +116,13 @@ def value_of_sql(token: str) -> str:
 
 def number_list(text: Column) -> Column:
     """Tokens of all numbers of a text in order, each with its sign; a dash in a range or a name is none."""
-    # the first of SIGNS maps signs one by one, as the raised digits are mapped: both in one pass
-    plain = F.translate(rewrite(text, RAISED), SUPERSCRIPTS + MINUS, "0123456789" + "-" * len(MINUS))
-    # every other of SIGNS needs a minus or a caret
-    signed = F.when(F.contains(plain, F.lit("-")) | F.contains(plain, F.lit("^")), rewrite(plain, SIGNS[1:])).otherwise(plain)
-    return found(signed, NUMBER_TOKEN)
+    # the first of SIGNS maps signs one by one, as the raised digits are mapped: both in one pass; ASCII has neither
+    mapped = F.translate(rewrite(text, RAISED), SUPERSCRIPTS + MINUS, "0123456789" + "-" * len(MINUS))
+    plain = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(mapped)
+    # every other of SIGNS needs a minus or a caret, the first three of them a caret
+    signed = lambda x: F.when(F.contains(x, F.lit("^")), rewrite(x, SIGNS[1:])).when(F.contains(x, F.lit("-")), rewrite(x, SIGNS[4:])).otherwise(x)
+    # looking ahead passes over most signs of a text at once
+    return once(plain, lambda x: found(signed(x), f"(?=[-+.0-9])(?:{NUMBER_TOKEN})"))
 
 
 def lists(text: Column, token: str) -> Column:

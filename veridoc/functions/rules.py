@@ -6,6 +6,7 @@ Patterns keep to what the JVM and RE2 read alike: no look-around, no back-refere
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,11 +32,15 @@ def rewrite_sql(expr: str, steps: Steps) -> str:
     return expr
 
 
-def first_rule(col: Column, rules: Steps, otherwise: str | None = None) -> Column:
-    """The name of the first pattern that `col` holds, or `otherwise`."""
+def first_rule(col: Column, rules: Steps, otherwise: str | None = None, roots: dict[str, tuple[str, ...]] | None = None, low: Column | None = None) -> Column:
+    """The name of the first pattern that `col` holds, or `otherwise`.
+
+    A pattern named in `roots` is tried only where `low`, `col` in lower case, holds one of its roots, of which every match has one."""
     out = F
     for pattern, name in rules:
-        out = out.when(col.rlike(pattern), name)
+        some = (roots or {}).get(name)
+        held = col.rlike(pattern)
+        out = out.when(reduce(Column.__or__, (F.contains(low, F.lit(r)) for r in some)) & held if some else held, name)
     return out.otherwise(F.lit(otherwise))
 
 
