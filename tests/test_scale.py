@@ -1,6 +1,9 @@
 """Plans and results that larger tables depend on: what is sent whole, what meets what, and cuts that a small table hides."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,41 @@ def test_classes_of_small_words_and_scripts(spark):
     assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got]
     plan = gate.assessed(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "\\p{L}+" in plan and "\\p{Ll}*" in plan
+
+
+def test_near_copies_of_many_shapes_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(900)]
+    sets = []
+    for n in (5, 6, 7, 12, 60, 61, 64, 180, 190, 450, 470, 700):
+        for _ in range(3):
+            base = list(rng.choice(vocabulary, n, replace=False))
+            for k in range(5):
+                keep = base[: n - int(rng.integers(0, 1 + n // 9))]
+                sets.append(set([*keep, *(f"own{len(sets)}x{i}" for i in range(int(rng.integers(0, 1 + n // 12))))]) if k else set(base))
+    docs = [(i, " ".join(sorted(x))) for i, x in enumerate(sets)] + [(1000 + i, " ".join(sorted(x, reverse=True))) for i, x in enumerate(sets[::7])] + [(5000, ""), (5001, None)]
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(frozenset(x), i)
+    ids = sorted(first.values())
+    share = lambda i, j: math.floor(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) * 1e6 + 0.5) / 1e6
+    want = {(i, j, share(i, j)) for i in ids for j in ids if i < j and share(i, j) >= 0.85}
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    for name, value in (("COMMON_WORDS", 50), ("JUDGED", 3), ("BROADCAST_IDS", 1)):  # few words in order, tasks in parts, ids that are not sent
+        monkeypatch.setattr(text, name, value)
+    got = [tuple(r) for r in text.near_copies(rows).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_a_pair_is_met_once_and_at_any_cut(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(1, 2**62, 120)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([x[: 120 - k], rng.integers(1, 2**62, k)])) for x in sets for k in range(9)]
+    batch = pa.record_batch([pa.array(range(36), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "words"])
+    rows = pa.Table.from_batches(text._prefixes(np.empty(0, np.int64), np.empty(0, np.int64), 0.85, [batch])).sort_by([("term", "ascending"), ("kind", "ascending")]).combine_chunks()
+    want = {(i, j) for i in range(36) for j in range(i + 1, 36) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.85}
+    for compared, meeting, size in ((1 << 20, 1 << 16, 10_000), (1, 1, 1), (7, 40, 13)):
+        monkeypatch.setattr(text, "COMPARED", compared)
+        monkeypatch.setattr(text, "MEETING", meeting)
+        met = [(r["a"], r["b"]) for b in text._meetings(0.85, rows.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert want <= set(met) and len(want) > 50 and len(met) < 4 * len(want)  # a pair shares some 60 words, and more than ten of its prefixes
