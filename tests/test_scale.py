@@ -152,3 +152,15 @@ def test_a_pair_is_met_once_and_at_any_cut(monkeypatch):
         monkeypatch.setattr(text, "MEETING", meeting)
         met = [(r["a"], r["b"]) for b in text._meetings(0.85, rows.to_batches(max_chunksize=size)) for r in b.to_pylist()]
         assert want <= set(met) and len(want) > 50 and len(met) < 4 * len(want)  # a pair shares some 60 words, and more than ten of its prefixes
+
+
+def test_words_go_once_to_a_group_of_near_copies(spark, monkeypatch):
+    shared = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join([*shared, f"own{i}"])) for i in range(40)], "doc_id long, text string")
+    plans = []
+    judged = text._pairs_judged
+    monkeypatch.setattr(text, "_pairs_judged", lambda *a: plans.append(judged(*a)) or plans[-1])
+    assert text.near_copies(docs).count() == 40 * 39 // 2
+    rows = spark.read.parquet(*{f for f in plans[-1].inputFiles() if "/named-" in f}).collect()
+    assert len(rows) == 40 * 39 // 2 and len({r["task"] for r in rows}) == 1  # one group, to which each of 40 sets goes
+
